@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import simhash
-from tabulon.llm.common import table
+from tabulon.llm import mixing, simhash
+from tabulon.llm.common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +24,47 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents; see tabulon.llm.simhash for null, empty and tie rules."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document by the mix of all sources."""
+    sized = materialise(mixing.measure(table(spark, sf_dir, "documents")), "mix-sizes")
+    out = mixing.assign(sized)
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLE["op3_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w
+  FROM sized GROUP BY source),
+rising AS (
+  SELECT *, sum(source_size) OVER () AS all_size,
+         coalesce(sum(2 * source_size) OVER o, 0) AS cap_before,
+         sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS w_left
+  FROM sources
+  WINDOW o AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (
+  SELECT *, 2 * source_size * w_left * 2 <= w * (3 * all_size - 2 * cap_before) AS is_full FROM rising),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN is_full THEN CAST(2 * source_size AS DOUBLE)
+              ELSE CAST(w * (3 * all_size - 2 * sum(CASE WHEN is_full THEN 2 * source_size ELSE 0 END) OVER ()) AS DOUBLE)
+                   / CAST(2 * sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target
+  FROM marked),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS budget,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id NULLS LAST, s.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0
+                 ELSE (budget // source_size) * size
+                      + greatest(0, least(size, budget - (budget // source_size) * source_size - before)) END AS BIGINT) AS taken
+FROM placed
+"""
