@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import mixing, simhash
+from tabulon.llm import mixing, records, simhash
 from tabulon.llm.common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ SELECT doc_id, size, source_size, target,
                       + greatest(0, least(size, budget - (budget // source_size) * source_size - before)) END AS BIGINT) AS taken
 FROM placed
 """
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' token ids, read back from the record files."""
+    return records.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
