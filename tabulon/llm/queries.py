@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import mixing, records, simhash
+from tabulon.llm import mixing, records, secrets, simhash
 from tabulon.llm.common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,57 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' token ids, read back from the record files."""
     return records.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, scanned once per distinct text from an empty ledger."""
+    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.drop("blob").withColumnRenamed("path", "doc_id")
+
+
+def _secret_sql() -> str:
+    keyword = "|".join(
+        (
+            "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]",
+            "[Pp][Aa][Ss][Ss][Ww][Dd]",
+            "[Ss][Ee][Cc][Rr][Ee][Tt]",
+            "[Tt][Oo][Kk][Ee][Nn]",
+            "[Aa][Pp][Ii]_?[Kk][Ee][Yy]",
+        )
+    )
+    kinds = [
+        ("assign", f"({keyword})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18),
+        ("hex", "[0-9a-f]{16,}", 0, 16),
+        ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+        ("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 40),
+    ]
+    parts = [
+        f"""SELECT row_no, {i} AS kind_no, '{kind}' AS kind, {least} AS least,
+             unnest(list_transform(string_split_regex(text, '{p}'), lambda x: length(x))[:-2]) AS gap,
+             unnest(list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))) AS size,
+             unnest(list_transform(regexp_extract_all(text, '{p}', {g}), lambda x: length(x))) AS val,
+             unnest(range(len(regexp_extract_all(text, '{p}')))) AS nth
+           FROM docs WHERE regexp_matches(text, '{p}')"""
+        for i, (kind, p, g, least) in enumerate((k, p.replace("'", "''"), g, least) for k, p, g, least in kinds)
+    ]
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+    matched AS ({" UNION ALL ".join(parts)}),
+    placed AS (SELECT *, sum(gap) OVER o + sum(size) OVER o AS fin FROM matched
+               WINDOW o AS (PARTITION BY row_no, kind_no ORDER BY nth)),
+    spans AS (SELECT row_no, kind_no, kind, CAST(fin - size AS BIGINT) AS start,
+                     kind || ':' || CAST(fin - size AS BIGINT) || ':' || CAST(fin AS BIGINT) AS s
+              FROM placed WHERE val >= least),
+    per AS (SELECT row_no, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                   count(*) FILTER (kind = 'hex') AS n_hex,
+                   string_agg(s, ',' ORDER BY start, kind_no) FILTER (kind_no < 3) AS base,
+                   string_agg(s, ',' ORDER BY start, kind_no) AS spans
+            FROM spans GROUP BY row_no)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM docs LEFT JOIN per USING (row_no)"""
+
+
+ORACLE["op5_secret_scan"] = _secret_sql()
