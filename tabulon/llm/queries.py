@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import mixing, records, secrets, simhash
+from tabulon.llm import decontaminate, mixing, records, secrets, simhash
 from tabulon.llm.common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def _secret_sql() -> str:
 
 
 ORACLE["op5_secret_scan"] = _secret_sql()
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents into which benchmark items leak, verbatim or re-parameterised, with the items."""
+    return decontaminate.leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
