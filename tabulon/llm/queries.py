@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, mixing, records, secrets, simhash
-from tabulon.llm.common import materialise, table
+from tabulon.llm import decontaminate, mixing, records, secrets, simhash, toxicity
+from tabulon.llm.common import held_out, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +140,12 @@ ORACLE["op5_secret_scan"] = _secret_sql()
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents into which benchmark items leak, verbatim or re-parameterised, with the items."""
     return decontaminate.leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled ones outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.FOLD).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -32,6 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tabulon.llm.common import materialise, pick_name
 
@@ -182,3 +183,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = owner.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = owner.join(lowest, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``docs`` with one document of each class: that of the smallest id, then the smallest text hash.
+
+    The choice is made on (id, text hash, fingerprint) rows; of exactly repeated
+    rows one stays. Rows of null ids take part as any other, after all ids.
+    """
+    key = pick_name(docs.columns, "simhash_key")
+    text = F.col(f"`{text_col}`").cast("string")
+    marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), fingerprint_udf(shingle)(text).alias("fp"))
+    marked = materialise(marked, "fingerprints")
+    firsts = materialise(marked.groupBy("fp").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("best")), "distinct-fingerprints")
+    roots = components(linked(firsts.select("fp"), max_bits))
+    owner = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "best")
+    best = owner.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.tie")
+    best = materialise(best, "kept-documents")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias(f"{key}_id"), F.xxhash64(text).alias(f"{key}_tie"))
+    kept = rows.join(best, F.col(f"{key}_id").eqNullSafe(best["id"]) & (F.col(f"{key}_tie") == best["tie"]), "left_semi")
+    repeats = W.partitionBy(f"{key}_id", f"{key}_tie").orderBy(F.lit(0))
+    kept = kept.withColumn(key, F.row_number().over(repeats)).where(F.col(key) == 1)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
