@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, mixing, records, secrets, simhash, toxicity
+from tabulon.llm import decontaminate, langid, mixing, records, secrets, simhash, toxicity
 from tabulon.llm.common import held_out, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     out = docs.select("doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.FOLD).alias("held_out"), toxicity.score(docs, model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    out = docs.select("doc_id", held_out("doc_id", langid.FOLDS, langid.FOLD).alias("held_out"), found.alias("found"))
+    return out.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
