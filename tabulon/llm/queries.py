@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, langid, mixing, records, secrets, simhash, toxicity
+from tabulon.llm import decontaminate, langid, mixing, records, secrets, simhash, toxicity, webtext
 from tabulon.llm.common import held_out, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict(docs, langid.fit(docs))
     out = docs.select("doc_id", held_out("doc_id", langid.FOLDS, langid.FOLD).alias("held_out"), found.alias("found"))
     return out.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
+
+
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page from its host's consensus paths."""
+    return webtext.main_text(table(spark, sf_dir, "pages"))

@@ -23,8 +23,11 @@ no shard and gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,9 @@ from pyspark.sql import Window as W
 from tabulon.llm.common import materialise, new_path
 
 INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u4")])
-_WORDS_KEPT = 250_000
+_WORDS_KEPT = 1_000_000
+#: Letters from U+0300 on, where combining marks begin, and the opening of special tokens.
+_KEEP_CASE = re.compile("[\u0300-\U0010ffff]|<[|]")
 
 
 def masked(data: bytes) -> int:
@@ -81,7 +86,10 @@ class WordEncoder:
     """Ids of texts by a tokenizer whose normaliser drops white space.
 
     Such a tokenizer never joins across ASCII white space, so each distinct
-    word is encoded once and its ids are reused.
+    word is encoded once and its ids are reused. Where the normaliser also
+    lowers case, words that differ in the case of A-Z only share an entry; texts
+    with marks that may combine with a letter, or with an opening of a special
+    token, are left as they are.
     """
 
     def __init__(self, path: str):
@@ -91,21 +99,29 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.known: dict[bytes, bytes] = {}
 
+    def words(self, text: str | None) -> list[bytes]:
+        data = (text or "").encode("utf-8", "replace")
+        return (data.lower() if self.lowers and not _KEEP_CASE.search(text or "") else data).split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, kind = self.known, self.kind
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > _WORDS_KEPT and known:
-                known.clear()
-                new = list({w for words in split for w in words})
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype=kind).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        known, kind = self.known, "I" if self.wide else "H"
+        split = [self.words(t) for t in texts]
+        used = set().union(*split)
+        new = list(used.difference(known))
+        if known and len(known) + len(new) > _WORDS_KEPT:
+            known.clear()
+            new = list(used)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                ids = array(kind, e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                known[w] = ids.tobytes()
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
