@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, langid, mixing, neighbours, records, secrets, simhash, toxicity, webtext
+from tabulon.llm import decontaminate, langid, mixing, neighbours, quality, records, secrets, simhash, toxicity, webtext
 from tabulon.llm.common import held_out, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,10 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) A
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op2_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the documents labelled as good, and whether it is kept."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
