@@ -95,7 +95,7 @@ def clean_text(c: Column | str) -> Column:
     """Markup and (doubly escaped) references resolved, blanks collapsed, empty lines dropped; null if nothing is left."""
     t = unescape(unescape(strip_markup(c)))
     t = F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"[ \t\r\f\x0B]+", " ")
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.nullif(F.array_join(lines, "\n"), F.lit(""))
 
 

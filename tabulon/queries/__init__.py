@@ -1,6 +1,6 @@
 """All registered queries of the record engine."""
 
-from tabulon.queries import search
+from tabulon.queries import analysis, catalog, search
 from tabulon.queries.common import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "search"]
+__all__ = ["ORACLE", "QUERIES", "analysis", "catalog", "search"]
