@@ -44,23 +44,7 @@ def simhash64(text: str | None, shingle: int = 3) -> int:
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes.lower touches A-Z only
     if not words:
         return 0
-    joined = b" ".join(words)
-    n = len(words)
-    if n <= shingle:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
-    else:
-        size = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        end = np.cumsum(size + 1) - 1
-        first, last = (end - size)[: n - shingle + 1].tolist(), end[shingle - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 255 * 64):  # sums of 255 ones fit a byte
-        bits = np.unpackbits(h[at : at + 255 * 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        whole = len(bits) // 255 * 255
-        counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        counts += bits[whole:].sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    return int(_majority(_shingle_hashes(b" ".join(words), words, shingle)))
 
 
 def fingerprint_udf(shingle: int):
@@ -185,18 +169,189 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+# Near copies by Jaccard similarity: wide signatures.
+#
+# Copies at a Jaccard similarity of 0.8 over five-word shingles differ in about
+# 15 % of their SimHash bits, too many for a guarantee on eight bytes. A wide
+# signature has 64 positional bytes to find candidates (over three-word
+# shingles, which edits hurt less) and 512 bits to judge them (over the distinct
+# five-word shingles, as the similarity is defined). The bytes are posted as
+# covering triples of each four; a pair must share ``SHARED_BYTES`` positions,
+# and the judging bits bound the similarity: for sets of similar size the share
+# of differing bits is arccos(2 J / (1 + J)) / pi.
+
+LANES, SHARED_BYTES, CELL, SMALL_CELL = 8, 8, 4096, 48
+_TRIPLES = np.array([[4 * g + i for i in t] for g in range(2 * LANES) for t in combinations(range(4), 3)])
+
+
+def _lanes(h: np.ndarray) -> np.ndarray:
+    """LANES independent SimHashes of the same hashes."""
+    out = np.empty(LANES, np.uint64)
+    for lane in range(LANES):
+        x = h + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        out[lane] = _majority(x)
+    return out
+
+
+def _majority(h: np.ndarray) -> np.uint64:
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 255 * 64):
+        bits = np.unpackbits(h[at : at + 255 * 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bits[whole:].sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]
+
+
+def _shingle_hashes(joined: bytes, words: list[bytes], k: int) -> np.ndarray:
+    n = len(words)
+    if n <= k:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
+    size = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    end = np.cumsum(size + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip((end - size)[: n - k + 1].tolist(), end[k - 1 :].tolist())], dtype="<u8")
+
+
+def wide_signature(text: str | None) -> tuple[int, list[int], bytes, bytes]:
+    """(digest of the words, keys of the index, index bytes, judging bytes); equal words give equal rows."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    joined = b" ".join(words)
+    content = xxhash.xxh64_intdigest(joined, 1)
+    if not words:
+        return content - (1 << 64) if content >> 63 else content, [], bytes(8 * LANES), bytes(8 * LANES)
+    index = _lanes(_shingle_hashes(joined, words, 3)).view(np.uint8)
+    judge = _lanes(np.unique(_shingle_hashes(joined, words, 5)))
+    keys = (index[_TRIPLES].astype(np.int64) * np.array([1 << 16, 1 << 8, 1])).sum(axis=1)
+    return content - (1 << 64) if content >> 63 else content, keys.tolist(), index.tobytes(), judge.tobytes()
+
+
+def wide_signatures():
+    @F.pandas_udf("content long, keys array<int>, index binary, judge binary")
+    def signatures(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([wide_signature(t) for t in texts], columns=["content", "keys", "index", "judge"])
+
+    return signatures
+
+
+def most_bits(similarity: float, slack: float = 1.5) -> int:
+    """Differing judging bits allowed at a similarity, with so many standard deviations of slack."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * LANES
+    return int(p * n + slack * np.sqrt(n * p * (1 - p)))
+
+
+def _judged(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """Spanning links of each cell; rows come sorted by cell."""
+    rest = None
+    for batch in _with_end(batches):
+        frame = batch if rest is None else rest if batch is None else pd.concat([rest, batch], ignore_index=True)
+        if frame is None or frame.empty:
+            continue
+        cell = frame["cell"].to_numpy()
+        done = len(cell) if batch is None else int(np.flatnonzero(cell == cell[-1])[0])
+        rest = frame.iloc[done:]
+        if not done:
+            continue
+        index = np.frombuffer(b"".join(frame["index"].iloc[:done]), np.uint8).reshape(done, -1)
+        judge = np.frombuffer(b"".join(frame["judge"].iloc[:done]), np.uint64).reshape(done, -1)
+        ids, cell = frame["content"].to_numpy()[:done], cell[:done]
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        sizes = np.diff(np.append(starts, done))
+        small = np.repeat(sizes <= SMALL_CELL, sizes)
+        pairs = [_small_cells(cell, small, index, judge, bits)]
+        pairs += [_large_cell(index[a : a + n], judge[a : a + n], bits) + a for a, n in zip(starts.tolist(), sizes.tolist()) if n > SMALL_CELL]
+        both = np.concatenate(pairs)
+        yield pd.DataFrame({"a": ids[both[:, 0]], "b": ids[both[:, 1]]})
+
+
+def _alike(index: np.ndarray, judge: np.ndarray, i, j, bits: int) -> np.ndarray:
+    """Whether pairs share enough positional bytes and differ in few enough judging bits."""
+    ok = (index[i] == index[j]).sum(axis=1) >= SHARED_BYTES
+    ok[ok] = np.bitwise_count(judge[i if np.isscalar(i) else i[ok]] ^ judge[j[ok]]).sum(axis=1) <= bits
+    return ok
+
+
+def _small_cells(cell: np.ndarray, small: np.ndarray, index: np.ndarray, judge: np.ndarray, bits: int) -> np.ndarray:
+    found = [np.empty((0, 2), np.int64)]
+    for step in range(1, SMALL_CELL):
+        i = np.flatnonzero((cell[step:] == cell[:-step]) & small[step:])
+        if not len(i):
+            break
+        i = i[_alike(index, judge, i, i + step, bits)]
+        found.append(np.stack([i, i + step], axis=1))
+    return np.concatenate(found)
+
+
+def _large_cell(index: np.ndarray, judge: np.ndarray, bits: int) -> np.ndarray:
+    """Links that connect what all links connect: rows join the first pivot they are like, then groups are tied."""
+    found, groups, left = [], [], np.arange(len(index))
+    while len(left):
+        pivot, others = int(left[0]), left[1:]
+        like = _alike(index, judge, pivot, others, bits)
+        groups.append(np.append(pivot, others[like]))
+        found.append(np.stack([others[like], np.full(like.sum(), pivot)], axis=1))
+        left = others[~like]
+    groups.sort(key=len, reverse=True)
+    before = groups[0]
+    for group in groups[1:]:
+        for row in group.tolist():
+            like = before[_alike(index, judge, row, before, bits)]
+            found.append(np.stack([np.full(len(like), row), like], axis=1))
+        before = np.concatenate([before, group])
+    return np.concatenate(found)
+
+
+def wide_links(unique: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between distinct contents (content, keys, index, judge)."""
+    postings = unique.select("content", F.posexplode("keys").alias("s", "key"))
+    lists = postings.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = postings.join(lists, ["s", "key"]).withColumn("g", F.ceil(F.col("n") / CELL).cast("int"))
+    mine = F.pmod(F.xxhash64("content"), F.col("g")).cast("int")
+    cells = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("content", F.xxhash64("s", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+    full = cells.join(unique.select("content", "index", "judge"), "content")
+    bits = most_bits(similarity)
+    dealt = full.repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInPandas(lambda b: _judged(b, bits), "a long, b long").distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each class of near copies: that of the smallest id, then the smallest text hash.
+
+    Texts of equal words are copies whatever their case and white space. Of
+    exactly repeated rows one stays; null ids come after all others.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), wide_signatures()(text).alias("w"))
+    marked = materialise(marked.select("id", "tie", "w.*"), "wide-signatures")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("best")
+    unique = marked.groupBy("content").agg(best, F.any_value(F.struct("keys", "index", "judge")).alias("w"))
+    unique = materialise(unique.select("content", "best", "w.*"), "distinct-contents")
+    roots = components(wide_links(unique, similarity))
+    return _keep_best(docs, unique.select(F.col("content").alias("fp"), "best"), roots, id_col, text_col)
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with one document of each class: that of the smallest id, then the smallest text hash.
 
     The choice is made on (id, text hash, fingerprint) rows; of exactly repeated
     rows one stays. Rows of null ids take part as any other, after all ids.
     """
-    key = pick_name(docs.columns, "simhash_key")
     text = F.col(f"`{text_col}`").cast("string")
     marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), fingerprint_udf(shingle)(text).alias("fp"))
     marked = materialise(marked, "fingerprints")
     firsts = materialise(marked.groupBy("fp").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("best")), "distinct-fingerprints")
     roots = components(linked(firsts.select("fp"), max_bits))
+    return _keep_best(docs, firsts.select("fp", "best"), roots, id_col, text_col)
+
+
+def _keep_best(docs: DataFrame, firsts: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are the best of their root; ``firsts`` has (fp, best)."""
+    key, text = pick_name(docs.columns, "simhash_key"), F.col(f"`{text_col}`").cast("string")
     owner = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "best")
     best = owner.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.tie")
     best = materialise(best, "kept-documents")

@@ -124,6 +124,36 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert simhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("sizes", [(48, 4096), (1, 8)])
+def test_near_copies_by_similarity(spark, odd, monkeypatch, sizes):
+    monkeypatch.setattr(simhash, "SMALL_CELL", sizes[0])
+    monkeypatch.setattr(simhash, "CELL", sizes[1])
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(30)]
+    texts = list(base)
+    for t in base[:12]:
+        for _ in range(3):
+            words = t.split()
+            for at in rng.sample(range(len(words)), 2):
+                words[at] = "changed"
+            texts.append(" ".join(words))
+        texts.append(t.upper().replace(" ", "\n"))
+    far = base[20].split()
+    texts.append(" ".join(w if i % 4 else "else" for i, w in enumerate(far)))
+    assert all(jaccard(texts[30 + 4 * i], base[i]) >= 0.8 for i in range(12)) and jaccard(texts[-1], base[20]) < 0.3
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, texts)).collect()}
+    assert kept == {*range(30), len(texts) - 1}
+    left = simhash.drop_near_copies(odd)
+    assert left.columns == odd.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 4, 5, 6]
+    assert simhash.drop_near_copies(empty_docs(spark)).count() == 0
+
+
 # --- Mixing
 
 
