@@ -82,7 +82,7 @@ def preference_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     "preference_scores",
     """WITH j AS (SELECT lang, source, CASE WHEN quality = 1 AND toxic = 0 AND l.doc_id % 2 = 0 THEN 2.0 WHEN quality = 1 AND toxic = 0 THEN 1.0
         WHEN quality = 1 THEN 0.3 WHEN l.doc_id % 5 = 0 THEN 0 ELSE -1.5 END AS w FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 40 = 7),
-    m AS (SELECT feature, sum(w) AS weight FROM (SELECT unnest(['lang:' || lang, 'source:' || source]) AS feature, w FROM j WHERE w <> 0) GROUP BY 1),
+    m AS (SELECT feature, sum(w) AS weight FROM (SELECT unnest(['lang:' || lang, 'source:' || source]) AS feature, w FROM j WHERE w <> 0 AND (SELECT count(*) FROM j WHERE w <> 0) >= 3) GROUP BY 1),
     s AS (SELECT doc_id, unnest(['lang:' || lang, 'source:' || source]) AS feature FROM documents),
     x AS (SELECT doc_id, feature, weight FROM s LEFT JOIN m USING (feature))
     SELECT doc_id, CAST(round(coalesce(sum(weight), 0), 6) AS DOUBLE) AS raw, CAST(round(greatest(-0.5, least(1.0, coalesce(sum(weight), 0) / 4)), 6) AS DOUBLE) AS factor,
