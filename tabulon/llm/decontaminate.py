@@ -35,6 +35,7 @@ BROADCAST_WINDOWS = 500_000
 #: Unit words.
 UNITS = "kg|g|mg|lbs?|oz|km|cm|mm|m|mi|miles?|met(?:er|re)s?|feet|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|percent|lit(?:er|re)s?|ml|l"
 
+MARKS = ("@", "~", "#")
 _NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},;:][\x20\x09-\x0D]{1,2})"
 _POINT = r"[.,](?<=[0-9][.,])(?=[0-9])"
 _UNIT = rf"([0-9%])\x20?({UNITS})(?![\p{{L}}\p{{N}}])"
@@ -56,60 +57,81 @@ def kind(token: Column) -> Column:
     return F.when(first.isin("@", "~"), first).when(first.between("0", "9"), F.lit("#"))
 
 
-def _windows(toks: Column, templates: Column, length: int) -> Column:
-    """Hashes of all windows of so many tokens, in order."""
+def _codes(tokens_: Column) -> Column:
+    return F.transform(tokens_, lambda t: F.xxhash64(t))
+
+
+def _windows(length: int) -> Column:
+    """Hashes of all windows of so many tokens, in order, from shapes, values and n_slots."""
     none = F.array().cast("array<bigint>")
-    marks = F.array(F.lit("@"), F.lit("~"), F.lit("#"))
+    marks = F.array(*[F.xxhash64(F.lit(m)) for m in MARKS])
+    starts = F.sequence(F.lit(1), F.greatest(F.size("shapes") - length + 1, F.lit(1)))
 
-    def hashed(i: Column) -> Column:
-        shape = F.slice(templates, i, length)
-        slots = F.size(F.filter(shape, lambda t: F.array_contains(marks, t)))
-        return F.when(slots * 2 <= length, F.xxhash64(shape, F.lit(length))).otherwise(F.xxhash64(F.slice(toks, i, length), F.lit(length)))
+    def by_shape(i: Column) -> Column:
+        return F.xxhash64(F.slice("shapes", i, length), F.lit(length))
 
-    return F.when(F.size(toks) >= length, F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - length + 1, F.lit(1))), hashed)).otherwise(none)
+    def by_either(i: Column) -> Column:
+        slots = F.size(F.filter(F.slice("shapes", i, length), lambda t: F.array_contains(marks, t)))
+        return F.when(slots * 2 <= length, by_shape(i)).otherwise(F.xxhash64(F.slice("values", i, length), F.lit(length)))
+
+    # a text of few slots has no window with too many
+    found = F.when(F.col("n_slots") * 2 <= length, F.transform(starts, by_shape)).otherwise(F.transform(starts, by_either))
+    return F.when(F.size("shapes") >= length, found).otherwise(none)
 
 
 def _tokenised(rows: DataFrame, *keep: str) -> DataFrame:
-    """Adds toks and templates, each computed once a row."""
-    out = rows.select(*keep, F.posexplode(F.array(tokens(F.col("text")))).alias("_0", "toks"))
-    return out.select(*keep, "toks", F.transform("toks", lambda t: F.coalesce(kind(t), t)).alias("templates"))
+    """Adds toks, the hashes of their shapes and values, and the number of slots; each computed once a row."""
+    out = rows.select(*keep, F.explode(F.array(tokens(F.col("text")))).alias("toks"))
+    shapes = F.transform("toks", lambda t: F.coalesce(kind(t), t))
+    slots = F.size(F.filter("toks", lambda t: kind(t).isNotNull()))
+    return out.select(*keep, "toks", F.explode(F.array(F.struct(_codes(shapes).alias("shapes"), _codes(F.col("toks")).alias("values"), slots.alias("n_slots")))).alias("c")).select(*keep, "toks", "c.*")
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(item, n, toks) and its windows: item, item_row, n, length, b_pos, hash."""
+    """item, item_row (a digest of the item), toks, length of its windows, and their hashes."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
     items = _tokenised(items, "item").where(F.size("toks") > 0).withColumn("item_row", F.xxhash64("item", "toks"))
     items = items.withColumn("length", F.least(F.size("toks"), F.lit(window)))
-    by_length = F.coalesce(*[F.when(F.col("length") == n, _windows(F.col("toks"), F.col("templates"), n)) for n in range(1, window + 1)])
-    return materialise(items.select("item", "item_row", "toks", "length", by_length.alias("hashes")), "benchmark-windows")
+    by_length = F.coalesce(*[F.when(F.col("length") == n, _windows(n)) for n in range(1, window + 1)])
+    return materialise(items.select("item", "item_row", "toks", "length", by_length.alias("hashes")).dropDuplicates(["item_row"]), "benchmark-windows")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(text_key, item, covered): distinct leaked texts by the digest of the text."""
-    items = benchmark_windows(benchmark, item_col, item_text_col, window)
+def _hits(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
+    """(text_key, item, item_row, shift, b_pos, d_toks): windows that a text and an item share."""
     size = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)), F.array_sort(F.collect_set("length"))).first()
-    grams = items.select("item", "item_row", F.posexplode("hashes").alias("b_pos", "hash"))
-    if size[0] <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
+    grams = items.select("item", "item_row", "length", F.posexplode("hashes").alias("b_pos", "hash"))
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("text_key", F.unhex(F.md5("text")))
     toks = _tokenised(texts, "text_key")
-    hashes = F.concat(F.array().cast("array<struct<pos:int,hash:bigint>>"), *[_placed(_windows(F.col("toks"), F.col("templates"), n)) for n in size[1]])
+    hashes = F.concat(F.array().cast("array<struct<pos:int,hash:bigint>>"), *[_placed(_windows(n)) for n in size[1]])
+    own = F.slice("toks", F.col("pos") + 1, F.col("length")).alias("d_toks")
+    shift = (F.col("pos") - F.col("b_pos")).alias("shift")
+    if size[0] <= BROADCAST_WINDOWS:
+        spread = toks.select("text_key", "toks", F.explode(hashes).alias("w")).select("text_key", "toks", "w.pos", "w.hash")
+        return spread.join(F.broadcast(grams), "hash").select("text_key", "item", "item_row", shift, "b_pos", own)
+    # a benchmark too large to broadcast: only hashes are shuffled, the few texts that are hit are read again
     spread = toks.select("text_key", F.explode(hashes).alias("w")).select("text_key", "w.pos", "w.hash")
-    hits = materialise(spread.join(grams, "hash").select("text_key", "item", "item_row", "pos", "b_pos").distinct(), "template-hits")
-
-    held = hits.select("text_key").distinct()
-    found = texts.join(held, "text_key", "left_semi").dropDuplicates(["text_key"])
-    found = found.select("text_key", tokens(F.col("text")).alias("d_toks"))
-    diagonal = hits.groupBy("text_key", "item", "item_row", (F.col("pos") - F.col("b_pos")).alias("shift")).agg(F.collect_set("b_pos").alias("starts"))
-    aligned = diagonal.join(found, "text_key").join(items.select("item_row", "toks", "length").dropDuplicates(["item_row"]), "item_row")
-    at = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1)))))
-    aligned = aligned.withColumn("at", at)
-    pairs = F.transform("at", lambda i: F.struct(F.get("toks", i).alias("b"), F.get("d_toks", i + F.col("shift")).alias("d")))
-    slots = F.array_distinct(F.filter(pairs, lambda p: kind(p["b"]).isNotNull()))
-    aligned = aligned.withColumn("slots", slots)
-    one_to_one = (F.size(F.array_distinct(F.col("slots.b"))) == F.size("slots")) & (F.size(F.array_distinct(F.col("slots.d"))) == F.size("slots"))
-    enough = F.size("at") >= F.least(F.size("toks"), F.lit(least))
-    return aligned.where(one_to_one & enough).groupBy("text_key", "item").agg(F.max(F.size("at")).alias("covered"))
+    met = materialise(spread.join(grams, "hash").select("text_key", "item", "item_row", "length", "pos", "b_pos").distinct(), "template-hits")
+    again = texts.join(met.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    return met.join(again.select("text_key", tokens(F.col("text")).alias("toks")), "text_key").select("text_key", "item", "item_row", shift, "b_pos", own)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """(text_key, item, covered): distinct leaked texts by the digest of the text."""
+    items = benchmark_windows(benchmark, item_col, item_text_col, window)
+    hits = materialise(_hits(docs, items, text_col).distinct(), "template-windows")
+    pairs = hits.join(items.select("item_row", "toks"), "item_row")
+    aligned = F.transform("d_toks", lambda d, j: F.struct((F.col("b_pos") + j).alias("at"), F.get("toks", F.col("b_pos") + j).alias("b"), d.alias("d")))
+    pairs = pairs.select("text_key", "item", "item_row", "shift", F.size("toks").alias("n"), F.explode(aligned).alias("p")).distinct()
+    slot = kind(F.col("p.b")).isNotNull()
+    whole = pairs.groupBy("text_key", "item", "item_row", "shift", "n").agg(
+        F.count_distinct("p.at").alias("covered"),
+        F.count_distinct(F.when(slot, F.col("p.b"))).alias("n_b"),
+        F.count_distinct(F.when(slot, F.col("p.d"))).alias("n_d"),
+        F.count_distinct(F.when(slot, F.struct("p.b", "p.d"))).alias("n_pairs"),
+    )
+    # one value of the item for one of the text, and the other way round
+    sound = (F.col("n_b") == F.col("n_pairs")) & (F.col("n_d") == F.col("n_pairs")) & (F.col("covered") >= F.least("n", F.lit(least)))
+    return whole.where(sound).groupBy("text_key", "item").agg(F.max("covered").alias("covered"))
 
 
 def _placed(hashes: Column) -> Column:
