@@ -35,7 +35,7 @@ from tabulon.llm.common import materialise, new_path
 
 ORDER, QUANTILE = 4, 0.995
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PIECE, _HELD = 2_000_000, 3_000_000
+_PIECE, _HELD = 500_000, 500_000
 _GRAM = "ord int, block long, h long, ctx long, suf long, n long"
 
 
@@ -106,46 +106,73 @@ def _store(rows: DataFrame, uri: str, columns: list[str]) -> None:
     materialise(rows.groupBy("block").applyInPandas(save, "block long, n long"), "side-files")
 
 
-def _distinct(parts: list[np.ndarray]) -> np.ndarray:
-    return pd.unique(np.concatenate(parts)) if parts else np.array([], np.uint64)
-
-
-def _grams(batches: Iterator[pd.DataFrame], trusted_uri: str) -> Iterator[pd.DataFrame]:
-    """ord 0: (block, h) of every n-gram of all texts; ord n: n-grams of trusted texts with context, suffix and count."""
-    side, block, seen, held, mass = _Side(trusted_uri), None, [], [], 0
-
-    def flush() -> Iterator[pd.DataFrame]:
-        if seen:
-            h = _distinct([s[n] for s in seen for n in range(ORDER + 1)]).view(np.int64)
-            yield pd.DataFrame({"ord": np.zeros(len(h), np.int32), "block": block, "h": h, "ctx": np.int64(0), "suf": np.int64(0), "n": np.int64(1)})
-        if held:
-            top = np.concatenate([hs[ORDER][1:] for hs in held])
-            codes, _ = pd.factorize(top)
-            count = np.bincount(codes)
-            first = np.empty(len(count), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
+class _Counter:
+    """Distinct n-grams of one split, folded every ``_HELD`` symbols so that memory follows the distinct ones."""
+
+    def __init__(self):
+        self.seen: list[np.ndarray] = []
+        self.trusted: list[pd.DataFrame] = []
+        self._texts: list[list[np.ndarray]] = []
+        self._good: list[list[np.ndarray]] = []
+        self._mass = 0
+
+    def add(self, hs: list[np.ndarray], trusted: bool) -> None:
+        self._texts.append(hs)
+        if trusted:
+            self._good.append(hs)
+        self._mass += len(hs[0])
+        if self._mass > _HELD:
+            self.fold()
+
+    def fold(self) -> None:
+        if self._texts:
+            self.seen = [pd.unique(np.concatenate([*self.seen, *(h for hs in self._texts for h in hs)]))]
+        if self._good:
+            part = {f"h{n}": np.concatenate([hs[n][1:] for hs in self._good]) for n in range(ORDER + 1)}
+            part |= {f"c{n}": np.concatenate([hs[n][:-1] for hs in self._good]) for n in range(ORDER)}
+            self.trusted.append(_summed(pd.DataFrame(part).assign(n=np.int64(1))))
+            if len(self.trusted) > 8:
+                self.trusted = [_summed(pd.concat(self.trusted, ignore_index=True))]
+        self._texts, self._good, self._mass = [], [], 0
+
+    def rows(self, block: int) -> Iterator[pd.DataFrame]:
+        self.fold()
+        if self.seen:
+            h = self.seen[0].view(np.int64)
+            yield pd.DataFrame({"ord": np.zeros(len(h), np.int32), "block": np.int64(block), "h": h, "ctx": np.int64(0), "suf": np.int64(0), "n": np.int64(1)})
+        if self.trusted:
+            own = _summed(pd.concat(self.trusted, ignore_index=True))
             for n in range(ORDER, 0, -1):
-                h = np.concatenate([hs[n][1:] for hs in held])[first]
-                ctx = np.concatenate([hs[n - 1][:-1] for hs in held])[first]
-                suf = np.concatenate([hs[n - 1][1:] for hs in held])[first]
-                out = pd.DataFrame({"ord": np.int32(n), "block": np.int64(0), "h": h.view(np.int64), "ctx": ctx.view(np.int64), "suf": suf.view(np.int64), "n": count})
+                columns = {k: own[c].to_numpy().view(np.int64) for k, c in (("h", f"h{n}"), ("ctx", f"c{n - 1}"), ("suf", f"h{n - 1}"))}
+                out = pd.DataFrame({"ord": np.int32(n), "block": np.int64(0), **columns, "n": own["n"].to_numpy()})
                 yield out if n == ORDER else out.drop_duplicates("h")
 
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row a highest-order n-gram with its summed count."""
+    codes, _ = pd.factorize(rows[f"h{ORDER}"].to_numpy())
+    count = np.bincount(codes, weights=rows["n"].to_numpy()).astype(np.int64)
+    first = np.empty(len(count), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return rows.iloc[first].assign(n=count)
+
+
+def _grams(batches: Iterator[pd.DataFrame], trusted_uri: str) -> Iterator[pd.DataFrame]:
+    """ord 0: (block, h) of every n-gram of all texts; ord n: n-grams of trusted texts with context, suffix and, for the highest order, count."""
+    side, block, found = _Side(trusted_uri), None, _Counter()
     for batch in batches:
         for doc_id, text, own in zip(batch["id"].tolist(), batch["text"], batch["block"].tolist()):
-            if own != block or mass > _HELD:
-                yield from flush()
-                seen, held, mass, block = [], [], 0, own
+            if own != block:
+                if block is not None:
+                    yield from found.rows(block)
+                block, found = own, _Counter()
             ids = side.read(own).get("id", np.array([], np.int64))
-            at = np.searchsorted(ids, doc_id) if doc_id == doc_id and doc_id is not None else len(ids)
-            trusted = at < len(ids) and ids[at] == doc_id
+            known = doc_id is not None and doc_id == doc_id
+            at = np.searchsorted(ids, doc_id) if known else len(ids)
             for x in _pieces(text):
-                hs = hashes(x)
-                seen.append(hs)
-                mass += len(x)
-                if trusted:
-                    held.append(hs)
-    yield from flush()
+                found.add(hashes(x), bool(at < len(ids) and ids[at] == doc_id))
+    if block is not None:
+        yield from found.rows(block)
 
 
 def model(trusted: DataFrame) -> tuple[DataFrame, int]:
