@@ -21,6 +21,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -322,8 +323,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = [F.xxhash64("id"), F.col("id")]
     picked = usable.where("y = 0").orderBy(*order).limit(max_docs).unionByName(usable.where("y = 1").orderBy(*order).limit(max_docs))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "y").toPandas().sort_values(["id", "text", "y"])
-    return train(rows["text"].tolist(), rows["y"].tolist(), n.get(1, 0) / max(1, sum(n.values())))
+    rows = texts.join(F.broadcast(picked), "id").select(F.lit(0).alias("all"), "id", "text", "y")
+    prior = n.get(1, 0) / max(1, sum(n.values()))
+
+    def trained(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values(["id", "text", "y"])
+        return pd.DataFrame({"model": [pickle.dumps(train(sample["text"].tolist(), sample["y"].tolist(), prior))]})
+
+    # one task of bounded size, so that the driver only sees the parameters
+    made = rows.groupBy("all").applyInPandas(trained, "model binary").first()
+    return pickle.loads(made["model"]) if made else None
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text"):
