@@ -31,6 +31,7 @@ from tabulon.llm.common import held_out, materialise
 
 DIM, SAMPLE, MAX_CHARS, CLUSTERS, ROUNDS, REJECT = 1 << 12, 800, 20_000, 5, 8, 0.005
 FOLDS, FOLD = 4, 2
+BROADCAST_LANGS = 10_000
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _PIECE = 4_000_000
 
@@ -77,7 +78,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     """(lang, text): at most SAMPLE training texts a language."""
     rows = docs.where(~held_out(id_col, FOLDS, FOLD)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= MAX_CHARS))
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")).alias("share"))
+    counts_ = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-counts")
+    share = counts_.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")).alias("share"))
+    if counts_.count() <= BROADCAST_LANGS:  # so that only thinned rows are dealt by language
+        share = F.broadcast(share)
     thinned = rows.join(share, F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
     first = W.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
     return thinned.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE).select("lang", "text")
