@@ -169,18 +169,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-# Near copies by Jaccard similarity: wide signatures.
+# Near copies by Jaccard similarity over distinct five-word shingles.
 #
-# Copies at a Jaccard similarity of 0.8 over five-word shingles differ in about
-# 15 % of their SimHash bits, too many for a guarantee on eight bytes. A wide
-# signature has 64 positional bytes to find candidates (over three-word
-# shingles, which edits hurt less) and 512 bits to judge them (over the distinct
-# five-word shingles, as the similarity is defined). The bytes are posted as
-# covering triples of each four; a pair must share ``SHARED_BYTES`` positions,
-# and the judging bits bound the similarity: for sets of similar size the share
-# of differing bits is arccos(2 J / (1 + J)) / pi.
+# Candidates come from a prefix index: with all shingles in one global order,
+# two texts at a similarity of at least s share one of the first
+# n - ceil(s n) + 1 of their n shingles, whatever the order. Shingles that are
+# common in a sample come last in it, which only shortens the lists. Candidates
+# far apart in 512 SimHash bits (``LOOSE`` standard deviations beyond those
+# expected at s) are set aside; the components of what remains are then
+# compared by their shingles themselves, and only pairs at s or more are linked.
+# A component is dealt into square cells of about ``CELL_SHINGLES`` a side.
+#
+# For sets of equal size the share of differing bits at similarity J is
+# arccos(2 J / (1 + J)) / pi, for others less. ``wide_signature`` also has the
+# 64 index bytes of three-word shingles.
 
 LANES, SHARED_BYTES, CELL, SMALL_CELL = 8, 8, 4096, 48
+LOOSE, CELL_SHINGLES, SAMPLE, COMMON = 6.0, 500_000, 5_000, 100_000
 _TRIPLES = np.array([[4 * g + i for i in t] for g in range(2 * LANES) for t in combinations(range(4), 3)])
 
 
@@ -229,10 +234,54 @@ def wide_signature(text: str | None) -> tuple[int, list[int], bytes, bytes]:
     return content - (1 << 64) if content >> 63 else content, keys.tolist(), index.tobytes(), judge.tobytes()
 
 
-def wide_signatures():
-    @F.pandas_udf("content long, keys array<int>, index binary, judge binary")
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def shingles(text: str | None, k: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; none for a text without words."""
+    words = _words(text)
+    return np.unique(_shingle_hashes(b" ".join(words), words, k)) if words else np.array([], "<u8")
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles, one of which any set at this similarity shares; ``common`` ones, sorted by hash with their counts, come last."""
+    most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+    weight = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common["h"], h), len(common) - 1)
+        weight = np.where(common["h"][at] == h, common["n"][at], 0)
+    return h[np.lexsort((h, weight))[:most]]
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """(h, n), by hash: the shingles that most often occur in a bounded sample of distinct texts."""
+    every = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"h": shingles(text).view(np.int64)})
+
+    counts = sample.mapInPandas(spread, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    out = np.empty(len(rows), np.dtype([("h", "<u8"), ("n", "<i8")]))
+    out["h"], out["n"] = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"]
+    return np.sort(out, order="h")
+
+
+def prefix_signatures(similarity: float, common: np.ndarray):
+    @F.pandas_udf("content long, keys array<long>, size int, judge binary")
     def signatures(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_signature(t) for t in texts], columns=["content", "keys", "index", "judge"])
+        rows = []
+        for text in texts:
+            words = _words(text)
+            content = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 1)).view(np.int64))
+            h = shingles(text)
+            keys = prefix(h, similarity, common) if len(h) else h
+            rows.append((content, keys.view(np.int64).tolist(), len(h), _lanes(h).tobytes()))
+        return pd.DataFrame(rows, columns=["content", "keys", "size", "judge"])
 
     return signatures
 
@@ -244,54 +293,63 @@ def most_bits(similarity: float, slack: float = 1.5) -> int:
     return int(p * n + slack * np.sqrt(n * p * (1 - p)))
 
 
-def _judged(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    """Spanning links of each cell; rows come sorted by cell."""
-    rest = None
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in runs of whole cells; they come sorted by cell."""
+    parts: list[pd.DataFrame] = []
     for batch in _with_end(batches):
-        frame = batch if rest is None else rest if batch is None else pd.concat([rest, batch], ignore_index=True)
-        if frame is None or frame.empty:
+        if batch is not None and batch.empty:
             continue
-        cell = frame["cell"].to_numpy()
-        done = len(cell) if batch is None else int(np.flatnonzero(cell == cell[-1])[0])
-        rest = frame.iloc[done:]
-        if not done:
-            continue
-        index = np.frombuffer(b"".join(frame["index"].iloc[:done]), np.uint8).reshape(done, -1)
-        judge = np.frombuffer(b"".join(frame["judge"].iloc[:done]), np.uint64).reshape(done, -1)
-        ids, cell = frame["content"].to_numpy()[:done], cell[:done]
+        if batch is None:
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+            return
+        cell = batch["cell"].to_numpy()
+        cut = int(np.flatnonzero(cell == cell[-1])[0])
+        if parts and (cut or parts[-1]["cell"].iloc[-1] != cell[0]):
+            yield pd.concat([*parts, batch.iloc[:cut]], ignore_index=True)
+            parts = []
+        elif cut:
+            yield batch.iloc[:cut]
+        parts.append(batch.iloc[cut:])
+
+
+def _judged(batches: Iterator[pd.DataFrame], bits: int, similarity: float) -> Iterator[pd.DataFrame]:
+    """Spanning links of the candidates of each cell."""
+    for frame in _cells(batches):
+        judge = np.frombuffer(b"".join(frame["judge"]), np.uint64).reshape(len(frame), -1)
+        ids, cell, size = frame["content"].to_numpy(), frame["cell"].to_numpy(), frame["size"].to_numpy()
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sizes = np.diff(np.append(starts, done))
+        sizes = np.diff(np.append(starts, len(cell)))
         small = np.repeat(sizes <= SMALL_CELL, sizes)
-        pairs = [_small_cells(cell, small, index, judge, bits)]
-        pairs += [_large_cell(index[a : a + n], judge[a : a + n], bits) + a for a, n in zip(starts.tolist(), sizes.tolist()) if n > SMALL_CELL]
-        both = np.concatenate(pairs)
-        yield pd.DataFrame({"a": ids[both[:, 0]], "b": ids[both[:, 1]]})
 
+        def alike(i, j):
+            ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            ok[ok] = np.bitwise_count(judge[i if np.isscalar(i) else i[ok]] ^ judge[j[ok]]).sum(axis=1) <= bits
+            return ok
 
-def _alike(index: np.ndarray, judge: np.ndarray, i, j, bits: int) -> np.ndarray:
-    """Whether pairs share enough positional bytes and differ in few enough judging bits."""
-    ok = (index[i] == index[j]).sum(axis=1) >= SHARED_BYTES
-    ok[ok] = np.bitwise_count(judge[i if np.isscalar(i) else i[ok]] ^ judge[j[ok]]).sum(axis=1) <= bits
-    return ok
+        pairs = [_small_cells(cell, small, alike)]
+        pairs += [_large_cell(np.arange(a, a + n), alike) for a, n in zip(starts.tolist(), sizes.tolist()) if n > SMALL_CELL]
+        both = np.concatenate(pairs)
+        yield pd.DataFrame({"a": ids[both[:, 0]], "b": ids[both[:, 1]]})
 
 
-def _small_cells(cell: np.ndarray, small: np.ndarray, index: np.ndarray, judge: np.ndarray, bits: int) -> np.ndarray:
+def _small_cells(cell: np.ndarray, small: np.ndarray, alike) -> np.ndarray:
     found = [np.empty((0, 2), np.int64)]
     for step in range(1, SMALL_CELL):
         i = np.flatnonzero((cell[step:] == cell[:-step]) & small[step:])
         if not len(i):
             break
-        i = i[_alike(index, judge, i, i + step, bits)]
+        i = i[alike(i, i + step)]
         found.append(np.stack([i, i + step], axis=1))
     return np.concatenate(found)
 
 
-def _large_cell(index: np.ndarray, judge: np.ndarray, bits: int) -> np.ndarray:
+def _large_cell(rows: np.ndarray, alike) -> np.ndarray:
     """Links that connect what all links connect: rows join the first pivot they are like, then groups are tied."""
-    found, groups, left = [], [], np.arange(len(index))
+    found, groups, left = [np.empty((0, 2), np.int64)], [], rows
     while len(left):
         pivot, others = int(left[0]), left[1:]
-        like = _alike(index, judge, pivot, others, bits)
+        like = alike(pivot, others)
         groups.append(np.append(pivot, others[like]))
         found.append(np.stack([others[like], np.full(like.sum(), pivot)], axis=1))
         left = others[~like]
@@ -299,24 +357,72 @@ def _large_cell(index: np.ndarray, judge: np.ndarray, bits: int) -> np.ndarray:
     before = groups[0]
     for group in groups[1:]:
         for row in group.tolist():
-            like = before[_alike(index, judge, row, before, bits)]
+            like = before[alike(row, before)]
             found.append(np.stack([np.full(len(like), row), like], axis=1))
         before = np.concatenate([before, group])
     return np.concatenate(found)
 
 
-def wide_links(unique: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between distinct contents (content, keys, index, judge)."""
-    postings = unique.select("content", F.posexplode("keys").alias("s", "key"))
-    lists = postings.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = postings.join(lists, ["s", "key"]).withColumn("g", F.ceil(F.col("n") / CELL).cast("int"))
+def _compared(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Spanning links of the pairs of each cell whose shingles have at least this Jaccard similarity."""
+    for frame in _cells(batches):
+        cells, ids = frame["cell"].to_numpy(), frame["content"].to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            sets = [np.frombuffer(x, "<u8") for x in frame["shingles"].iloc[a:b]]
+            size = np.array([len(x) for x in sets])
+            codes, names = pd.factorize(np.concatenate(sets))
+            start = np.append(0, np.cumsum(size))
+            marks = np.zeros(len(names), np.int64)
+
+            def alike(i: int, others: np.ndarray) -> np.ndarray:
+                own = codes[start[i] : start[i + 1]]
+                marks[own] = 1
+                if len(others) * 4 > len(size):
+                    shared = np.add.reduceat(marks[codes], start[:-1])[others]
+                else:
+                    shared = np.array([marks[codes[start[j] : start[j + 1]]].sum() for j in others.tolist()], np.int64)
+                marks[own] = 0
+                return shared / (size[i] + size[others] - shared) >= similarity
+
+            both = _large_cell(np.arange(b - a), alike) + a
+            yield pd.DataFrame({"a": ids[both[:, 0]], "b": ids[both[:, 1]]})
+
+
+def candidates(unique: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between distinct contents (content, keys, size, judge) whose components hold every pair at this similarity."""
+    postings = unique.select("content", F.explode("keys").alias("key"))
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = postings.join(lists, "key").withColumn("g", F.ceil(F.col("n") / CELL).cast("int"))
     mine = F.pmod(F.xxhash64("content"), F.col("g")).cast("int")
     cells = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = cells.select("content", F.xxhash64("s", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-    full = cells.join(unique.select("content", "index", "judge"), "content")
-    bits = most_bits(similarity)
+    cells = cells.select("content", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+    full = cells.join(unique.select("content", "size", "judge"), "content")
+    bits = most_bits(similarity, LOOSE)
     dealt = full.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInPandas(lambda b: _judged(b, bits), "a long, b long").distinct()
+    return dealt.mapInPandas(lambda b: _judged(b, bits, similarity), "a long, b long").distinct()
+
+
+def exact_links(docs: DataFrame, unique: DataFrame, roots: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs at this similarity; ``roots`` (node, root) are the components of candidates."""
+    own = roots.select(F.col("node").alias("content"), "root").unionByName(roots.select(F.col("root").alias("content"), "root")).distinct()
+    members = own.join(unique.select("content", "best", "size"), "content")
+    totals = members.groupBy("root").agg(F.ceil(F.sum("size") / CELL_SHINGLES).cast("int").alias("g"))
+    members = materialise(members.join(totals, "root").select("content", "root", "g", F.col("best.id").alias("m_id"), F.col("best.tie").alias("m_tie")), "candidates")
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    met = texts.join(members, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("tie") == F.col("m_tie")))
+    # of exactly repeated rows one is enough
+    met = materialise(met.select("content", "root", "g", packed("text").alias("shingles")).dropDuplicates(["content"]), "candidate-shingles")
+    mine = F.pmod(F.xxhash64("content"), F.col("g")).cast("int")
+    cells = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("content", "shingles", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInPandas(lambda b: _compared(b, similarity), "a long, b long").distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -326,12 +432,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     exactly repeated rows one stays; null ids come after all others.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), wide_signatures()(text).alias("w"))
-    marked = materialise(marked.select("id", "tie", "w.*"), "wide-signatures")
+    signed = prefix_signatures(similarity, common_shingles(docs.select(text.alias("text"))))
+    marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), signed(text).alias("w"))
+    marked = materialise(marked.select("id", "tie", "w.*"), "signatures")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("best")
-    unique = marked.groupBy("content").agg(best, F.any_value(F.struct("keys", "index", "judge")).alias("w"))
+    unique = marked.groupBy("content").agg(best, F.any_value(F.struct("keys", "size", "judge")).alias("w"))
     unique = materialise(unique.select("content", "best", "w.*"), "distinct-contents")
-    roots = components(wide_links(unique, similarity))
+    met = components(candidates(unique, similarity))
+    roots = components(exact_links(docs, unique, met, similarity, id_col, text_col))
     return _keep_best(docs, unique.select(F.col("content").alias("fp"), "best"), roots, id_col, text_col)
 
 

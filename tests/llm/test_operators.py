@@ -154,6 +154,40 @@ def test_near_copies_by_similarity(spark, odd, monkeypatch, sizes):
     assert simhash.drop_near_copies(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [500_000, 700])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL_SHINGLES", cell)
+    rng = random.Random(13)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    line = " ".join(rng.choice(vocabulary) for _ in range(30))  # in every text
+    texts = []
+    for i in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([12, 60, 300]))]
+        texts.append(" ".join(words) + " " + line)
+        for goal in (0.75, 0.78, 0.8, 0.82, 0.85, 0.9):
+            new, at, step = list(words), rng.randrange(len(words)), 0
+            while True:  # one block, or places all over, as far as the similarity lasts
+                tried = list(new)
+                tried[(at + step) % len(words) if i % 2 else rng.randrange(len(words))] = f"changed{rng.random()}"
+                if jaccard(" ".join(tried) + " " + line, texts[i * 7]) < goal:
+                    break
+                new, step = tried, step + 1
+            texts.append(" ".join(new) + " " + line)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, texts)).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+
+
 # --- Mixing
 
 
