@@ -7,14 +7,18 @@ windows of all documents, so a question whose numbers, names or units were
 exchanged still meets its original. Hits on one alignment of a text with an
 item are put together, and the slots on it are checked: every original value
 must stand for one new value and the other way round. An alignment that is
-consistent and covers ``least`` tokens, or the item, is a leak.
+consistent and covers ``least`` tokens, or the item, is a leak. So is one with
+a run of ``least`` equal tokens, unless one value of the text stands for two of
+the item.
 
 A window with fewer than half of its tokens outside slots would match by
 shape alone; there the values themselves are hashed. Items shorter than a
 window are looked for at their own length.
 
 Names are capitalised words inside a sentence, units are unit words behind a
-number, numbers start with a digit. Null and empty texts never match. Copies
+number, numbers start with a digit. What stands before an item decides on the
+mark of its first word, so an item is looked for with either form of it; that
+word itself must be equal. Null and empty texts never match. Copies
 share their hits through a digest of the text. Null or repeated ids are rows
 like any other. With an empty benchmark nothing leaks. Further columns pass
 through ``clean`` untouched whatever their names.
@@ -80,20 +84,34 @@ def _windows(length: int) -> Column:
 
 
 def _tokenised(rows: DataFrame, *keep: str) -> DataFrame:
-    """Adds toks, the hashes of their shapes and values, and the number of slots; each computed once a row."""
-    out = rows.select(*keep, F.explode(F.array(tokens(F.col("text")))).alias("toks"))
+    """Adds the tokens of text as toks, and what _coded adds."""
+    return _coded(rows.select(*keep, F.explode(F.array(tokens(F.col("text")))).alias("toks")), *keep)
+
+
+def _coded(out: DataFrame, *keep: str) -> DataFrame:
+    """Adds the hashes of the shapes and values of toks, and the number of slots; each computed once a row."""
     shapes = F.transform("toks", lambda t: F.coalesce(kind(t), t))
     slots = F.size(F.filter("toks", lambda t: kind(t).isNotNull()))
     return out.select(*keep, "toks", F.explode(F.array(F.struct(_codes(shapes).alias("shapes"), _codes(F.col("toks")).alias("values"), slots.alias("n_slots")))).alias("c")).select(*keep, "toks", "c.*")
 
 
+def _leads(items: DataFrame) -> DataFrame:
+    """item, toks and lead: the mark (or none) that the first word has behind other text."""
+    first = F.get("toks", F.lit(0))
+    capital = F.col("text").cast("string").rlike(r"^[^\p{L}\p{N}]*\p{Lu}") & kind(first).isNull()
+    leads = F.array_compact(F.array(F.lit(""), F.when(capital, "@"), F.when(first.rlike(rf"^(?:{UNITS})$"), "~")))
+    out = items.select("item", "text", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0).withColumn("lead", F.explode(leads))
+    marked = F.concat(F.array(F.concat("lead", first)), F.slice("toks", F.lit(2), F.size("toks")))
+    return out.select("item", "lead", F.when(F.col("lead") == "", F.col("toks")).otherwise(marked).alias("toks"))
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """item, item_row (a digest of the item), toks, length of its windows, and their hashes."""
+    """item, item_row (a digest of the item), toks, lead, length of its windows, and their hashes."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
-    items = _tokenised(items, "item").where(F.size("toks") > 0).withColumn("item_row", F.xxhash64("item", "toks"))
+    items = _coded(_leads(items), "item", "lead").withColumn("item_row", F.xxhash64("item", "toks"))
     items = items.withColumn("length", F.least(F.size("toks"), F.lit(window)))
     by_length = F.coalesce(*[F.when(F.col("length") == n, _windows(n)) for n in range(1, window + 1)])
-    return materialise(items.select("item", "item_row", "toks", "length", by_length.alias("hashes")).dropDuplicates(["item_row"]), "benchmark-windows")
+    return materialise(items.select("item", "item_row", "toks", "lead", "length", by_length.alias("hashes")).dropDuplicates(["item_row"]), "benchmark-windows")
 
 
 def _hits(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
@@ -119,21 +137,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """(text_key, item, covered): distinct leaked texts by the digest of the text."""
     items = benchmark_windows(benchmark, item_col, item_text_col, window)
     hits = materialise(_hits(docs, items, text_col).distinct(), "template-windows")
-    pairs = hits.join(items.select("item_row", "toks"), "item_row")
+    pairs = hits.join(items.select("item_row", "toks", "lead"), "item_row")
     aligned = F.transform("d_toks", lambda d, j: F.struct((F.col("b_pos") + j).alias("at"), F.get("toks", F.col("b_pos") + j).alias("b"), d.alias("d")))
-    pairs = pairs.select("text_key", "item", "item_row", "shift", F.size("toks").alias("n"), F.explode(aligned).alias("p")).distinct()
+    pairs = pairs.select("text_key", "item", "item_row", "lead", "shift", F.size("toks").alias("n"), F.explode(aligned).alias("p")).distinct()
+    # the mark of a first word makes no slot of it
+    pairs = pairs.where((F.col("lead") == "") | (F.col("p.at") > 0) | (F.col("p.b") == F.col("p.d")))
     slot = kind(F.col("p.b")).isNotNull()
     whole = pairs.groupBy("text_key", "item", "item_row", "shift", "n").agg(
         F.count_distinct("p.at").alias("covered"),
         F.count_distinct(F.when(slot, F.col("p.b"))).alias("n_b"),
         F.count_distinct(F.when(slot, F.col("p.d"))).alias("n_d"),
         F.count_distinct(F.when(slot, F.struct("p.b", "p.d"))).alias("n_pairs"),
+        _longest_run(F.array_sort(F.collect_set(F.when(F.col("p.b") == F.col("p.d"), F.col("p.at"))))).alias("equal"),
     )
     # one value of the item for one of the text, and the other way round
-    sound = (F.col("n_b") == F.col("n_pairs")) & (F.col("n_d") == F.col("n_pairs")) & (F.col("covered") >= F.least("n", F.lit(least)))
+    sound = (F.col("n_d") == F.col("n_pairs")) & ((F.col("n_b") == F.col("n_pairs")) & (F.col("covered") >= F.least("n", F.lit(least))) | (F.col("equal") >= least))
     return whole.where(sound).groupBy("text_key", "item").agg(F.max("covered").alias("covered"))
 
 
+def _longest_run(places: Column) -> Column:
+    """Length of the longest run of consecutive numbers in a sorted array."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(seen: Column, at: Column) -> Column:
+        run = F.when(at == seen["last"] + 1, seen["run"] + 1).otherwise(F.lit(1))
+        return F.struct(at.alias("last"), run.alias("run"), F.greatest(seen["most"], run).alias("most"))
+
+    return F.aggregate(places, start, step, lambda seen: seen["most"])
+
+
 def _placed(hashes: Column) -> Column:
     return F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
 

@@ -353,6 +353,20 @@ def test_template_leaks(spark, monkeypatch, carry):
     assert got == {(0, 7), (1, 7), (7, 10)}
 
 
+def test_verbatim_leaks(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, ITEM), (3, "Hours of sleep are lost")], "item_id long, text string")
+    texts = [
+        "Answer this: What is the capital of France? And go on.",
+        "what is the capital of France",
+        "Answer this: Where is the capital of France? And go on.",
+        ITEM.replace("does Anna", "does Carla"),  # 20 tokens stand as they were
+        ITEM.replace("does Anna", "does Carla").replace("her friend", "his uncle"),  # 10 at most
+        "In 12 hours of sleep are lost many.",
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_documents(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 1), (1, 1), (3, 2), (5, 3)}
+
+
 def test_clean_keeps_the_rest(spark, odd):
     bench = spark.createDataFrame([(1, "same text here now")], "item_id long, text string")
     got = decontaminate.clean(odd, bench)
