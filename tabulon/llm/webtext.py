@@ -1,14 +1,17 @@
 """Main text of web pages by consensus host paths.
 
 Every page scores its containers by the running text in them (links count
-against it, commas and paragraphs for it) and votes for the generalised path of
-the best one: tags with their classes, digits as ``#``. Spark counts the votes
+against it, commas and paragraphs for it), climbs from the best one to its
+outermost article or main (without one, past parents with running text of their
+own) and votes for the generalised path found: tags with their classes, digits as ``#``. Spark counts the votes
 of each host; paths with at least ``SHARE`` of a host's votes win. Each page is
 then extracted again from the first of its host's winning paths, by votes, that
 it has; a page that has none uses its own best container.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments are left out wherever they stand, by tag, role or class.
+Inside an article or main only whole class names and ids count, or those made
+of such words alone, and headings stay.
 Blocks are joined in page order by one space.
 
 Null, empty and mark-up-only pages give an empty text. A page cut off in the
@@ -50,6 +53,9 @@ _NOISE = frozenset(
     " notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager toolbar"
     " comment comments commentlist reply replies respond disqus form search".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that say nothing of their own beside a noise word.
+_PLAIN = frozenset("area articles bar block box buttons container content inline inner left links list outer posts right section top bottom wrap wrapper".split())
 _WORDS = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -117,9 +123,12 @@ class Page:
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
         _, above, dropped, inside = self._stack[-1]
         marks = found.get("class", "").lower().split()
-        tokens = {w for c in (*marks, found.get("id", "").lower()) for w in _WORDS.split(c)}
+        parts = [{*_WORDS.split(c)} - {""} for c in (*marks, found.get("id", "").lower())]
+        noisy = any(w & _NOISE for w in parts)
+        if inside:
+            noisy = name not in _HEADINGS and any(w & (_NOISE - {"header"}) and w <= _NOISE | _PLAIN for w in parts)
         inside = inside or name in ("article", "main")
-        noise = name in _DROPPED or name == "header" and not inside or bool(tokens & _NOISE) and name not in ("html", "body", "main", "article")
+        noise = name in _DROPPED or name == "header" and not inside or noisy and name not in ("html", "body", "main", "article")
         noise = noise or found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
         step = ".".join([name, *sorted({_DIGITS.sub("#", c) for c in marks})])
         self.paths.append(f"{self.paths[above]}>{step}" if self.paths[above] else step)
@@ -139,7 +148,7 @@ class Page:
                 break
 
     def best(self) -> str | None:
-        """Path of the container with the most running text of its own; a parent gets half of its children's."""
+        """Path that holds the container with the most running text of its own; a parent gets half of its children's."""
         scores = [0.0] * len(self.paths)
         for at, text, linked in self.blocks:
             worth = max(0, len(text) - 2 * linked) + 25 * text.count(",") + 10
@@ -151,7 +160,29 @@ class Page:
             step = path.rpartition(">")[2].split(".")[0]
             scores[i] *= 1.5 if step in ("article", "main") else 1.0
         top = max(range(len(scores)), key=lambda i: (scores[i], -i))
-        return self.paths[top] if scores[top] > 0 else None
+        return self.paths[self._climb(top)] if scores[top] > 0 else None
+
+    def _tag(self, at: int) -> str:
+        return self.paths[at].rpartition(">")[2].split(".")[0]
+
+    def _climb(self, at: int) -> int:
+        """The outermost article or main around a container, else the last parent in a row with running text of its own."""
+        above, up = [], at
+        while up > 0:
+            if self._tag(up) in ("article", "main"):
+                above.append(up)
+            up = self.parents[up]
+        if above:
+            return above[-1]
+        own = set()
+        for block, text, linked in self.blocks:
+            while block > 0 and self._tag(block) not in _CONTAINER:  # a paragraph with a class
+                block = self.parents[block]
+            if len(text) > 2 * linked:
+                own.add(block)
+        while self.parents[at] > 0 and self._tag(self.parents[at]) not in ("html", "body") and self.parents[at] in own:
+            at = self.parents[at]
+        return at
 
     def text(self, path: str) -> str:
         """Text below all containers of this path."""

@@ -597,6 +597,23 @@ def test_main_text(spark):
     assert webtext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div class='post'"])
+def test_main_text_of_nested_pages(spark, outer):
+    body = "".join(f"<p>Part {i} of the body, which is long, has commas, and goes on for a while.</p>" for i in range(9))
+    source = f"<html><body><nav>Menu</nav><{outer}><h1 class='entry-title'>Head</h1><p>The intro.</p><div class='text'>{body}</div></{outer.split()[0]}><footer>Foot</footer></body></html>"
+    rows = [(i, f"http://n.example.org/{i}", source) for i in range(3)]
+    want = "Head The intro. " + " ".join(f"Part {i} of the body, which is long, has commas, and goes on for a while." for i in range(9))
+    assert [r["text"] for r in webtext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [want] * 3
+
+
+def test_words_of_headings_are_no_noise():
+    source = (
+        "<article><div class='entry-header'><h1>Head</h1></div><p>Some text, with commas, and more of it.</p><h2 id='related-work'>Work</h2><p>More.</p>"
+        "<h2 id='search'>Search</h2><section id='search-algorithms'><p>Trees.</p></section><div class='ad'>Buy</div><div class='social-share'>Share</div></article>"
+    )
+    assert webtext.extract(source, []) == "Head Some text, with commas, and more of it. Work More. Search Trees."
+
+
 def test_given_pages_by_a_plain_parse(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in QUERIES["op8_main_text"](spark, sf_dir).collect():
