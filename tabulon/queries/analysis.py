@@ -336,7 +336,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_sections")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = readers.sections(table(spark, sf_dir, "pages"), "page_id", "html")
-    return out.select("page_id", "part", "section", F.length("text").alias("n_chars"))
+    return out.select("page_id", "part", "piece", "section", F.length("text").alias("n_chars"))
 
 
 @query(

@@ -137,8 +137,21 @@ def latest_dated_link(pages: DataFrame, html: str, base: Column) -> DataFrame:
     return links.agg(F.max_by(F.struct("date", url.alias("url")), F.struct("date", url.alias("url"))).alias("l")).select("l.*")
 
 
+def containers(text: Column, most: int) -> Column:
+    """A text as consecutive pieces of whole lines, each under ``most`` characters unless one line alone is longer; their lines are all of the text."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def step(seen: Column, line: Column) -> Column:
+        fits = F.length(seen["open"]) + F.length(line) < most
+        done = F.when(fits | seen["open"].isNull(), seen["done"]).otherwise(F.array_append(seen["done"], seen["open"]))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(seen["open"], F.lit("\n"), line)).otherwise(line).alias("open"))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda seen: F.array_append(seen["done"], seen["open"]))
+
+
 def sections(pages: DataFrame, key: str, html: str, most: int = 30_000, least: int = 20) -> DataFrame:
-    """(key, part, section, anchor, text): texts below each heading of a page, in order.
+    """(key, part, piece, section, anchor, text): texts below each heading of a page, in order; a long one goes on in further pieces.
 
     Done on the markup by expressions: a page is cut before its headings, each
     cut gives its heading, anchor and cleaned text.
@@ -149,8 +162,9 @@ def sections(pages: DataFrame, key: str, html: str, most: int = 30_000, least: i
     heading = F.regexp_extract("cut", r"(?is)^<h[1-6]\b[^>]*>(.*?)</h[1-6]", 1)
     anchor = F.regexp_extract("cut", r"""(?is)^<h[1-6]\b[^>]*\bid=["']([^"']+)""", 1)
     rest = F.regexp_replace("cut", r"(?is)^<h[1-6]\b[^>]*>.*?</h[1-6]\s*>", "")
-    out = spread.select(key, "part", F.coalesce(squeeze(clean_text(heading)), F.lit("")).alias("section"), F.nullif(anchor, F.lit("")).alias("anchor"), F.substring(clean_text(rest), 1, most).alias("text"))
-    return out.where(F.length("text") >= least)
+    out = spread.select(key, "part", F.coalesce(squeeze(clean_text(heading)), F.lit("")).alias("section"), F.nullif(anchor, F.lit("")).alias("anchor"), clean_text(rest).alias("text"))
+    pieces = F.posexplode(containers(F.col("text"), most)).alias("piece", "text")
+    return out.where(F.length("text") >= least).select(key, "part", "section", "anchor", pieces).select(key, "part", "piece", "section", "anchor", "text")
 
 
 def content_kind(content: Column, mime: Column, name: Column) -> Column:

@@ -182,3 +182,14 @@ def test_sections(spark):
 
 def test_schema_conforms(spark):
     assert conform(spark.createDataFrame([("1",)], "opportunity_id string")).schema.simpleString() == RECORD.simpleString()
+
+
+def test_long_sections_go_on(spark):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    html = "<p>" + "</p><p>".join(lines) + "</p><h2 id='b'>Next</h2><p>a short section of its own</p><h2>Long</h2><p>" + "y" * 70_000 + "</p>"
+    got = readers.sections(spark.createDataFrame([(1, html)], "k int, h string"), "k", "h").orderBy("part", "piece").collect()
+    first = [r["text"] for r in got if r["section"] == ""]
+    assert len(first) > 1 and all(len(t) <= 30_000 for t in first)
+    assert "\n".join(first).split() == " ".join(lines).split()
+    assert [(r["part"], r["piece"]) for r in got] == [*((0, i) for i in range(len(first))), (1, 0), (2, 0)]
+    assert [(r["section"], len(r["text"])) for r in got[len(first) :]] == [("Next", 26), ("Long", 70_000)]
