@@ -25,13 +25,13 @@ from __future__ import annotations
 import os
 import re
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +41,15 @@ from pyspark.sql import Window as W
 from tabulon.llm.common import materialise, new_path
 
 INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u4")])
-_WORDS_KEPT = 1_000_000
+#: Most tasks that read shards back.
+READERS = 10_000
+#: Words of either generation of the cache; characters that are split at once.
+_WORDS_KEPT, _CHUNK = 300_000, 2 << 20
 #: Letters from U+0300 on, where combining marks begin, and the opening of special tokens.
-_KEEP_CASE = re.compile("[\u0300-\U0010ffff]|<[|]")
+_KEEP_CASE = r"[\x{300}-\x{10ffff}]|<[|]"
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Stands between words that are encoded together.
+_MARK = "\x01"
 
 
 def masked(data: bytes) -> int:
@@ -89,39 +95,143 @@ class WordEncoder:
     word is encoded once and its ids are reused. Where the normaliser also
     lowers case, words that differ in the case of A-Z only share an entry; texts
     with marks that may combine with a letter, or with an opening of a special
-    token, are left as they are.
+    token, are left as they are. Where the tokenizer always parts letters from
+    the punctuation behind them, both are looked up by themselves. New words
+    are encoded many at once with a mark between them. The cache has two
+    generations of bounded size.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.steady = self.tokenizer.normalizer.normalize_str(letters) == letters
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
-        self.known: dict[bytes, bytes] = {}
-
-    def words(self, text: str | None) -> list[bytes]:
-        data = (text or "").encode("utf-8", "replace")
-        return (data.lower() if self.lowers and not _KEEP_CASE.search(text or "") else data).split()
+        self.tails = self._tails()
+        mark = [t.encode(_MARK, add_special_tokens=False).ids for t in (self.tokenizer, self.plain)]
+        self.mark = mark[0][0] if len(mark[0]) == 1 and mark[0] == mark[1] else None
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
+
+    def _tails(self) -> bytes:
+        """Punctuation that is parted from letters before it, alone or behind another such character."""
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        some = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+        parted = [c for c in some if [at for _, at in cut(f"ab{c}")] == [(0, 2), (2, 3)]]
+        whole = all([at for _, at in cut(f"ab{c}{d}")] == [(0, 2), (2, 4)] for c in parted for d in parted)
+        return "".join(parted).encode() if whole else b""
+
+    def _letters(self, word: bytes) -> bool:
+        """Whether this is Latin letters only, once normalised too."""
+        text = word.decode()
+        return text.isalpha() and max(text) < "\u0250" and self.tokenizer.normalizer.normalize_str(text).isalpha()
+
+    def _run(self, tokenizer, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of each word, 200 at a time where the mark can part them."""
+        size = 1 if self.mark is None else 200
+        for at in range(0, len(words), 100 * size):
+            groups = [words[i : i + size] for i in range(at, min(at + 100 * size, len(words)), size)]
+            joined = [f" {_MARK} ".encode().join(g).decode() for g in groups]
+            for group, made in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(made.ids, self.kind)
+                cuts = np.flatnonzero(ids == self.mark) if size > 1 else np.array([], np.int64)
+                if len(cuts) != len(group) - 1:
+                    raise ValueError("the tokenizer does not keep words apart")
+                data, width = ids.tobytes(), ids.itemsize
+                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
+                yield from (data[a:b] for a, b in zip(starts, ends))
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.young) > _WORDS_KEPT:
+            self.old, self.young = self.young, {b"": b""}
+        known, old, tails, parted, rest = self.young, self.old, self.tails, [], {}
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+                continue
+            core = w.rstrip(tails)
+            if len(core) < len(w) and (core.isalpha() or self._letters(core)):
+                tail = w[len(core) :]
+                parted.append((w, core, tail))
+                rest[core] = rest[tail] = None
+            else:
+                rest[w] = None
+        rest = [w for w in rest if w not in known]
+        known.update((w, old[w]) for w in rest if w in old)
+        rest = [w for w in rest if w not in known]
+        plain = [w for w in rest if self.steady and w.isalpha() and w.islower()]
+        marked = [w for w in rest if _MARK.encode() in w]
+        for w in marked:
+            known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        known.update(zip(plain, self._run(self.plain, plain)))
+        other = [w for w in rest if w not in known]
+        known.update(zip(other, self._run(self.tokenizer, other)))
+        for w, core, tail in parted:
+            known[w] = known[core] + known[tail]
+
+    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, laid end to end, and where each text's begin and end."""
+        if self.lowers:
+            kept = pc.match_substring_regex(texts, _KEEP_CASE)
+            texts = pc.if_else(kept, texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        names = _bytes(coded.dictionary)
+        new = [w for w in names if w not in self.young]
+        if new:
+            self._learn(new)
+        parts = [*map(self.young.get, names)]
+        if None in parts:  # the generations have just changed
+            self._learn([w for w, p in zip(names, parts) if p is None])
+            parts = [self.young[w] for w in names]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(self.kind).itemsize
+        held, codes = np.frombuffer(b"".join(parts), self.kind), coded.indices.to_numpy()
+        count = size[codes]
+        end = np.append(0, np.cumsum(count))
+        ids = held[np.arange(end[-1]) + np.repeat((np.cumsum(size) - size)[codes] - end[:-1], count)]
+        return ids, end[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, kind = self.known, "I" if self.wide else "H"
-        split = [self.words(t) for t in texts]
-        used = set().union(*split)
-        new = list(used.difference(known))
-        if known and len(known) + len(new) > _WORDS_KEPT:
-            known.clear()
-            new = list(used)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                ids = array(kind, e.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                known[w] = ids.tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        """Ids of each text, little-endian; null is empty."""
+        return [*self.stream(pa.array(texts, "large_string"))]
+
+    def stream(self, texts: pa.Array) -> Iterator[bytes]:
+        """The same for a column of texts, chunk by chunk."""
+        texts = pc.fill_null(texts.cast("large_string"), "")
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            some = max(1, int(np.searchsorted(np.cumsum(size[at : at + 20_000]), _CHUNK, "right")))
+            if size[at] > _CHUNK:
+                pieces = (self._chunk(pa.array([p], "large_string"))[0].tobytes() for p in _pieces(texts[at].as_py()))
+                yield b"".join(pieces)
+            else:
+                ids, cuts = self._chunk(texts[at : at + some])
+                yield from (ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+            at += some
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    """Of a string array without nulls; faster than through Python strings."""
+    _, ends, data = words.cast("large_binary").buffers()
+    at = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    held = data.to_pybytes() if data else b""
+    return [held[a:b] for a, b in zip(at, at[1:])]
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in parts that end before white space."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + _CHUNK)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -156,27 +266,26 @@ class _Shard:
         return {"shard": self.name, "n_docs": len(index), "n_tokens": int(index["n_tokens"].sum()), "n_bytes": self.size}
 
 
-def _write(batches: Iterator[pd.DataFrame], uri: str, tokenizer: str, end_id: int, shard_bytes: int, deflate: bool) -> Iterator[pd.DataFrame]:
+def _write(batches: Iterator[pa.RecordBatch], uri: str, tokenizer: str, end_id: int, shard_bytes: int, deflate: bool) -> Iterator[pa.RecordBatch]:
     fs, folder = pyarrow.fs.FileSystem.from_uri(uri)
     fs.create_dir(folder, recursive=True)
     enc, shard, roll, done = encoder(tokenizer), None, 0, []
     end = np.array([end_id], dtype=enc.kind).tobytes()
     part = TaskContext.get().partitionId()
     for batch in batches:
-        ids, texts, absent = batch["id"].tolist(), batch["text"], batch["absent"].tolist()
-        for at in range(0, len(ids), 256):
-            for i, body in enumerate(enc.encode(texts[at : at + 256].tolist()), at):
-                if shard is None:
-                    shard = _Shard(fs, folder, f"{part:08d}-{roll:04d}")
-                body += end
-                shard.add(pack(None if absent[i] else ids[i], body, enc.wide, deflate), len(body) // len(end))
-                if shard.size >= shard_bytes:
-                    done.append(shard.close())
-                    shard, roll = None, roll + 1
+        ids, absent = batch.column("id").to_pylist(), batch.column("absent").to_pylist()
+        for i, body in enumerate(enc.stream(batch.column("text"))):
+            if shard is None:
+                shard = _Shard(fs, folder, f"{part:08d}-{roll:04d}")
+            body += end
+            shard.add(pack(None if absent[i] else ids[i], body, enc.wide, deflate), len(body) // len(end))
+            if shard.size >= shard_bytes:
+                done.append(shard.close())
+                shard, roll = None, roll + 1
     if shard is not None:
         done.append(shard.close())
     if done:
-        yield pd.DataFrame(done)
+        yield pa.RecordBatch.from_pylist(done)
 
 
 def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 64 << 20, deflate: bool = False) -> DataFrame:
@@ -188,7 +297,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int, id_col: str =
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("absent"), text.alias("text"))
     order = [F.col("absent").desc(), F.col("id"), F.xxhash64("text")]
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    made = sorted_rows.mapInPandas(lambda b: _write(b, uri, tokenizer, end_id, shard_bytes, deflate), "shard string, n_docs long, n_tokens long, n_bytes long")
+    made = sorted_rows.mapInArrow(lambda b: _write(b, uri, tokenizer, end_id, shard_bytes, deflate), "shard string, n_docs long, n_tokens long, n_bytes long")
     made = materialise(made, "record-shards")
     before = F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     return made.withColumn("start", F.coalesce(before, F.lit(0)))
@@ -216,7 +325,9 @@ def _read(batches: Iterator[pd.DataFrame], uri: str) -> Iterator[pd.DataFrame]:
 
 def read_digests(spark: SparkSession, manifest: DataFrame, uri: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record, from the files; all checksums and the index are checked."""
-    shards = manifest.select("shard", "start").repartition("shard")
+    shards = manifest.select("shard", "start")
+    # an explicit number, which adaptive execution leaves as it is: a shard a task
+    shards = shards.repartition(max(1, min(manifest.count(), READERS)))
     return shards.mapInPandas(lambda b: _read(b, uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
