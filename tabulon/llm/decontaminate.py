@@ -4,12 +4,13 @@ A text becomes a list of tokens; numbers, names and units keep their value
 behind a type mark, and a token's *template* is the mark alone (or the word).
 Windows of ``window`` templates of all benchmark items are hash-joined with the
 windows of all documents, so a question whose numbers, names or units were
-exchanged still meets its original. Hits on one alignment of a text with an
-item are put together, and the slots on it are checked: every original value
-must stand for one new value and the other way round. An alignment that is
-consistent and covers ``least`` tokens, or the item, is a leak. So is one with
-a run of ``least`` equal tokens, unless one value of the text stands for two of
-the item.
+exchanged still meets its original. The join has two steps: each window of the
+benchmark has an anchor, its pair of neighbouring templates with the most
+letters; where a document holds that pair, its window around it is hashed and
+compared. Hits on one alignment of a text with an item are put together, and
+the slots on it are checked: every original value must stand for one new value
+and the other way round. An alignment that is consistent and covers ``least``
+tokens, or the item, is a leak. So is one with a run of ``least`` equal tokens.
 
 A window with fewer than half of its tokens outside slots would match by
 shape alone; there the values themselves are hashed. Items shorter than a
@@ -18,8 +19,8 @@ window are looked for at their own length.
 Names are capitalised words inside a sentence, units are unit words behind a
 number, numbers start with a digit. What stands before an item decides on the
 mark of its first word, so an item is looked for with either form of it; that
-word itself must be equal. Null and empty texts never match. Copies
-share their hits through a digest of the text. Null or repeated ids are rows
+word itself must be equal. Null and empty texts never match. Hits are kept
+by a digest of the text, so copies share them. Null or repeated ids are rows
 like any other. With an empty benchmark nothing leaks. Further columns pass
 through ``clean`` untouched whatever their names.
 """
@@ -39,8 +40,7 @@ BROADCAST_WINDOWS = 500_000
 #: Unit words.
 UNITS = "kg|g|mg|lbs?|oz|km|cm|mm|m|mi|miles?|met(?:er|re)s?|feet|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|percent|lit(?:er|re)s?|ml|l"
 
-MARKS = ("@", "~", "#")
-_NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},;:][\x20\x09-\x0D]{1,2})"
+_NAME = r"[\x20\x09-\x0D](?=\p{Lu})(?<=[\p{L}\p{N},;:][\x20\x09-\x0D]{1,2})"
 _POINT = r"[.,](?<=[0-9][.,])(?=[0-9])"
 _UNIT = rf"([0-9%])\x20?({UNITS})(?![\p{{L}}\p{{N}}])"
 _OTHER = r"[^\p{L}\p{N}@~_]+"
@@ -48,51 +48,40 @@ _OTHER = r"[^\p{L}\p{N}@~_]+"
 
 def tokens(text: Column) -> Column:
     """Marked tokens: ``@name``, ``~unit``, numbers with their first digit, other words in lower case."""
-    marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[@~_]", " ")
-    marked = F.regexp_replace(marked, _NAME, "@")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    free = F.when(text.contains("@") | text.contains("~") | text.contains("_"), F.regexp_replace(text, r"[@~_]", " ")).otherwise(text)
+    marked = F.regexp_replace(free, _NAME, "$0@")
     marked = F.regexp_replace(F.regexp_replace(marked, _POINT, "_"), _UNIT, "$1 ~$2")
-    words = F.trim(F.regexp_replace(F.lower(marked), _OTHER, " "))
-    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+    return F.array_remove(F.split(F.lower(marked), _OTHER), "")
 
 
 def kind(token: Column) -> Column:
     """Mark of a slot token, null for a word."""
-    first = F.substring(token, 1, 1)
-    return F.when(first.isin("@", "~"), first).when(first.between("0", "9"), F.lit("#"))
+    first = F.ascii(token)
+    return F.when(first == ord("@"), "@").when(first == ord("~"), "~").when(first.between(ord("0"), ord("9")), "#")
 
 
-def _codes(tokens_: Column) -> Column:
-    return F.transform(tokens_, lambda t: F.xxhash64(t))
+def shape(token: Column) -> Column:
+    """The template of a token: its mark, or the word."""
+    return F.coalesce(kind(token), token)
 
 
-def _windows(length: int) -> Column:
-    """Hashes of all windows of so many tokens, in order, from shapes, values and n_slots."""
-    none = F.array().cast("array<bigint>")
-    marks = F.array(*[F.xxhash64(F.lit(m)) for m in MARKS])
-    starts = F.sequence(F.lit(1), F.greatest(F.size("shapes") - length + 1, F.lit(1)))
+def _windows(items: DataFrame) -> DataFrame:
+    """(item, item_row, length, b_pos, by_shape, hash, offset, anchor) of all windows of ``length`` of an item's tokens."""
+    keep = ["item", "item_row", "length", "b_pos", "by_shape"]
+    starts = items.select("item", "item_row", "length", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("length"))).alias("b_pos"))
+    own = starts.withColumn("own", F.explode(F.array(F.slice("toks", F.col("b_pos") + 1, F.col("length")))))
+    own = own.withColumn("by_shape", F.size(F.filter("own", lambda t: kind(t).isNotNull())) * 2 <= F.col("length"))
+    used = own.select(*keep, F.explode(F.array(F.when(F.col("by_shape"), F.transform("own", shape)).otherwise(F.col("own")))).alias("used"))
+    pairs = used.select(*keep, "used", F.posexplode("used").alias("offset", "first")).withColumn("second", F.get("used", F.col("offset") + 1))
+    pairs = pairs.where((F.col("length") == 1) | F.col("second").isNotNull()).withColumn("second", F.coalesce("second", F.lit("")))
+    letters = F.length(F.regexp_replace(F.concat("first", "second"), r"[^\p{L}\p{N}]", ""))
+    best = F.max_by(F.struct("offset", F.xxhash64("first", "second").alias("anchor"), window_hash(F.col("used")).alias("hash")), F.struct(letters, -F.col("offset"))).alias("best")
+    return pairs.groupBy(*keep).agg(best).select(*keep, "best.*")
 
-    def by_shape(i: Column) -> Column:
-        return F.xxhash64(F.slice("shapes", i, length), F.lit(length))
 
-    def by_either(i: Column) -> Column:
-        slots = F.size(F.filter(F.slice("shapes", i, length), lambda t: F.array_contains(marks, t)))
-        return F.when(slots * 2 <= length, by_shape(i)).otherwise(F.xxhash64(F.slice("values", i, length), F.lit(length)))
-
-    # a text of few slots has no window with too many
-    found = F.when(F.col("n_slots") * 2 <= length, F.transform(starts, by_shape)).otherwise(F.transform(starts, by_either))
-    return F.when(F.size("shapes") >= length, found).otherwise(none)
-
-
-def _tokenised(rows: DataFrame, *keep: str) -> DataFrame:
-    """Adds the tokens of text as toks, and what _coded adds."""
-    return _coded(rows.select(*keep, F.explode(F.array(tokens(F.col("text")))).alias("toks")), *keep)
-
-
-def _coded(out: DataFrame, *keep: str) -> DataFrame:
-    """Adds the hashes of the shapes and values of toks, and the number of slots; each computed once a row."""
-    shapes = F.transform("toks", lambda t: F.coalesce(kind(t), t))
-    slots = F.size(F.filter("toks", lambda t: kind(t).isNotNull()))
-    return out.select(*keep, "toks", F.explode(F.array(F.struct(_codes(shapes).alias("shapes"), _codes(F.col("toks")).alias("values"), slots.alias("n_slots")))).alias("c")).select(*keep, "toks", "c.*")
+def window_hash(used: Column) -> Column:
+    return F.xxhash64(used, F.size(used))
 
 
 def _leads(items: DataFrame) -> DataFrame:
@@ -105,38 +94,53 @@ def _leads(items: DataFrame) -> DataFrame:
     return out.select("item", "lead", F.when(F.col("lead") == "", F.col("toks")).otherwise(marked).alias("toks"))
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """item, item_row (a digest of the item), toks, lead, length of its windows, and their hashes."""
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """The items (item, item_row: a digest of the item, toks, lead, length of its windows), and their windows."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
-    items = _coded(_leads(items), "item", "lead").withColumn("item_row", F.xxhash64("item", "toks"))
-    items = items.withColumn("length", F.least(F.size("toks"), F.lit(window)))
-    by_length = F.coalesce(*[F.when(F.col("length") == n, _windows(n)) for n in range(1, window + 1)])
-    return materialise(items.select("item", "item_row", "toks", "lead", "length", by_length.alias("hashes")).dropDuplicates(["item_row"]), "benchmark-windows")
-
-
-def _hits(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
+    items = _leads(items).withColumn("item_row", F.xxhash64("item", "toks")).withColumn("length", F.least(F.size("toks"), F.lit(window)))
+    items = materialise(items.select("item", "item_row", "toks", "lead", "length").dropDuplicates(["item_row"]), "benchmark-items")
+    return items, materialise(_windows(items), "benchmark-windows")
+
+
+def _pairs(texts: DataFrame, values: bool, single: bool) -> DataFrame:
+    """(text_key, toks, pos, anchor): every pair of neighbouring tokens of text, as templates; asked for, also as they are where these differ, and each token alone."""
+    toks = texts.select("text_key", F.explode(F.array(tokens(F.col("text")))).alias("toks"))
+    placed = toks.select("text_key", "toks", F.posexplode("toks").alias("pos", "first")).withColumn("second", F.get("toks", F.col("pos") + 1))
+    first, second = F.col("first"), F.col("second")
+    there, slots = second.isNotNull(), kind(first).isNotNull() | kind(second).isNotNull()
+    keys = [F.when(there, F.xxhash64(shape(first), shape(second)))]
+    if values:
+        keys.append(F.when(there & slots, F.xxhash64(first, second)))
+    if single:
+        keys += [F.xxhash64(shape(first), F.lit("")), F.when(kind(first).isNotNull(), F.xxhash64(first, F.lit("")))]
+    anchor = keys[0] if len(keys) == 1 else F.explode(F.array(*keys))
+    return placed.select("text_key", "toks", "pos", anchor.alias("anchor")).where("anchor is not null")
+
+
+def _hits(docs: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
     """(text_key, item, item_row, shift, b_pos, d_toks): windows that a text and an item share."""
-    size = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)), F.array_sort(F.collect_set("length"))).first()
-    grams = items.select("item", "item_row", "length", F.posexplode("hashes").alias("b_pos", "hash"))
+    n, by_value, single = grams.agg(F.count(F.lit(1)), F.count_if(~F.col("by_shape")), F.count_if(F.col("length") == 1)).first()
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("text_key", F.unhex(F.md5("text")))
-    toks = _tokenised(texts, "text_key")
-    hashes = F.concat(F.array().cast("array<struct<pos:int,hash:bigint>>"), *[_placed(_windows(n)) for n in size[1]])
-    own = F.slice("toks", F.col("pos") + 1, F.col("length")).alias("d_toks")
-    shift = (F.col("pos") - F.col("b_pos")).alias("shift")
-    if size[0] <= BROADCAST_WINDOWS:
-        spread = toks.select("text_key", "toks", F.explode(hashes).alias("w")).select("text_key", "toks", "w.pos", "w.hash")
-        return spread.join(F.broadcast(grams), "hash").select("text_key", "item", "item_row", shift, "b_pos", own)
-    # a benchmark too large to broadcast: only hashes are shuffled, the few texts that are hit are read again
-    spread = toks.select("text_key", F.explode(hashes).alias("w")).select("text_key", "w.pos", "w.hash")
-    met = materialise(spread.join(grams, "hash").select("text_key", "item", "item_row", "length", "pos", "b_pos").distinct(), "template-hits")
-    again = texts.join(met.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    return met.join(again.select("text_key", tokens(F.col("text")).alias("toks")), "text_key").select("text_key", "item", "item_row", shift, "b_pos", own)
+    spread = _pairs(texts, by_value > 0, single > 0)
+    start = F.col("pos") - F.col("offset")
+    if n <= BROADCAST_WINDOWS:
+        met = spread.join(F.broadcast(grams), "anchor")
+    else:
+        # a benchmark too large to broadcast: only hashes are shuffled, the few texts that are met are read again
+        met = materialise(spread.drop("toks").join(grams, "anchor").select("text_key", "item", "item_row", "length", "b_pos", "by_shape", "hash", "offset", "pos").distinct(), "template-anchors")
+        again = texts.join(met.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+        met = met.join(again.select("text_key", tokens(F.col("text")).alias("toks")), "text_key")
+    met = met.where((start >= 0) & (start + F.col("length") <= F.size("toks")))
+    # behind an explode, which keeps the interpreted functions out of the join and its loop over all pairs
+    met = met.withColumn("own", F.explode(F.array(F.slice("toks", start + 1, F.col("length")))))
+    met = met.withColumn("own_hash", F.explode(F.array(window_hash(F.when(F.col("by_shape"), F.transform("own", shape)).otherwise(F.col("own"))))))
+    return met.where("own_hash = hash").select("text_key", "item", "item_row", (start - F.col("b_pos")).alias("shift"), "b_pos", F.col("own").alias("d_toks"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """(text_key, item, covered): distinct leaked texts by the digest of the text."""
-    items = benchmark_windows(benchmark, item_col, item_text_col, window)
-    hits = materialise(_hits(docs, items, text_col).distinct(), "template-windows")
+    items, grams = benchmark_windows(benchmark, item_col, item_text_col, window)
+    hits = materialise(_hits(docs, grams, text_col).distinct(), "template-windows")
     pairs = hits.join(items.select("item_row", "toks", "lead"), "item_row")
     aligned = F.transform("d_toks", lambda d, j: F.struct((F.col("b_pos") + j).alias("at"), F.get("toks", F.col("b_pos") + j).alias("b"), d.alias("d")))
     pairs = pairs.select("text_key", "item", "item_row", "lead", "shift", F.size("toks").alias("n"), F.explode(aligned).alias("p")).distinct()
@@ -151,7 +155,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         _longest_run(F.array_sort(F.collect_set(F.when(F.col("p.b") == F.col("p.d"), F.col("p.at"))))).alias("equal"),
     )
     # one value of the item for one of the text, and the other way round
-    sound = (F.col("n_d") == F.col("n_pairs")) & ((F.col("n_b") == F.col("n_pairs")) & (F.col("covered") >= F.least("n", F.lit(least))) | (F.col("equal") >= least))
+    consistent = (F.col("n_b") == F.col("n_pairs")) & (F.col("n_d") == F.col("n_pairs"))
+    sound = consistent & (F.col("covered") >= F.least("n", F.lit(least))) | (F.col("equal") >= least)
     return whole.where(sound).groupBy("text_key", "item").agg(F.max("covered").alias("covered"))
 
 
@@ -166,12 +171,8 @@ def _longest_run(places: Column) -> Column:
     return F.aggregate(places, start, step, lambda seen: seen["most"])
 
 
-def _placed(hashes: Column) -> Column:
-    return F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-
-
 def leaked_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc id, item_id, covered): every document and the items that leak into it."""
+    """(doc id, item_id, covered): the documents into which an item leaks, and the items."""
     found = leaks(docs, benchmark, text_col, **options)
     keyed = docs.select(F.col(id_col), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("text_key"))
     return keyed.join(found, "text_key").select(id_col, F.col("item").alias("item_id"), "covered")

@@ -346,7 +346,7 @@ def test_template_leaks(spark, monkeypatch, carry):
         monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", -1)
     rng = random.Random(7)
     other = ITEM.replace("Anna", "Carla").replace("Boris", "Dmitri").replace("12", "31").replace(" 5 ", " 7 ")
-    mixed = ITEM.replace("does Anna", "does Boris")  # one name stands for two
+    mixed = other.replace("does Carla", "does Dmitri")  # one name stands for two, and no 13 tokens are equal
     texts = [prose(rng, 50) + " " + ITEM + " " + prose(rng, 50), "So it was. " + other, mixed, prose(rng, 300), None, "", ITEM[:40]]
     bench = spark.createDataFrame([(7, ITEM), (8, None), (9, ""), (10, "a short one")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_documents(docs_of(spark, [*texts, "this is a short one indeed"]), bench).collect()}
@@ -362,9 +362,83 @@ def test_verbatim_leaks(spark):
         ITEM.replace("does Anna", "does Carla"),  # 20 tokens stand as they were
         ITEM.replace("does Anna", "does Carla").replace("her friend", "his uncle"),  # 10 at most
         "In 12 hours of sleep are lost many.",
+        ITEM.replace("does Anna", "does Boris"),  # 20 tokens stand as they were, though one name stands for two
     ]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_documents(docs_of(spark, texts), bench).collect()}
-    assert got == {(0, 1), (1, 1), (3, 2), (5, 3)}
+    assert got == {(0, 1), (1, 1), (3, 2), (5, 3), (6, 2)}
+
+
+def leaks_by_force(texts, items, window=8, least=13):
+    """(text number, item number): all alignments of all windows, by plain loops over the marked tokens."""
+
+    def kind(t):
+        return t[0] if t[0] in "@~" else "#" if t[0] in "0123456789" else None
+
+    def shaped(ts):
+        return [kind(t) or t for t in ts]
+
+    out = set()
+    for i, (item, lead) in enumerate(items):
+        length = min(len(item), window)
+        for d, text in enumerate(texts):
+            met = {}
+            for b in range(len(item) - length + 1):
+                own = item[b : b + length]
+                by_shape = sum(kind(t) is not None for t in own) * 2 <= length
+                for at in range(len(text) - length + 1):
+                    there = text[at : at + length]
+                    if shaped(own) == shaped(there) if by_shape else own == there:
+                        met.setdefault(at - b, set()).update(range(b, b + length))
+            for shift, places in met.items():
+                places = sorted(p for p in places if not lead or p > 0 or item[p] == text[p + shift])
+                pairs = {(item[p], text[p + shift]) for p in places if kind(item[p])}
+                sound = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+                equal = "".join("x" if p in places and item[p] == text[p + shift] else " " for p in range(len(item)))
+                if sound and len(places) >= min(len(item), least) or max(map(len, equal.split()), default=0) >= least:
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("carry", [True, False])
+def test_leaks_by_force(spark, monkeypatch, carry):
+    """Items of all lengths, in texts with their slots, words and order changed at random."""
+    if not carry:
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", -1)
+    rng = random.Random(14)
+    word = ["the", "of", "and", "apples", "gives", "near", "river", "12", "7", "3.5", "Anna", "Boris", "5 kg", "9 hours", "old", "basket"]
+    items = [" ".join(rng.choice(word) for _ in range(n)) for n in (1, 2, 3, 7, 8, 9, 13, 20, 20, 40)] + ["1 2 3 4 5 6 7 8 9 10 11 12 13 14", "Anna 5 Boris 7 12 9 Anna 3"]
+    texts = []
+    for _ in range(150):
+        some = rng.choice(items).split()
+        swap = {w: rng.choice(["31", "8", "Carla", "Dmitri"]) for w in ("12", "7", "Anna", "Boris")} if rng.random() < 0.6 else {}
+        some = [swap.get(w, w) for w in some]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            some[rng.randrange(len(some))] = rng.choice(word)
+        texts.append(" ".join([*rng.choices(word, k=rng.randint(0, 9)), *some, *rng.choices(word, k=rng.randint(0, 9))]))
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_documents(docs_of(spark, texts), bench).collect()}
+    marked = [r["t"] for r in docs_of(spark, texts).orderBy("doc_id").select(decontaminate.tokens(F.col("text")).alias("t")).collect()]
+    forms = [(r["item"], r["toks"], r["lead"]) for r in decontaminate.benchmark_windows(bench, "item_id", "text", 8)[0].collect()]
+    found = {(d, forms[i][0]) for d, i in leaks_by_force(marked, [(t, lead) for _, t, lead in forms])}
+    assert got == found and len({i for _, i in got}) >= 8
+
+
+def test_given_leaks_by_force(spark, sf_dir):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = docs.where("text is not null").select("doc_id", decontaminate.tokens(F.col("text")).alias("t")).collect()
+    forms = [(r["item"], r["toks"], r["lead"]) for r in decontaminate.benchmark_windows(bench, "item_id", "text", 8)[0].collect()]
+    rare = {}
+    for d, r in enumerate(rows):  # texts that share three templates in a row with an item; others cannot share eight
+        shapes = [t[0] if t[0] in "@~" else "#" if t[0] in "0123456789" else t for t in r["t"]]
+        for three in zip(shapes, shapes[1:], shapes[2:]):
+            rare.setdefault(three, set()).add(d)
+    found = set()
+    for item, toks, lead in forms:
+        shapes = [t[0] if t[0] in "@~" else "#" if t[0] in "0123456789" else t for t in toks]
+        near = sorted(set.union(*(rare.get(three, set()) for three in zip(shapes, shapes[1:], shapes[2:])))) if len(toks) > 2 else [*range(len(rows))]
+        found |= {(rows[near[d]]["doc_id"], item) for d, _ in leaks_by_force([rows[d]["t"] for d in near], [(toks, lead)])}
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontamination"](spark, sf_dir).collect()}
+    assert got == found and got
 
 
 def test_clean_keeps_the_rest(spark, odd):
