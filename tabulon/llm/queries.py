@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, langid, mixing, neighbours, quality, records, secrets, simhash, toxicity, webtext
-from tabulon.llm.common import held_out, materialise, table
+from tabulon.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,8 +29,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document by the mix of all sources."""
-    sized = materialise(mixing.measure(table(spark, sf_dir, "documents")), "mix-sizes")
-    out = mixing.assign(sized)
+    out = mixing.assign(mixing.measure(table(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
