@@ -9,12 +9,14 @@ word; a document's score is its highest window's, calibrated on documents.
 Training is multiple-instance: a document's label is taken to be that of its
 highest-scoring window, chosen anew each epoch (before the first one by the
 log-odds of its n-grams). It sees a bounded sample: at most ``MAX_DOCS`` labelled
-documents of each label, in hash order of their ids, of at most ``MAX_CHARS``
-characters each. Scoring runs over whole texts of any length, in chunks of
+rows of each label, in hash order of their ids, those of at most ``MAX_CHARS``
+characters first. Of a longer one, which counts where too few are shorter, a
+run of ``LONG_CHARS`` characters is taken from a hash-random place. Scoring runs over whole texts of any length, in chunks of
 bounded size.
 
 Null, empty and blank texts score 0. A null label is no label. With no usable
-labels of both kinds every score is 0. Repeated rows get equal scores. An empty
+labels of both kinds every score is 0. Repeated rows get equal scores and are
+one row of the sample. An empty
 table gives an empty result; columns pass through ``keep_clean`` untouched
 whatever their names.
 """
@@ -34,7 +36,7 @@ from tabulon.llm.common import held_out, pick_name
 LENGTH, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 16, 8, 8
-MAX_DOCS, MAX_CHARS, EPOCHS, BATCH = 2000, 6000, 14, 96
+MAX_DOCS, MAX_CHARS, LONG_CHARS, EPOCHS, BATCH = 2000, 6000, 24_000, 14, 96
 FOLDS, FOLD = 5, 0
 _CHUNK_WORDS = 150_000
 
@@ -320,10 +322,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, FOLDS, FOLD)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).distinct()
     n = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = [F.xxhash64("id"), F.col("id")]
-    picked = usable.where("y = 0").orderBy(*order).limit(max_docs).unionByName(usable.where("y = 1").orderBy(*order).limit(max_docs))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(picked), "id").select(F.lit(0).alias("all"), "id", "text", "y")
+    text = F.col(text_col).cast("string")
+    long, tie = (F.length(text) > max_chars).alias("long"), F.xxhash64(text).alias("tie")
+    sizes = docs.select(F.col(id_col).alias("id"), long, tie).where("long is not null").join(usable, "id").distinct()
+    order = [F.col("long"), F.xxhash64("id"), F.col("id"), F.col("tie")]
+    picked = sizes.where("y = 0").orderBy(*order).limit(max_docs).unionByName(sizes.where("y = 1").orderBy(*order).limit(max_docs))
+    # bounded: at most max_docs rows of each label
+    texts = docs.select(F.col(id_col).alias("id"), tie, text.alias("text")).join(F.broadcast(picked), ["id", "tie"]).dropDuplicates(["id", "tie", "y"])
+    start = F.pmod("tie", F.greatest(F.length("text") - LONG_CHARS, F.lit(0)) + 1).cast("int")
+    some = F.when(F.col("long"), F.substring("text", start + 1, F.lit(LONG_CHARS))).otherwise(F.col("text"))
+    rows = texts.select(F.lit(0).alias("all"), "id", some.alias("text"), "y")
     prior = n.get(1, 0) / max(1, sum(n.values()))
 
     def trained(sample: pd.DataFrame) -> pd.DataFrame:
