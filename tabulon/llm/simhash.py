@@ -6,8 +6,8 @@ are shared: that is the guaranteed minimum of the count filter. The index does
 not post single bytes, whose 2,048 lists would each hold 1/256 of the corpus;
 it posts *sets* of byte positions chosen so that any five positions contain one
 of the sets (a covering design). Two disjoint halves of four positions give
-eight triples (any five positions put three into one half); sets of four
-positions are used for corpora too large for 24-bit keys. Every pair that can
+eight triples (any five positions put three into one half); for corpora too
+large for 24-bit keys 14 sets of four serve, no two of which share three. Every pair that can
 pass the filter therefore meets in at least one list, and no list is cut.
 
 Lists longer than ``cell`` are dealt into square cells of chunk pairs, so that
@@ -32,7 +32,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tabulon.llm.common import materialise, pick_name
 
@@ -59,7 +58,11 @@ def covering_sets(k: int) -> list[tuple[int, ...]]:
     """Sets of k byte positions such that any five of eight positions contain one."""
     if k == 3:
         return [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
-    return list(combinations(range(8), k))
+    chosen: list[tuple[int, ...]] = []
+    for some in combinations(range(8), k):  # for k = 4: no two share three positions, so each five hold one
+        if all(len({*some} & {*other}) < 3 for other in chosen):
+            chosen.append(some)
+    return chosen
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -465,6 +468,5 @@ def _keep_best(docs: DataFrame, firsts: DataFrame, roots: DataFrame, id_col: str
     best = materialise(best, "kept-documents")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias(f"{key}_id"), F.xxhash64(text).alias(f"{key}_tie"))
     kept = rows.join(best, F.col(f"{key}_id").eqNullSafe(best["id"]) & (F.col(f"{key}_tie") == best["tie"]), "left_semi")
-    repeats = W.partitionBy(f"{key}_id", f"{key}_tie").orderBy(F.lit(0))
-    kept = kept.withColumn(key, F.row_number().over(repeats)).where(F.col(key) == 1)
+    kept = kept.dropDuplicates([f"{key}_id", f"{key}_tie"])  # repeats are dropped before they are shuffled
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
