@@ -228,6 +228,23 @@ def test_mix_targets_and_budgets(spark):
     assert sorted((r["id"], r["taken"]) for r in got) == sorted((r["id"], r["taken"]) for r in again)
 
 
+@pytest.mark.parametrize("copies", [7, 40])
+def test_mix_of_copies(spark, monkeypatch, copies):
+    """A row that a third of the table repeats, and an id that many texts share."""
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rows = [(1, "one two three", "en", "a", 0)] * 60 + [(2, f"w{i} " * (i % 5), "en", "a", 0) for i in range(60)] + [(None, f"v{i}", "en", "b", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    got = mixing.assign(mixing.measure(docs)).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in mine) == int(mine[0]["target"] + 0.5) and all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
+    words = {}
+    for r in mixing.mix(docs).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    assert words == {s: sum(r["taken"] for r in got if r["source"] == s) for s in "ab"}
+
+
 def test_mixed_documents(spark, odd):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7 + 1)), "en", "ab"[i % 2], 0) for i in range(50)], DOCS)
     plan = {r["id"]: r["taken"] for r in mixing.assign(mixing.measure(docs)).collect()}
@@ -512,6 +529,16 @@ def test_toxicity_without_labels(spark, odd):
     assert got.columns == odd.columns and got.count() == odd.count()
 
 
+def test_long_texts_are_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 50)
+    rng = random.Random(15)
+    docs = docs_of(spark, [prose(rng, 60) + (" xqurzz" * 9 if i % 2 else "") for i in range(120)]).union(docs_of(spark, ["repeated"] * 50))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, max_chars=50)
+    p = model.probabilities(["xqurzz " * 8 + prose(rng, 20), prose(rng, 60)])
+    assert p[0] >= 0.5 > p[1]
+
+
 # --- Language ID
 
 

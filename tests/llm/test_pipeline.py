@@ -2,10 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tabulon.llm import simhash
+from tabulon.llm import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,30 +27,75 @@ def test_order_and_columns(stages):
     assert all(after.columns == COLUMNS for _, after in stages[:-1])
 
 
+def shingled(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def alike(a, b):
+    """Jaccard similarity over distinct five-word shingles; texts without words are copies."""
+    shared = len(a & b)
+    return shared >= 0.8 * (len(a) + len(b) - shared)
+
+
 def test_one_of_each_class_stays(stages):
     before, after = stages[1]
     rows = before.collect()
-    sigs = [simhash.wide_signature(r["text"]) for r in rows]
-    bits, root = simhash.most_bits(0.8), list(range(len(rows)))
+    sets, root = [shingled(r["text"]) for r in rows], list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    def linked(x, y):
-        shared = sum(a == b for a, b in zip(x[2], y[2]))
-        met = any(a == b for a, b in zip(x[1], y[1]))
-        return x[0] == y[0] or met and shared >= simhash.SHARED_BYTES and sum(bin(a ^ b).count("1") for a, b in zip(x[3], y[3])) <= bits
-
     for i in range(len(rows)):
         for j in range(i):
-            if linked(sigs[i], sigs[j]):
+            if alike(sets[i], sets[j]):
                 root[find(i)] = find(j)
     best = {}
     for i, r in enumerate(rows):
         best[find(i)] = min(best.get(find(i), r["doc_id"]), r["doc_id"])
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(best.values())
+    assert len(best) < len(rows)
+
+
+def plain_score(m, text):
+    """Highest window of a text, one word after another."""
+    words = [w.encode() for w in "".join(c.lower() for c in text or "").split()]
+    x = [m.embed([w])[0] for w in words]
+    starts = [*range(0, max(len(x) - toxicity.LENGTH, 0) + 1, toxicity.STRIDE)]
+    if len(x) > toxicity.LENGTH and starts[-1] + toxicity.LENGTH < len(x):
+        starts.append(len(x) - toxicity.LENGTH)
+    n, best = toxicity.HIDDEN, -np.inf
+
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
+    for at in starts if x else []:
+        window, states = x[at : at + toxicity.LENGTH], {}
+        for way in "fb":
+            h, out = np.zeros(n), []
+            for v in window if way == "f" else window[::-1]:
+                g, u = v @ m.p[f"{way}W"] + m.p[f"{way}b"], h @ m.p[f"{way}U"]
+                z, r = sigmoid(g[:n] + u[:n]), sigmoid(g[n : 2 * n] + u[n : 2 * n])
+                h = (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :]) + z * h
+                out.append(h)
+            states[way] = out if way == "f" else out[::-1]
+        both = np.array([np.concatenate(s) for s in zip(states["f"], states["b"])])
+        weight = np.exp(np.tanh(both @ m.p["A"] + m.p["a"]) @ m.p["v"])
+        best = max(best, float(weight / weight.sum() @ both @ m.p["o"] + m.p["c"][0]))
+    return float(sigmoid(m.scale * best + m.shift)) if x else 0.0
+
+
+def test_toxic_documents_go_by_a_plain_forward_pass(spark, sf_dir, stages):
+    before, after = stages[0]
+    model = toxicity.fit(before, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = {r["doc_id"] for r in after.collect()}
+    rows = sorted(before.collect(), key=lambda r: (r["doc_id"] in kept, len(r["text"] or "")))[:60]
+    assert any(r["doc_id"] not in kept for r in rows)
+    for r in rows:
+        score = plain_score(model, r["text"])
+        assert abs(score - 0.5) < 1e-4 or (r["doc_id"] in kept) == (score < 0.5)
 
 
 def test_leaks_go_and_the_rest_stays(spark, sf_dir, stages):
