@@ -44,7 +44,7 @@ INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u4")])
 #: Most tasks that read shards back.
 READERS = 10_000
 #: Words of either generation of the cache; characters that are split at once.
-_WORDS_KEPT, _CHUNK = 300_000, 2 << 20
+_WORDS_KEPT, _CHUNK = 150_000, 1 << 20
 #: Letters from U+0300 on, where combining marks begin, and the opening of special tokens.
 _KEEP_CASE = r"[\x{300}-\x{10ffff}]|<[|]"
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
