@@ -3,19 +3,21 @@
 Every page scores its containers by the running text in them (links count
 against it, commas and paragraphs for it), climbs from the best one to its
 outermost article or main (without one, past parents with running text of their
-own) and votes for the generalised path found: tags with their classes, digits as ``#``. Spark counts the votes
-of each host; paths with at least ``SHARE`` of a host's votes win. Each page is
+own) and votes for the generalised path found: tags with their classes, digits
+as ``#``, named by a digest of its steps. Spark counts the votes of each host; paths with at least ``SHARE`` of a host's votes win. Each page is
 then extracted again from the first of its host's winning paths, by votes, that
 it has; a page that has none uses its own best container.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments are left out wherever they stand, by tag, role or class.
-Inside an article or main only whole class names and ids count, or those made
-of such words alone, and headings stay.
-Blocks are joined in page order by one space.
+styles and comments are left out wherever they stand, by tag, role, class or
+style; so are such elements inside a line. Inside an article or main, and for
+elements inside a line, only whole class names and ids count, or those made of
+such words alone, and headings stay. Blocks are joined in page order by one space.
 
 Null, empty and mark-up-only pages give an empty text. A page cut off in the
-middle gives what it has; unclosed elements end with their parents. Null or
+middle gives what it has; unclosed elements end with their parents, or where
+HTML implies it (paragraphs, list items, table cells); end tags without a start
+are ignored. Memory and time grow in proportion to a page, however deep. Null or
 odd URLs share one host. Equal votes go to the first path in code-point order.
 Repeated rows vote and are returned as often as they occur. An empty table
 gives an empty result.
@@ -23,8 +25,10 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,7 +45,7 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title", "object", "math", "canvas", "video", "audio")}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,18 +60,37 @@ _NOISE = frozenset(
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that say nothing of their own beside a noise word.
 _PLAIN = frozenset("area articles bar block box buttons container content inline inner left links list outer posts right section top bottom wrap wrapper".split())
+_HIDDEN = frozenset("hidden invisible d-none sr-only visually-hidden screen-reader-text".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Where a start tag ends an open element of these names, and the elements that this does not reach beyond.
+_ENDS = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+    "thead": ("thead tbody tfoot", "table"), "tbody": ("thead tbody tfoot", "table"), "tfoot": ("thead tbody tfoot", "table"), "option": ("option", "select"),
+}
+_ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _ENDS.items()}
+_P, _NONE = frozenset(("p",)), frozenset()
 _WORDS = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def _noisy(marks: list[str], whole: bool) -> bool:
+    """Whether a class or id says menu, advert and the like; ``whole``: with all its words."""
+    parts = [{*_WORDS.split(c)} - {""} for c in marks]
+    if whole:
+        return any(w & (_NOISE - {"header"}) and w <= _NOISE | _PLAIN for w in parts)
+    return any(w & _NOISE for w in parts)
+
+
 class Page:
-    """Containers (path, parent, dropped) and text blocks (container, text, linked characters) of a page."""
+    """Containers (key of the path, tag, parent) and text blocks (container, text, linked characters) of a page."""
 
     def __init__(self, source: str | None):
-        self.paths: list[str] = [""]
+        self.keys: list[str] = [""]
+        self.tags: list[str] = [""]
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, dropped, in an article
+        self._opened: Counter[str] = Counter()
         self._text: list[str] = []
         self._linked, self._in_link = 0, False
         self._read(source or "")
@@ -111,84 +134,115 @@ class Page:
                 self.blocks.append((self._stack[-1][1], " ".join(words), self._linked))
             self._text, self._linked = [], 0
 
+    def _push(self, name: str, container: int, dropped: bool, inside: bool) -> None:
+        self._stack.append((name, container, dropped, inside))
+        self._opened[name] += 1
+
+    def _end(self, names: frozenset[str], beyond: frozenset[str]) -> None:
+        """Ends the innermost open element of these names, unless one of ``beyond`` lies inside it."""
+        if not any(self._opened[n] for n in names):
+            return
+        for i in range(len(self._stack) - 1, 0, -1):
+            if self._stack[i][0] in names:
+                for tag, *_ in self._stack[i:]:
+                    self._opened[tag] -= 1
+                del self._stack[i:]
+                return
+            if self._stack[i][0] in beyond:
+                return
+
     def _open(self, name: str, rest: str) -> None:
-        if name in _INLINE:
+        inline = name in _INLINE
+        if inline:
             if name == "a":
                 self._in_link = True
+            if not rest.strip(" /") and not self._opened[name]:
+                return
+        else:
+            self._flush()
+            self._in_link = False
+            self._end(_P, _CONTAINER)
+            if name in _ENDS:
+                self._end(*_ENDS[name])
+        if name in _VOID:
             return
-        self._flush()
-        self._in_link = False
-        if name in _VOID or name not in _CONTAINER and "class" not in rest and "id" not in rest and "role" not in rest:
-            return
-        found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
+        found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)} if rest else {}
         _, above, dropped, inside = self._stack[-1]
-        marks = found.get("class", "").lower().split()
-        parts = [{*_WORDS.split(c)} - {""} for c in (*marks, found.get("id", "").lower())]
-        noisy = any(w & _NOISE for w in parts)
-        if inside:
-            noisy = name not in _HEADINGS and any(w & (_NOISE - {"header"}) and w <= _NOISE | _PLAIN for w in parts)
+        classes = found.get("class", "").lower().split()
+        marks = [*classes, found.get("id", "").lower()]
+        unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or not _HIDDEN.isdisjoint(classes) or bool(_UNSEEN.search(found.get("style", "")))
+        noise = unseen or found.get("role", "").lower() in _ROLES
+        if inline:
+            noise = noise or _noisy(marks, True)
+            if noise or self._opened[name]:  # others of its name inside it have end tags too
+                self._push(name, above, dropped or noise, inside)
+            return
+        noise = noise or name in _DROPPED or name not in ("html", "body", "main", "article") and not (inside and name in _HEADINGS) and _noisy(marks, inside)
         inside = inside or name in ("article", "main")
-        noise = name in _DROPPED or name == "header" and not inside or noisy and name not in ("html", "body", "main", "article")
-        noise = noise or found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        step = ".".join([name, *sorted({_DIGITS.sub("#", c) for c in marks})])
-        self.paths.append(f"{self.paths[above]}>{step}" if self.paths[above] else step)
-        self.parents.append(above)
-        self._stack.append((name, len(self.paths) - 1, dropped or noise, inside))
+        noise = noise or name == "header" and not inside
+        if name in _CONTAINER or any(k in found for k in ("class", "id", "role")):
+            step = ".".join([name, *sorted({_DIGITS.sub("#", c) for c in classes})])
+            self.keys.append(hashlib.blake2b(f"{self.keys[above]}>{step}".encode("utf-8", "replace"), digest_size=12).hexdigest())
+            self.tags.append(name)
+            self.parents.append(above)
+            above = len(self.keys) - 1
+        self._push(name, above, dropped or noise, inside)
 
     def _close(self, name: str) -> None:
         if name in _INLINE:
             if name == "a":
                 self._in_link = False
+            if self._opened[name]:
+                self._end(frozenset((name,)), _CONTAINER)
             return
         self._flush()
         self._in_link = False
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == name:
-                del self._stack[i:]
-                break
+        # paragraphs, items and the like end inside their container; a container ends whatever is open in it
+        self._end(frozenset((name,)), _NONE if name in _CONTAINER else _ENDS[name][1] if name in _ENDS else _CONTAINER)
 
     def best(self) -> str | None:
-        """Path that holds the container with the most running text of its own; a parent gets half of its children's."""
-        scores = [0.0] * len(self.paths)
+        """Key of the path that holds the container with the most running text of its own; a parent gets half of its children's."""
+        scores = [0.0] * len(self.keys)
         for at, text, linked in self.blocks:
             worth = max(0, len(text) - 2 * linked) + 25 * text.count(",") + 10
             share = 1.0
             while at > 0 and share > 0.2:
                 scores[at] += worth * share
                 at, share = self.parents[at], share / 2
-        for i, path in enumerate(self.paths):
-            step = path.rpartition(">")[2].split(".")[0]
-            scores[i] *= 1.5 if step in ("article", "main") else 1.0
+        for i, tag in enumerate(self.tags):
+            scores[i] *= 1.5 if tag in ("article", "main") else 1.0
         top = max(range(len(scores)), key=lambda i: (scores[i], -i))
-        return self.paths[self._climb(top)] if scores[top] > 0 else None
-
-    def _tag(self, at: int) -> str:
-        return self.paths[at].rpartition(">")[2].split(".")[0]
+        return self.keys[self._climb(top)] if scores[top] > 0 else None
 
     def _climb(self, at: int) -> int:
         """The outermost article or main around a container, else the last parent in a row with running text of its own."""
         above, up = [], at
         while up > 0:
-            if self._tag(up) in ("article", "main"):
+            if self.tags[up] in ("article", "main"):
                 above.append(up)
             up = self.parents[up]
         if above:
             return above[-1]
         own = set()
         for block, text, linked in self.blocks:
-            while block > 0 and self._tag(block) not in _CONTAINER:  # a paragraph with a class
-                block = self.parents[block]
             if len(text) > 2 * linked:
-                own.add(block)
-        while self.parents[at] > 0 and self._tag(self.parents[at]) not in ("html", "body") and self.parents[at] in own:
+                own.add(self._outer(block))
+        at = self._outer(at)
+        while self.parents[at] > 0 and self.tags[self.parents[at]] not in ("html", "body") and self._outer(self.parents[at]) in own:
+            at = self._outer(self.parents[at])
+        return at
+
+    def _outer(self, at: int) -> int:
+        """The container around a paragraph or heading with a class."""
+        while self.parents[at] > 0 and self.tags[at] not in _CONTAINER:
             at = self.parents[at]
         return at
 
-    def text(self, path: str) -> str:
+    def text(self, key: str) -> str:
         """Text below all containers of this path."""
-        inside = [False] * len(self.paths)
-        for i in range(1, len(self.paths)):
-            inside[i] = self.paths[i] == path or inside[self.parents[i]]
+        inside = [False] * len(self.keys)
+        for i in range(1, len(self.keys)):
+            inside[i] = self.keys[i] == key or inside[self.parents[i]]
         return " ".join(t for at, t, _ in self.blocks if inside[at])
 
 
@@ -199,7 +253,7 @@ def vote(source: str | None) -> str | None:
 def extract(source: str | None, winning: list[str]) -> str:
     """Text from the first winning path that the page has text in, else from its own best container."""
     page = Page(source)
-    there = set(page.paths)
+    there = set(page.keys)
     for path in winning:
         if path in there and (text := page.text(path)):
             return text

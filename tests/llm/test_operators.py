@@ -715,6 +715,33 @@ def test_words_of_headings_are_no_noise():
     assert webtext.extract(source, []) == "Head Some text, with commas, and more of it. Work More. Search Trees."
 
 
+def test_noise_inside_text():
+    for inner, left in [
+        ("<ul><li class='comment'>C1<ul><li>reply</li></ul>TAIL</li></ul>", ""),
+        ("<p class='ad'>one</p><p>and</p>", "and"),
+        ("<div class='ad'>one<p>two</p> leak</div>", ""),
+        ("<p>Before <span class='advert'>BUY <span>it</span> NOW</span> after</p>", "Before after"),
+        ("<p class='hidden'>H</p><p style='display: none'>S</p><p data-id='ad'>kept</p>", "kept"),
+        ("<div class='related-work'>a</div><div class='form-of-life'>b</div><div id='search-results-of-study'>c</div>", "a b c"),
+        ("<ul><li>x<li>y<ul><li>z</ul><li>w</ul>", "x y z w"),
+        ("<table><tr><td class='sponsored'>no<td>yes<tr><td>more</table>", "yes more"),
+        ("</p></div-x></li>kept<p>on", "kept on"),
+    ]:
+        source = f"<article><p>Some text, with commas, and more of it.</p>{inner}</article>"
+        assert webtext.extract(source, []) == f"Some text, with commas, and more of it. {left}".strip(), inner
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    deep = "<div>" * 100_000 + "<p>Some text, with commas, and more of it.</p>"
+    assert webtext.extract(deep, []) == "Some text, with commas, and more of it."
+    assert webtext.extract("<div>" * 4_000 + "</p>" * 100_000 + "<li>" * 50_000 + "</span>" * 50_000 + "end", []) == "end"
+    assert len(webtext.extract("<article>" + "<p>word, word</p>" * 100_000 + "</article>", [])) == 1_100_000 - 1
+    assert time.perf_counter() - began < 30
+
+
 def test_given_pages_by_a_plain_parse(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in QUERIES["op8_main_text"](spark, sf_dir).collect():
