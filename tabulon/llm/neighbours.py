@@ -3,12 +3,13 @@
 Vectors are projected to a few dimensions by seeded rotations, shifted, and put
 on Hilbert curves. Spark range-partitions each ordering; within it every query
 is compared with its neighbouring key window, and the windows of all curves are
-merged and reranked. On vectors without structure windows alone find too few
-neighbours (see README), so what they give is each query's *threshold*: its
-``k``-th best score so far. The first ordering, cut into blocks of neighbouring
-keys, is then gone through for the rest: a query skips every block whose centre
-and radius prove that nothing in it can reach the threshold, and the others are
-scored in full. The result is exact whatever the curves gave.
+merged and reranked: these are the candidates. On vectors without structure
+windows alone find too few neighbours (see README), so a second step makes them
+complete. The first ordering is cut into blocks of neighbouring keys; where a
+block's centre and radius do not prove that nothing in it can beat the last of
+a query's ``k + 1`` candidates, block and query meet and are scored in full.
+Only centres are dealt to all queries; vectors are shuffled for pairs that
+remain. The result is exact whatever the curves gave.
 
 Equal vectors are one candidate that keeps its ``k + 1`` smallest ids, so a
 vector that fills a third of the table costs no more than any other.
@@ -34,7 +35,7 @@ from pyspark.sql import Window as W
 from tabulon.llm.common import materialise
 
 CURVES, DIMS, BITS, REACH = 4, 8, 7, 250
-BLOCK, GROUP = 2048, 512
+BLOCK, GROUP, BALLS = 2048, 512, 4096
 SEED = 11
 
 
@@ -122,8 +123,9 @@ def _window_scores(batches: Iterator[pd.DataFrame], reach: int, k: int) -> Itera
             scores[far] = -np.inf
             n = min(k + 1, hi - lo)
             top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            out = pd.DataFrame({"query": np.repeat(first[at], n), "other": first[lo:hi][top.ravel()], "score": np.take_along_axis(scores, top, axis=1).ravel()})
-            yield out[np.isfinite(out["score"])]
+            there = np.isfinite(np.take_along_axis(scores, top, axis=1)).ravel()
+            q, other = np.repeat(at, n)[there], lo + top.ravel()[there]
+            yield pd.DataFrame({"query": first[q], "other": first[other], "score": _products(x[q], x[other])})
         kept = frame.iloc[max(0, until - reach) :].copy()
         kept["done"] = [True] * min(until, reach) + [False] * (len(frame) - until)
 
@@ -133,13 +135,12 @@ def _ended(batches):
     yield None
 
 
-def thresholds(curves: DataFrame, k: int, reach: int = REACH) -> DataFrame:
-    """(query, bar): the (k + 1)-th best score that the windows of all curves give each query; fewer give none."""
+def window_candidates(curves: DataFrame, k: int, reach: int = REACH) -> DataFrame:
+    """(query, other, score, nth): the k + 1 best that the windows of all curves give each query, merged and reranked."""
     ordered = curves.repartitionByRange("curve", "key", "first").sortWithinPartitions("curve", "key", "first").withColumn("done", F.lit(False))
     near = ordered.mapInPandas(lambda b: _window_scores(b, reach, k), "query long, other long, score double").groupBy("query", "other").agg(F.max("score").alias("score"))
     ranked = near.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "other")))
-    # a hair's breadth below: the two passes may round a product differently
-    return ranked.where(F.col("nth") == k + 1).select("query", (F.col("score") - F.abs("score") * 1e-9 - 1e-12).alias("bar"))
+    return ranked.where(F.col("nth") <= k + 1)
 
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,27 +160,41 @@ def in_blocks(ordered: DataFrame) -> DataFrame:
     return numbered.withColumn("block", F.floor((F.col("before") + F.col("place")) / BLOCK).cast("int")).drop("part", "p", "place", "before")
 
 
+def _ball(rows: pd.DataFrame) -> pd.DataFrame:
+    """Centre and radius of one block."""
+    x = _matrix(rows["vec"])
+    centre = x.mean(axis=0)
+    radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
+    return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "centre": [centre.tolist()], "radius": [radius]})
+
+
+def _reached(queries: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
+    """(first, block): the blocks in which something may reach a query's bar."""
+    if queries.empty or balls.empty:
+        return pd.DataFrame({"first": np.array([], np.int64), "block": np.array([], np.int32)})
+    q, c = _matrix(queries["vec"]), _matrix(balls["centre"])
+    most = q @ c.T + np.sqrt((q**2).sum(axis=1))[:, None] * balls["radius"].to_numpy() * (1 + 1e-9) + 1e-12
+    i, j = np.nonzero(most >= queries["bar"].to_numpy()[:, None])
+    return pd.DataFrame({"first": queries["first"].to_numpy()[i], "block": balls["block"].to_numpy()[j]})
+
+
 def _rest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Of one group of queries and one block: at most k + 1 candidates a query, none below its bar."""
-    empty = pd.DataFrame({"query": np.array([], np.int64), "other": np.array([], np.int64), "ids": [], "score": np.array([], float)})
+    """Of some queries and one block: at most k + 1 candidates a query, none below its bar."""
     if queries.empty or rows.empty:
-        return empty
+        return pd.DataFrame({"query": np.array([], np.int64), "other": np.array([], np.int64), "score": np.array([], float)})
     q, x, bar = _matrix(queries["vec"]), _matrix(rows["vec"]), queries["bar"].to_numpy()
-    centre = x.mean(axis=0)
-    radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max())
-    reached = np.flatnonzero(q @ centre + np.sqrt((q**2).sum(axis=1)) * radius * (1 + 1e-9) + 1e-12 >= bar)
-    if not len(reached):
-        return empty
-    scores = q[reached] @ x.T
+    scores = q @ x.T
     n = min(k + 1, len(x))
     if n < len(x):  # ties with the last that counts stay, so that ids decide later
         last = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-        bar_here = np.maximum(bar[reached], last - np.abs(last) * 1e-12)
-    else:
-        bar_here = bar[reached]
-    i, j = np.nonzero(scores >= bar_here[:, None])
-    exact = np.cumsum(q[reached][i] * x[j], axis=1)[:, -1]
-    return pd.DataFrame({"query": queries["first"].to_numpy()[reached][i], "other": rows["first"].to_numpy()[j], "ids": rows["ids"].to_numpy()[j], "score": exact})
+        bar = np.maximum(bar, last - np.abs(last) * 1e-12)
+    i, j = np.nonzero(scores >= bar[:, None])
+    return pd.DataFrame({"query": queries["first"].to_numpy()[i], "other": rows["first"].to_numpy()[j], "score": _products(q[i], x[j])})
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in order."""
+    return np.cumsum(a * b, axis=1)[:, -1]
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -192,17 +207,31 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 
     singles = materialise(distinct_vectors(rows, k, every).withColumn("keys", keys("vec")), "distinct-vectors")
     curves = singles.select("vec", "first", "asked", F.posexplode("keys").alias("curve", "key"))
-    bars = materialise(thresholds(curves, k), "thresholds")
+    near = materialise(window_candidates(curves, k), "window-candidates")
+    # a hair's breadth below: the two passes may round a product differently
+    bars = near.where(F.col("nth") == k + 1).select("query", (F.col("score") - F.abs("score") * 1e-9 - 1e-12).alias("bar"))
 
-    blocks = in_blocks(singles.withColumn("key", F.element_at("keys", 1)).select("vec", "first", "ids", "key").repartitionByRange("key", "first").sortWithinPartitions("key", "first"))
+    blocks = in_blocks(singles.withColumn("key", F.element_at("keys", 1)).select("vec", "first", "key").repartitionByRange("key", "first").sortWithinPartitions("key", "first"))
+    blocks = materialise(blocks.select("vec", "first", "block"), "blocks")
+    balls = blocks.groupBy("block").applyInPandas(_ball, "block int, centre array<double>, radius double").withColumn("chunk", F.floor(F.col("block") / BALLS).cast("int"))
     n = singles.agg(F.count(F.lit(1)), F.count_if("asked")).first()
-    n_blocks, n_groups = max(1, -(-n[0] // BLOCK)), max(1, -(-n[1] // GROUP))
+    n_chunks, n_groups = max(1, -(-n[0] // (BLOCK * BALLS))), max(1, -(-n[1] // GROUP))
     asked = singles.where("asked").select("vec", "first").join(bars, F.col("first") == F.col("query"), "left")
     asked = asked.select("vec", "first", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"), F.pmod(F.xxhash64("first"), F.lit(n_groups)).cast("int").alias("group"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    against = blocks.select("vec", "first", "ids", "block", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
-    found = asked.groupBy("group", "block").cogroup(against.groupBy("group", "block")).applyInPandas(lambda a, b: _rest(a, b, k), "query long, other long, ids array<long>, score double")
-    best = found.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "other"))).where(F.col("nth") <= k + 1)
+    asked = materialise(asked, "queries")
+    spread = balls.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    spread = spread.select(F.col("group").alias("g"), F.col("chunk").alias("c"), "block", "centre", "radius")
+    met = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).groupBy("group", "chunk")
+    open_ = materialise(met.cogroup(spread.groupBy("g", "c")).applyInPandas(_reached, "first long, block int"), "open-pairs")
+    left = asked.join(open_, "first").select("group", "block", "vec", "first", "bar")
+    groups = open_.select(F.pmod(F.xxhash64("first"), F.lit(n_groups)).cast("int").alias("g"), F.col("block").alias("b")).distinct()
+    against = blocks.join(groups, F.col("block") == F.col("b")).select("g", "b", "vec", "first")
+    found = left.groupBy("group", "block").cogroup(against.groupBy("g", "b")).applyInPandas(lambda a, b: _rest(a, b, k), "query long, other long, score double")
+    # what both steps found counts once, as the windows scored it
+    both = near.select("query", "other", "score", F.lit(0).alias("step")).unionByName(found.withColumn("step", F.lit(1)))
+    both = both.groupBy("query", "other").agg(F.min_by("score", "step").alias("score"))
+    best = both.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "other"))).where(F.col("nth") <= k + 1)
+    best = best.join(singles.select(F.col("first").alias("other"), "ids"), "other")
     lists = best.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     owners = singles.where("asked").select(F.col("first").alias("query"), F.col("vec").alias("q_vec"))
     asking = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("own_vec"))

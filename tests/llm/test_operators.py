@@ -667,6 +667,22 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
         assert all(abs(h[2] - s[h[1]]) < 1e-9 for h in hits)
 
 
+def test_windows_find_neighbours_of_clustered_vectors(spark):
+    """Recall of the merged windows alone, before the second step."""
+    rng = np.random.default_rng(12)
+    x = (rng.standard_normal((60, 16))[rng.integers(0, 60, 3000)] + 0.1 * rng.standard_normal((3000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    keys = neighbours.curve_keys(x.astype(np.float64))
+    curves = spark.createDataFrame([(i, c, int(keys[i, c])) for i in range(3000) for c in range(keys.shape[1])], "first long, curve int, key long")
+    near = neighbours.window_candidates(curves.join(df, F.col("first") == F.col("id")).select("vec", "first", (F.col("first") % 20 == 0).alias("asked"), "curve", "key"), 20)
+    found = {}
+    for r in near.collect():
+        found.setdefault(r["query"], set()).add(r["other"])
+    exact = x.astype(np.float64)
+    hits = sum(len(found[q] & {*np.argsort(-(exact @ exact[q]))[:21].tolist()}) for q in range(0, 3000, 20))
+    assert hits >= 0.9 * 21 * 150
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in neighbours.nearest(df).orderBy("rank").collect()] == [(1, 1), (2, 2)]
