@@ -2,16 +2,18 @@
 
 The model is over characters (lower case, white space as one space) with
 n-grams up to ``ORDER``, named by 64-bit hashes. Distinct n-grams are counted
-per input split and summed in Spark; continuation counts, discounts, back-off
+per block, a run of ``BLOCK_ROWS`` rows of an input file, and summed in Spark; continuation counts, discounts, back-off
 weights and probabilities come from joins on the hashes, which shard them.
-For scoring, the distinct n-grams of every split are joined with the model,
-which gives each split just the probabilities that its own documents need; the
-tasks that read a split again look them up. Texts are never shuffled, and the
+For scoring, the distinct n-grams of every block are joined with the model,
+which gives each block just the probabilities that its own documents need; the
+tasks that read its rows again look them up. Blocks go by the rows' places in
+their files, so they stay the same however the input is split. Texts are never shuffled, and the
 model is never held whole by one task.
 
 A document is kept if its perplexity is at most its language's threshold: the
-``QUANTILE`` of the trusted documents' perplexities of that language (of all
-trusted documents where the language has none).
+``QUANTILE`` of the perplexities of that language's trusted documents in a fold
+(one of ``FOLDS``) that the model is not trained on; of all languages' where it
+has none there, and of those trained on where no language has.
 
 Null, empty and blank texts have a null perplexity and are not kept. A null
 language is a language of its own. Without trusted text all characters are
@@ -28,12 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow.fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import materialise, new_path
+from tabulon.llm.common import held_out, materialise, new_path
 
-ORDER, QUANTILE = 4, 0.995
+ORDER, QUANTILE, BLOCK_ROWS = 4, 0.995, 8192
+FOLDS, FOLD = 5, 0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PIECE, _HELD = 500_000, 500_000
 _GRAM = "ord int, block long, h long, ctx long, suf long, n long"
@@ -69,7 +73,7 @@ def _pieces(text: str | None) -> Iterator[np.ndarray]:
 
 
 class _Side:
-    """Small per-split arrays in the shared folder, the last one kept."""
+    """Small arrays of each block in the shared folder, the last one kept."""
 
     def __init__(self, uri: str):
         self.fs, self.folder = pyarrow.fs.FileSystem.from_uri(uri)
@@ -82,10 +86,12 @@ class _Side:
         with self.fs.open_output_stream(f"{self.folder}/{block}.npz") as f:
             f.write(data.getvalue())
 
-    def read(self, block: int) -> dict[str, np.ndarray]:
+    def read(self, block: int, must: bool = False) -> dict[str, np.ndarray]:
         if block != self.block:
             path = f"{self.folder}/{block}.npz"
             there = self.fs.get_file_info(path).type == pyarrow.fs.FileType.File
+            if must and not there:
+                raise FileNotFoundError(f"the model of block {block} is missing: {path}")
             self.arrays = {}
             if there:
                 with self.fs.open_input_stream(path) as f:
@@ -95,7 +101,7 @@ class _Side:
 
 
 def _store(rows: DataFrame, uri: str, columns: list[str]) -> None:
-    """One side file a split from (block, columns), sorted by the first column."""
+    """One side file a block from (block, columns), sorted by the first column."""
 
     def save(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(columns[0])
@@ -107,7 +113,7 @@ def _store(rows: DataFrame, uri: str, columns: list[str]) -> None:
 
 
 class _Counter:
-    """Distinct n-grams of one split, folded every ``_HELD`` symbols so that memory follows the distinct ones."""
+    """Distinct n-grams of one block, folded every ``_HELD`` symbols so that memory follows the distinct ones."""
 
     def __init__(self):
         self.seen: list[np.ndarray] = []
@@ -224,8 +230,9 @@ def _scores(batches: Iterator[pd.DataFrame], model_uri: str, trusted_uri: str, a
     for batch in batches:
         out = []
         for doc_id, text, block in zip(batch["id"].tolist(), batch["text"], batch["block"].tolist()):
-            table, total, size = models.read(block), 0.0, 0
+            total, size = 0.0, 0
             for x in _pieces(text):
+                table = models.read(block, must=True)
                 hs = hashes(x)
                 todo, spent = np.arange(len(hs[0]) - 1), np.zeros(len(hs[0]) - 1)
                 for n in range(ORDER, 0, -1):
@@ -249,9 +256,12 @@ def _scores(batches: Iterator[pd.DataFrame], model_uri: str, trusted_uri: str, a
 def score(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, perplexity, n_symbols, trusted) of every document; ``trusted_ids`` has an ``id`` column."""
     spark = docs.sparkSession
-    if not docs.inputFiles():
-        docs = materialise(docs, "quality-documents")
-    split = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block")
+    place = F.col("_metadata.row_index")
+    try:
+        docs.select(place)
+    except AnalysisException:  # not the rows of Parquet files as they lie there
+        docs = materialise(docs.select(id_col, text_col, lang_col), "quality-documents")
+    split = F.xxhash64("_metadata.file_path", F.floor(place / BLOCK_ROWS)).alias("block")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), split)
     trusted_uri, model_uri = new_path(spark, "trusted-ids"), new_path(spark, "split-models")
     own = rows.select("id", "block").join(trusted_ids.select("id").where("id is not null").distinct(), "id").distinct()
@@ -259,16 +269,22 @@ def score(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     grams = materialise(rows.select("id", "text", "block").mapInPandas(lambda b: _grams(b, trusted_uri), _GRAM), "grams")
     table, alphabet = model(grams.where("ord > 0"))
     seen = grams.where("ord = 0").select("block", "h").distinct()
-    _store(seen.join(table, "h").select("block", "h", "logp", "back"), model_uri, ["h", "logp", "back"])
+    # with a row for each block, so that none without a known n-gram lacks its file
+    nothing = F.lit(None).cast("double")
+    every = seen.select("block").distinct().select("block", F.lit(-(1 << 63)).alias("h"), nothing.alias("logp"), nothing.alias("back"))
+    _store(seen.join(table, "h").select("block", "h", "logp", "back").unionByName(every), model_uri, ["h", "logp", "back"])
     return rows.mapInPandas(lambda b: _scores(b, model_uri, trusted_uri, alphabet), "id long, lang string, perplexity double, n_symbols long, trusted boolean")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """(doc id, lang, perplexity, threshold, keep) of every document."""
-    scored = materialise(score(docs, trusted_ids, id_col, text_col, lang_col), "perplexities")
-    sure = scored.where("trusted and perplexity is not null")
-    by_lang = sure.groupBy(F.col("lang").alias("t_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
-    overall = sure.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    ids = trusted_ids.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
+    scored = materialise(score(docs, ids.where(~held_out("id", FOLDS, FOLD)), id_col, text_col, lang_col), "perplexities")
+    left_out = scored.join(ids.where(held_out("id", FOLDS, FOLD)), "id", "left_semi").where("perplexity is not null")
+    by_lang = left_out.groupBy(F.col("lang").alias("t_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
+    overall = left_out.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    if overall is None:
+        overall = scored.where("trusted and perplexity is not null").agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     met = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("t_lang")), "left")
     out = met.select(F.col("id").alias(id_col), "lang", "perplexity", F.coalesce("own", F.lit(overall).cast("double")).alias("threshold"))
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))

@@ -627,6 +627,22 @@ def test_perplexity_is_modified_kneser_ney(spark, tmp_path):
     assert kept[0] and not kept[12] and not kept[15]
 
 
+def test_blocks_do_not_follow_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 7)
+    rng = random.Random(16)
+    docs_of(spark, [prose(rng, 60) for _ in range(60)]).coalesce(1).write.option("parquet.block.size", 2000).parquet(f"{tmp_path}/d")
+    docs, trusted = spark.read.parquet(f"{tmp_path}/d"), spark.createDataFrame([(i,) for i in range(0, 60, 2)], "id long")
+    scored = quality.score(docs, trusted)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # the files are split anew between the two passes
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        got = {r["id"]: r["perplexity"] for r in scored.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    derived = {r["id"]: r["perplexity"] for r in quality.score(docs.join(trusted, docs["doc_id"] == trusted["id"], "left").drop("id").distinct(), trusted).collect()}
+    assert got.keys() == derived.keys() and all(abs(got[i] - derived[i]) < 1e-9 * got[i] for i in got)
+
+
 def test_quality_of_odd_rows(spark, odd):
     none = spark.createDataFrame([], "id long")
     assert quality.classify(odd, none).where("keep").count() == 0
