@@ -63,6 +63,16 @@ def text_date(c: Column | str) -> Column:
     return F.coalesce(one, two, three, four)
 
 
+def document_date(c: Column | str) -> Column:
+    """A date as notices write it: month first, or M/D/Y or M-D-Y with two or four digits of the year (69 to 99: 1900s)."""
+    t = F.trim(_c(c))
+    shape = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4}|\d{2})$"
+    year = F.regexp_extract(t, shape, 4)
+    full = F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(year < "69", "20").otherwise("19"), year))
+    numeric = F.when(t.rlike(shape), _made(full, F.regexp_extract(t, shape, 1).try_cast("int"), F.regexp_extract(t, shape, 3)))
+    return F.coalesce(numeric, text_date(t))
+
+
 def feed_date(c: Column | str) -> Column:
     """RFC 822 (``Mon, 06 Jul 2026 ...``) or ISO."""
     t = F.regexp_replace(F.trim(_c(c)), r"^[A-Za-z]{3},\s*", "")

@@ -14,7 +14,7 @@ from tabulon.functions.dates import iso_date, strict_iso_date
 #: Statuses that end a record, and titles and sentences that mark notices without funding.
 CLOSED = ("closed", "archived", "cancelled", "canceled", "withdrawn", "expired")
 OPEN = ("posted", "forecasted")
-NOTICE_TITLE = r"(?i)\b(?:notice\s+of\s+intent|request\s+for\s+information|sources\s+sought|pre-?solicitation\s+notice)\b|\((?:NOI|RFI)\)|^(?:NOI|RFI)\b"
+NOTICE_TITLE = r"(?i)^(?:[A-Z0-9-]+\s+)?(?:notice\s+of\s+intent(?:\s+to\s+issue)?\b|request\s+for\s+information\b|RFI\s*[-:])"
 NOT_ACCEPTING = r"(?i)\b(?:not|isn't|is\s+not)\s+accepting\s+applications?\b|\bno\s+applications?\s+(?:are|will\s+be)\s+accepted\b"
 ROLLING = r"(?i)\brolling\b|\bopen\s+until\s+filled\b|\bcontinuous(?:ly)?\s+(?:open|accepted)\b"
 STALE_DAYS = 548
@@ -73,16 +73,16 @@ def ingest_is_current(as_of: Column, fiscal_year: str = "fiscal_year", award: st
     return F.when(notice.isNotNull(), False).when(dated.isNotNull(), dated).when(forecast, ~F.coalesce(old, F.lit(False))).otherwise(True)
 
 
-def publish_reason(as_of: Column, title: str = "title", url: str = "detail_page", close: str = "close_date", posted: str = "posted_date") -> Column:
-    """Why an external record may not be published; null if it may."""
-    closes = strict_iso_date(close)
+def publish_reason(as_of: Column, title: str = "title", urls: tuple[str, ...] = ("detail_page", "funding_opportunity_url", "primary_document_url"), close: str = "close_date", posted: str = "posted_date") -> Column:
+    """Why an external record may not be published; null if it may. Any one of ``urls`` is enough."""
+    closes, some = strict_iso_date(close), F.coalesce(*[F.nullif(F.col(u).cast("string"), F.lit("")) for u in urls])
     return (
-        F.when(F.trim(_text(title)) == "", "missing_title")
-        .when(~_text(url).rlike(r"^https?://[^\s/]+"), "missing_url")
-        .when((_text(close) != "") & closes.isNull(), "invalid_close_date")
+        F.when(_text(title) == "", "missing_title")
+        .when(some.isNull(), "missing_official_url")
+        .when((_text(close) != "") & closes.isNull(), "unparseable_close_date")
         .when(closes < as_of, "expired")
-        .when(F.datediff(closes, as_of) > FAR_DAYS, "too_far")
-        .when((_text(posted) != "") & strict_iso_date(posted).isNull(), "invalid_posted_date")
+        .when(F.datediff(closes, as_of) > FAR_DAYS, "implausible_future_date")
+        .when((_text(posted) != "") & strict_iso_date(posted).isNull(), "unparseable_posted_date")
     )
 
 

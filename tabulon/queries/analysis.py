@@ -227,29 +227,33 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    # notices are dated in this century, 20 years after the orders
+    o = table(spark, sf_dir, "orders").withColumn("day", F.add_months(F.col("o_orderdate").cast("date"), 240))
     k, price = F.col("o_orderkey"), F.floor("o_totalprice")
     due = F.concat(F.date_format("day", "MMMM d, yyyy"), F.lit("."))
     text = F.concat(
-        F.lit("Letters of intent are due by "), F.date_format(F.date_sub("day", 30), "MMMM d, yyyy"), F.lit(". This paragraph describes the aims and the background of the program in general terms and says nothing about dates or sums. "),
+        F.lit("Total program funding is $99,000,000. The letter of intent is due by "), F.date_format(F.date_sub("day", 30), "MMMM d, yyyy"), F.lit(" at 5:00 p.m. Eastern Time. This paragraph describes the aims and the background of the program in general terms and says nothing about dates or sums. "),
         F.lit("It goes on for a while so that one date does not stand near the words that belong to another date, as in long notices it often does. The program has been open to all for years and it will be so. "),
-        F.lit("Full applications are due no later than "), due, F.lit(" Total program funding is $99,000,000. "),
-        F.when(k % 2 == 0, F.concat(F.lit("Each award will be up to $"), F.format_number(price, 0))).otherwise(F.concat(F.lit("Awards range from $1,000 to $"), F.format_number(price + 1000, 0))),
-        F.lit(". We expect about "), (k % 40 + 1).cast("string"), F.lit(" awards. The project period is "), (k % 5 + 1).cast("string"), F.lit(" years. Narratives have "), (k % 25 + 5).cast("string"), F.lit(" pages at most."),
+        F.lit("Full applications are due no later than "), due, F.lit(" The last report had 40 pages, and there were 3 awards last year. Staff need 10 years of experience. "),
+        F.when(k % 2 == 0, F.concat(F.lit("Each award will be up to $"), F.format_number(price, 0))).otherwise(F.concat(F.lit("The award range is from $1,000 to $"), F.format_number(price + 1000, 0))),
+        F.lit(". We expect to make about "), (k % 40 + 1).cast("string"), F.lit(" awards. The project period is up to "), (k % 5 + 1).cast("string"), F.lit(" years. Narratives are limited to "), (k % 25 + 5).cast("string"), F.lit(" pages."),
         F.when(k % 3 == 0, F.lit(" Cost sharing is not required.")).when(k % 3 == 1, F.lit(" Cost sharing is required.")).otherwise(F.lit("")),
         F.when(k % 10 == 0, F.lit(" Only one application per institution is allowed.")).otherwise(F.lit("")),
         F.when(k % 14 == 0, F.lit(" This notice was withdrawn.")).otherwise(F.lit("")),
+        F.when(k % 6 == 0, F.lit(" This is a recurring program.")).otherwise(F.lit("")),
+        F.when(k % 4 == 0, F.lit(" Add a work plan and a budget  narrative.")).otherwise(F.lit("")),
+        F.when(k % 5 == 0, F.concat(F.lit(" Eligible applicants:  schools of area "), (k % 100).cast("string"))).otherwise(F.lit("")),
     )
-    return o.select("o_orderkey", "day", text.alias("text"))
+    return o.select("o_orderkey", "day", F.lit(0).alias("part"), text.alias("text"))
 
 
 @query(
     "evidence_deadlines",
-    """SELECT o_orderkey, 'letter_of_intent' AS kind, CAST(CAST(o_orderdate AS DATE) - INTERVAL 30 DAY AS DATE) AS date FROM orders
-    UNION ALL SELECT o_orderkey, 'application', CAST(o_orderdate AS DATE) FROM orders""",
+    """SELECT o_orderkey, 'letter_of_intent' AS kind, CAST(CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR - INTERVAL 30 DAY AS DATE) AS date, '5:00 p.m.' AS time, 'East' AS zone, true AS required FROM orders
+    UNION ALL SELECT o_orderkey, 'application', CAST(CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS DATE), NULL, NULL, true FROM orders""",
 )
 def evidence_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.deadlines(_notices(spark, sf_dir).select("o_orderkey", F.lit(0).alias("part"), "text")).select("o_orderkey", "kind", "date")
+    return evidence.deadlines(_notices(spark, sf_dir), "o_orderkey").select("o_orderkey", "kind", "date", "time", "zone", "required")
 
 
 @query(
@@ -257,24 +261,37 @@ def evidence_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN 1000 END AS minimum, CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 2 = 1 THEN 1000 ELSE 0 END AS maximum,
       CAST(o_orderkey % 40 + 1 AS INT) AS expected_awards, CAST(12 * (o_orderkey % 5 + 1) AS INT) AS duration_months, CAST(o_orderkey % 25 + 5 AS INT) AS page_limit,
       CASE o_orderkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS cost_share_required, o_orderkey % 10 = 0 AS limited_submission,
-      CASE WHEN o_orderkey % 14 = 0 THEN 'withdrawn' ELSE '' END AS status_signals FROM orders""",
+      concat_ws(',', CASE WHEN o_orderkey % 14 = 0 THEN 'cancelled' END, CASE WHEN o_orderkey % 6 = 0 THEN 'recurring' END) AS status_signals FROM orders""",
 )
 def evidence_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evidence.facts(_notices(spark, sf_dir), "o_orderkey")
-    return out.select("o_orderkey", "award.minimum", "award.maximum", "expected_awards", "duration_months", "page_limit", "cost_share_required", "limited_submission", F.array_join("status_signals", ",").alias("status_signals"))
+    notices = _notices(spark, sf_dir)
+    out = evidence.summary(evidence.facts(notices, "o_orderkey"), notices, "o_orderkey")
+    return out.select("o_orderkey", "minimum", "maximum", "expected_awards", "duration_months", "page_limit", "cost_share_required", "limited_submission", F.array_join("status_signals", ",").alias("status_signals"))
+
+
+@query(
+    "evidence_labels",
+    """SELECT o_orderkey, 'application_component' AS kind, l AS label, l AS value FROM orders, (VALUES ('Work plan'), ('Budget narrative')) v(l) WHERE o_orderkey % 4 = 0
+    UNION ALL SELECT o_orderkey, 'eligibility_excerpt', 'Eligibility evidence', 'Eligible applicants: schools of area ' || (o_orderkey % 100) FROM orders WHERE o_orderkey % 5 = 0""",
+)
+def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application components and excerpts at headings."""
+    found = evidence.facts(_notices(spark, sf_dir), "o_orderkey")
+    return found.where(F.col("kind").isin("application_component", *evidence.EXCERPTS)).select("o_orderkey", "kind", "label", "value")
 
 
 @query(
     "evidence_review_queue",
-    """SELECT o_orderkey, 'limited_submission' AS kind FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 'status' FROM orders WHERE o_orderkey % 14 = 0
+    """SELECT o_orderkey, 'limited_submission' AS kind FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 'status' FROM orders WHERE o_orderkey % 14 = 0 OR o_orderkey % 6 = 0
     UNION ALL SELECT o_orderkey, 'deadline_conflict' FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT o_orderkey, 'amendment' FROM orders WHERE o_orderkey % 16 = 0""",
 )
 def evidence_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     notices = _notices(spark, sf_dir)
     listed = F.when(F.col("o_orderkey") % 9 == 0, F.date_add("day", 1)).otherwise(F.col("day"))
     own = notices.select("o_orderkey", listed.alias("close_date"), (F.col("o_orderkey") % 16 == 0).alias("revised"))
-    found = evidence.deadlines(notices.select("o_orderkey", F.lit(0).alias("part"), "text"))
-    return evidence.review_queue(evidence.facts(notices, "o_orderkey"), own, found, "o_orderkey").select("o_orderkey", "kind")
+    found = evidence.facts(notices, "o_orderkey")
+    due = found.where("kind = 'deadline'").select("o_orderkey", F.col("deadline_kind").alias("kind"), "date")
+    return evidence.review_queue(evidence.summary(found, notices, "o_orderkey"), own, due, "o_orderkey").select("o_orderkey", "kind")
 
 
 @query(

@@ -10,7 +10,8 @@ from tabulon.operators import changes, facets, gates
 from tabulon.operators import records as rec
 from tabulon.queries.common import AS_OF, R, as_of, query, records, table
 
-_NOTICE = "title LIKE '%notice of intent%'"
+#: Titles that begin with it, behind one code at most; elsewhere the words say nothing.
+_NOTICE = r"regexp_matches(title, '^([A-Za-z0-9-]+\s+)?(notice\s+of\s+intent\b|request\s+for\s+information\b|RFI\s*[-:])', 'i')"
 _OTHER = "list_sort(funding_instruments) = ['O'] AND description LIKE '%not accepting applications%'"
 _REASON = f"""CASE WHEN lower(status) IN ('closed', 'archived', 'cancelled', 'canceled', 'withdrawn', 'expired') THEN lower(status)
   WHEN status NOT IN ('posted', 'forecasted') THEN 'invalid_status' WHEN {_NOTICE} THEN 'informational_notice' WHEN {_OTHER} THEN 'not_accepting_applications'
@@ -46,11 +47,12 @@ def gate_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "gate_publish",
-    f"""WITH {R} SELECT opportunity_id, CASE WHEN close_date < DATE '{AS_OF}' THEN 'expired'
-      WHEN date_diff('day', DATE '{AS_OF}', close_date) > 2196 THEN 'too_far' ELSE 'ok' END AS reason FROM r""",
+    f"""WITH {R} SELECT opportunity_id, CASE WHEN ordinal % 19 < 9 AND coalesce(funding_opportunity_url, primary_document_url) IS NULL THEN 'missing_official_url'
+      WHEN close_date < DATE '{AS_OF}' THEN 'expired' WHEN date_diff('day', DATE '{AS_OF}', close_date) > 2196 THEN 'implausible_future_date' ELSE 'ok' END AS reason FROM r""",
 )
 def gate_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("opportunity_id", F.coalesce(gates.publish_reason(as_of()), F.lit("ok")).alias("reason"))
+    rows = records(spark, sf_dir).withColumn("detail_page", F.when(F.col("ordinal") % 19 >= 9, F.col("detail_page")))
+    return rows.select("opportunity_id", F.coalesce(gates.publish_reason(as_of()), F.lit("ok")).alias("reason"))
 
 
 _ID = "CASE WHEN opportunity_number IS NOT NULL THEN 'number:' || lower(replace(opportunity_number, ' ', '')) ELSE 'id:' || opportunity_id END"

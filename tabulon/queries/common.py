@@ -27,7 +27,7 @@ RECORDS = """
 SELECT CAST(o_orderkey AS STRING) AS opportunity_id,
        o_orderkey AS ordinal,
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'N ' || CAST(o_orderkey % 4000 AS STRING) END AS opportunity_number,
-       o_orderpriority || ' ' || c_mktsegment || CASE WHEN o_orderkey % 31 = 0 THEN ' notice of intent' WHEN o_orderkey % 2 = 0 THEN ' studies' ELSE ' training' END AS title,
+       CASE WHEN o_orderkey % 62 = 31 THEN 'NE-' || CAST(o_orderkey AS STRING) || ' Notice of Intent to issue ' ELSE '' END || o_orderpriority || ' ' || c_mktsegment || CASE WHEN o_orderkey % 62 = 0 THEN ' notice of intent' WHEN o_orderkey % 2 = 0 THEN ' studies' ELSE ' training' END AS title,
        n_name AS agency,
        CASE WHEN o_orderkey % 37 = 0 THEN 'draft' WHEN o_orderstatus = 'F' THEN 'posted' WHEN o_orderstatus = 'O' THEN 'forecasted' ELSE 'Archived' END AS status,
        CAST(o_orderkey % 12 AS STRING) AS version,

@@ -117,7 +117,7 @@ SELECT count(*) AS n, count(position) AS found, round(avg(CASE WHEN position IS
 FROM held LEFT JOIN (SELECT * FROM placed WHERE position <= 32) USING (query_id, doc_id)"""
 )
 
-_GATE = f"""lower(status) IN ('posted', 'forecasted') AND title NOT LIKE '%notice of intent%'
+_GATE = f"""lower(status) IN ('posted', 'forecasted') AND NOT regexp_matches(title, '^([A-Za-z0-9-]+\\s+)?notice\\s+of\\s+intent\\b', 'i')
   AND NOT (len(funding_instruments) = 1 AND description LIKE '%not accepting applications%')
   AND CASE WHEN close_date IS NOT NULL THEN close_date >= DATE '{AS_OF}' WHEN archive_date IS NOT NULL THEN archive_date >= DATE '{AS_OF}' ELSE true END"""
 

@@ -81,6 +81,29 @@ def test_runtime_gate(spark):
     assert all(r["want"] == r["got"] for r in df.withColumn("got", gates.runtime_reason(day)).collect())
 
 
+def test_notice_titles(spark):
+    titles = {"Notice of Intent to Issue a call": True, "DE-123 request for information": True, "RFI: x": True, "RFI - y": True, "RFI support": False, "Graduate awards after a request for information": False, "Sources sought for fellows": False, "A second notice of intent": False}
+    df = spark.createDataFrame([(t, "", []) for t in titles], "title string, description string, funding_instruments array<string>")
+    got = {r["title"]: r["got"] is not None for r in df.withColumn("got", gates.non_funding_reason()).collect()}
+    assert got == {**titles, "A second notice of intent": False}
+
+
+def test_publish_reasons(spark):
+    day, none = F.to_date(F.lit("2026-07-30")), None
+    rows = [
+        ("t", "https://a", none, none, "2026-08-01", none, none),
+        ("t", none, none, "https://d/x.pdf", none, "2026-01-01", none),
+        ("", "https://a", none, none, none, none, "missing_title"),
+        ("t", none, "", none, none, none, "missing_official_url"),
+        ("t", none, "https://b", none, "soon", none, "unparseable_close_date"),
+        ("t", "https://a", none, none, "2026-07-29", none, "expired"),
+        ("t", "https://a", none, none, "2036-07-29", none, "implausible_future_date"),
+        ("t", "https://a", none, none, none, "1 May", "unparseable_posted_date"),
+    ]
+    df = spark.createDataFrame(rows, "title string, detail_page string, funding_opportunity_url string, primary_document_url string, close_date string, posted_date string, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", gates.publish_reason(day)).collect())
+
+
 def test_dedup_keeps_first_of_equals(spark):
     df = spark.createDataFrame([("A 1", "1", "posted", 2), ("a1", "2", "posted", 1), ("", "3", "posted", 3)], "opportunity_number string, opportunity_id string, status string, o int")
     df = df.withColumns({"last_updated": F.lit("2026-01-01"), "version": F.lit("1")})
@@ -149,12 +172,35 @@ def test_pick_document(spark):
 
 
 def test_deadline_kinds(spark):
-    body = "Letters of intent are due August 1, 2026. " + "Something else is said here. " * 12 + "Full applications must be submitted by 9/30/2026."
+    body = "Letters of intent (LOI) are due August 1, 2026. " + "Something else is said here. " * 12 + "Full applications must be submitted by 9/30/26."
     df = spark.createDataFrame([(1, 0, body)], "k int, part int, text string")
-    got = {(r["kind"], str(r["date"])) for r in evidence.deadlines(df).collect()}
+    got = {(r["kind"], str(r["date"])) for r in evidence.deadlines(df, "k").collect()}
     assert got == {("letter_of_intent", "2026-08-01"), ("application", "2026-09-30")}
 
 
+def test_facts_of_a_notice(spark):
+    parts = [
+        ("Dates", "A letter of intent is due August 1, 2026. Full application deadline: September 30, 2026 at 5:00 p.m. ET."),
+        ("Funding", "Applicants need 10 years of experience. Individual awards: the award range is between $500,000 and $1 million. The agency anticipates making awards; we expect to fund 5 awards. There were 3 awards before."),
+        ("Terms", "The period of performance is up to 36 months. The report has 40 pages. The narrative is limited to 20 pages. Cost sharing is not required. One application may be submitted per institution."),
+        ("Eligibility", "Schools   and towns."),
+        ("Contents", "Table of contents. Review criteria 7"),
+        ("How", "The revised notice is superseded by another. A logic model and a work plan are needed. Selection criteria follow."),
+    ]
+    df = spark.createDataFrame([(1, i, s, t) for i, (s, t) in enumerate(parts)] + [(2, 0, None, None), (3, 0, None, "Total available: $9 million. Each award is $5,000.")], "k int, part int, section string, text string")
+    rows = evidence.facts(df, "k").collect()
+    got = {(r["kind"], r["label"]): r for r in rows}
+    assert {r["k"] for r in rows} == {1}  # the amount of 3 stands beside a total
+    assert {(r["deadline_kind"], str(r["date"])) for r in rows if r["kind"] == "deadline"} == {("letter_of_intent", "2026-08-01"), ("application", "2026-09-30")}
+    assert got["deadline", "Full application deadline"]["time"] == "5:00 p.m." and got["deadline", "Full application deadline"]["zone"] == "ET"
+    award = got["award_range", "Per-award amount"]
+    assert (award["minimum"], award["maximum"]) == (500_000, 1_000_000)
+    assert [got[k]["value"] for k in (("expected_awards", "Expected number of awards"), ("project_duration", "Project duration"), ("page_limit", "Application page limit"), ("cost_share", "Cost sharing"))] == ["5", "36 months", "20", "false"]
+    assert got["eligibility_excerpt", "Eligibility evidence"]["value"] == "Schools and towns." and got["review_criteria", "Review criteria"]["part"] == 5
+    assert {label for kind, label in got if kind in ("application_component", "status_signal")} == {"Logic model", "Work plan", "Superseded notice language", "Amendment or revision language"}
+    assert ("limited_submission", "Potential institutional submission limit") in got and all(r["quote"] for r in rows)
+
+
 def test_registry_isolates_failures(spark):
     class Bad(readers.SourceAdapter):
         def fetch(self, spark):
