@@ -48,8 +48,7 @@ def normalize_token(c: Column | str) -> Column:
 def tokens(c: Column | str) -> Column:
     """Normalised index terms of a text in order, repeats included; null gives none."""
     raw = F.regexp_extract_all(fold(F.coalesce(_col(c), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.transform(raw, normalize_token), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.transform(raw, normalize_token), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def squeeze(c: Column | str) -> Column:

@@ -7,10 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Words that say nothing about a person's field.
+PLAIN_WORDS = (
+    "the and for with from this that are was into over out per via"
+    " research program grants grant funding award awards project projects support"
+    " science engineering national university institute department studies study"
+    " development new using based their which will been more also may can under"
+).split()
+
+
+def word_bag(*parts: Column | str) -> Column:
+    """Distinct words of three characters or more, without the plain ones."""
+    text = F.lower(F.concat_ws(" ", *parts))
+    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[a-z][a-z0-9\-]{2,}"), F.lit(0))), lambda w: ~w.isin(*PLAIN_WORDS))
+
+
 def url_inventory(records: DataFrame, key: str, urls: Column) -> DataFrame:
-    """(url, record_ids, n): sorted distinct records of every URL."""
+    """(url, n, first_id): how many records have each URL, and the smallest id as text; no list of them is made."""
     spread = records.select(F.col(key).alias("key"), F.explode(F.array_distinct(urls)).alias("url")).where("url is not null and url <> ''")
-    return spread.groupBy("url").agg(F.array_sort(F.collect_set(F.col("key").cast("string"))).alias("record_ids"), F.count_distinct("key").alias("n"))
+    once = spread.distinct()
+    return once.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("key").cast("string")).alias("first_id"))
 
 
 def due_urls(urls: DataFrame, state: DataFrame, limit: int) -> DataFrame:

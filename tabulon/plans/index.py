@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabulon.functions.text import tokens
+from tabulon.session import written
 
-K1, B, PREFIX_WEIGHT, PREFIX_TERMS, PREFIX_CHARS, MOST_COMMON = 1.2, 0.75, 0.72, 12, 3, 0.8
+K1, B, PREFIX_WEIGHT, PREFIX_TERMS, PREFIX_CHARS, MOST_COMMON, FILTER_TERMS = 1.2, 0.75, 0.72, 12, 3, 0.8, 100
 
 #: Weights of the record fields.
 FIELDS = (
@@ -31,12 +32,18 @@ FIELDS = (
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc_id, tf), lengths (doc_id, length), totals (n_docs, avg_length: one row)."""
+    """counts (doc_id, term, tf), words (term, df) of the terms that count, lengths (doc_id, length), totals (n_docs, avg_length: one row)."""
 
-    postings: DataFrame
+    counts: DataFrame
+    words: DataFrame
     lengths: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, term, tf) of the terms that count."""
+        return self.counts.join(self.words.select("term"), "term", "left_semi")
+
 
 def term_counts(records: DataFrame, key: str, fields: Sequence[tuple[str, int]] = FIELDS) -> DataFrame:
     """(doc_id, term, tf): weighted counts. A document's terms are all in one partition, so they are summed before the shuffle."""
@@ -56,18 +63,21 @@ def _weighted(weight: int):
 
 
 def build(records: DataFrame, key: str, fields: Sequence[tuple[str, int]] = FIELDS) -> Index:
-    """The index of unique documents; terms in more than four fifths of them are left out of the postings."""
-    counts = term_counts(records, key, fields)
+    """The index of unique documents; terms in more than four fifths of them are left out of the postings.
+
+    Term counts are written once, by term, and everything else reads them.
+    """
+    counts = written(term_counts(records, key, fields).repartition("term"), "term-counts", "term")
     own = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     lengths = records.select(F.col(key).alias("doc_id")).join(own, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(1)).alias("length"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.bround(F.avg("length"), 3).alias("avg_length"))
     common = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = common.join(F.broadcast(totals), F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n_docs") * MOST_COMMON))).select("term")
-    return Index(counts.join(rare, "term", "left_semi"), lengths, totals)
+    words = written(common.join(F.broadcast(totals), F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n_docs") * MOST_COMMON))).select("term", "df"), "vocabulary", "term")
+    return Index(counts, words, lengths, totals)
 
 
 def vocabulary(index: Index) -> DataFrame:
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.words
 
 
 def expand(queries: DataFrame, words: DataFrame) -> DataFrame:
@@ -91,9 +101,15 @@ def expand(queries: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def bm25(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of every document that has a term of a query."""
-    terms = expand(queries, vocabulary(index))
-    hits = terms.join(index.postings, "term").join(index.lengths, "doc_id").join(F.broadcast(index.totals))
+    """(query_id, doc_id, score) of every document that has a term of a query.
+
+    Few asked terms become a filter that reaches the scan of the counts, which
+    lie sorted by term.
+    """
+    terms = written(expand(queries, vocabulary(index)), "asked-terms")
+    asked = [r["term"] for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+    counts = index.counts if len(asked) > FILTER_TERMS else index.counts.where(F.col("term").isin(asked))
+    hits = terms.join(counts, "term").join(index.lengths, "doc_id").join(F.broadcast(index.totals))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
     part = F.col("weight") * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))

@@ -7,11 +7,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tabulon.functions.dates import age_days
 from tabulon.operators.facets import passes_filters
 from tabulon.operators.gates import reason_is_current, runtime_reason
 from tabulon.plans.index import Index, bm25
+from tabulon.session import written
 
 TITLE_BOOST, NUMBER_BOOST, PHRASE_CHARS = 12.0, 30.0, 4
 FRESH_DAYS, FRESH_SHARE, FRESH_LEAST, FRESH_PART = 14, 0.2, 8.0, 0.15
@@ -75,11 +77,12 @@ def order(sort: str) -> list[Column]:
     return [*by[sort], F.col("opportunity_id")]
 
 
-def search(records: DataFrame, index: Index, request: Request, as_of: Column) -> DataFrame:
+def search(records: DataFrame, index: Index | None, request: Request, as_of: Column) -> DataFrame:
     """All matching records with ``score``, before sorting.
 
     Scores use the statistics of all records; the gate and the filters come
     afterwards, and the peak for the freshness boost is that of what they leave.
+    A request without a text needs no index.
     """
     text = request.query.strip()
     rows = records.where(reason_is_current(runtime_reason(as_of))).where(passes_filters(records, request.filters)).where(range_filters(request))
@@ -107,6 +110,34 @@ def page(found: DataFrame, request: Request) -> DataFrame:
     return found.orderBy(*order(request.sort)).offset((request.page - 1) * request.page_size).limit(request.page_size)
 
 
+def numbered(found: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """Adds the place of every row in an order, from 1: places in sorted ranges, plus the sizes of the ranges before."""
+    placed = found.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "ranges")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_range", "_first", before.alias("_before"))
+    return placed.join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long")).drop("_range", "_at", "_first", "_before")
+
+
+def containing(docs: DataFrame, passages: DataFrame, text: str = "text", passage: str = "passage") -> DataFrame:
+    """Pairs of a document and a passage that stands in it.
+
+    They meet on the longest word inside the passage (its first and last words
+    may be parts of words in a document) and are then compared. Only passages
+    of fewer than three words are looked for in every document.
+    """
+    words = F.split(F.col(passage), r"\s+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = written(passages.withColumn("_anchor", longest), "passages")
+    spread = docs.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))))
+    held = F.contains(F.col(text), F.col(passage))
+    met = spread.join(keyed.where("_anchor is not null"), F.col("_word") == F.col("_anchor")).where(held).drop("_word", "_anchor")
+    few = keyed.where("_anchor is null").drop("_anchor")
+    return met.unionByName(docs.join(few, held)) if few.limit(1).count() else met
+
+
 def page_numbers(current: int, total: int) -> list[int | None]:
     """Page buttons: the ends, the current page and its neighbours; None for a gap."""
     shown = sorted({1, total, *(p for p in range(current - 1, current + 2) if 1 <= p <= total)}) if total else []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from tabulon.functions import dates, money
 from tabulon.functions import text as tx
 from tabulon.operators import enrich, evidence, feedback, links
 from tabulon.queries.common import AS_OF, R, as_of, query, records, table
+from tabulon.session import shared_dir
 from tabulon.sources import readers, sinks
 from tabulon.streaming import usage
 
@@ -81,7 +81,7 @@ def preference_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "preference_scores",
     """WITH j AS (SELECT lang, source, CASE WHEN quality = 1 AND toxic = 0 AND l.doc_id % 2 = 0 THEN 2.0 WHEN quality = 1 AND toxic = 0 THEN 1.0
-        WHEN quality = 1 THEN 0.3 WHEN l.doc_id % 5 = 0 THEN 0 ELSE -1.5 END AS w FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 40 = 7),
+        WHEN quality = 1 THEN 0.3 WHEN l.doc_id % 5 = 0 THEN 0 ELSE -1.5 END AS w FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
     m AS (SELECT feature, sum(w) AS weight FROM (SELECT unnest(['lang:' || lang, 'source:' || source]) AS feature, w FROM j WHERE w <> 0 AND (SELECT count(*) FROM j WHERE w <> 0) >= 3) GROUP BY 1),
     s AS (SELECT doc_id, unnest(['lang:' || lang, 'source:' || source]) AS feature FROM documents),
     x AS (SELECT doc_id, feature, weight FROM s LEFT JOIN m USING (feature))
@@ -90,7 +90,7 @@ def preference_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def preference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"))
-    model = feedback.preference_model(_judged(spark, sf_dir).where("doc_id % 40 = 7"), features)
+    model = feedback.preference_model(_judged(spark, sf_dir), features)
     out = feedback.preference_scores(table(spark, sf_dir, "documents"), "doc_id", features, model)
     return out.select("doc_id", F.round("raw", 6).alias("raw"), F.round("factor", 6).alias("factor"), "reason")
 
@@ -102,7 +102,7 @@ def preference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def url_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = links.url_inventory(table(spark, sf_dir, "pages"), "page_id", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    return out.select("url", "n", F.element_at("record_ids", 1).alias("first_id"))
+    return out.select("url", "n", "first_id")
 
 
 @query(
@@ -128,7 +128,7 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(tx.url_host("safe").alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_if(tx.host_within("safe", "example.org")).alias("in_org"))
 
 
-_WORDS = "SELECT {k} AS id, unnest(list_distinct(regexp_extract_all(lower({t}), '[a-z][a-z-]{{4,}}'))) AS word FROM {f}"
+_WORDS = "SELECT id, word FROM (SELECT {k} AS id, unnest(list_distinct(regexp_extract_all(lower({t}), '[a-z][a-z0-9-]{{2,}}'))) AS word FROM {f}) WHERE word NOT IN (" + ", ".join(f"'{w}'" for w in links.PLAIN_WORDS) + ")"
 _PAIRS = f"""l AS ({_WORDS.format(k="item_id", t="text", f="benchmark")}), d AS ({_WORDS.format(k="doc_id", t="text", f="documents")}),
 p AS (SELECT l.id AS left_id, d.id AS right_id, count(*) AS overlap FROM l JOIN d USING (word) GROUP BY 1, 2 HAVING count(*) >= 3),
 q AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY overlap DESC, right_id) AS position FROM p QUALIFY position <= 25)"""
@@ -136,7 +136,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY overlap DESC, r
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def side(name: str, key: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(F.col(key).alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z-]{4,}"), F.lit(0)).alias("words"))
+        return table(spark, sf_dir, name).select(F.col(key).alias("id"), links.word_bag("text").alias("words"))
 
     return links.shared_words(side("benchmark", "item_id"), side("documents", "doc_id"))
 
@@ -447,8 +447,7 @@ def usage_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per day and type as a stream in append mode: windows that the watermark has passed."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabulon-")
-    out = f"{base.rstrip('/')}/usage-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
     counted = usage.usage_counts(stream.withColumn("everyone", F.lit(0)), "ts", "everyone", "event_type").drop("everyone")
     usage.run_available(counted, f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema(counted.schema).parquet(f"{out}/rows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

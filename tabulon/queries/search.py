@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import STOP_WORDS, tokens
 from tabulon.operators.feedback import profile_terms
 from tabulon.plans import index as ix
-from tabulon.plans.search import Request, order, page, ranked, search
+from tabulon.plans.search import Request, containing, numbered, order, page, ranked, search
 from tabulon.queries.common import AS_OF, ORACLE, R, as_of, query, records, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -105,7 +104,7 @@ def recall_at_32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the (passage, document) containments, how many are among the 32 best."""
     top = _bench(spark, sf_dir).select("query_id", "doc_id")
     item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    held = table(spark, sf_dir, "documents").join(F.broadcast(item), F.contains("text", "passage")).select("query_id", "doc_id")
+    held = containing(table(spark, sf_dir, "documents"), item).select("query_id", "doc_id")
     met = held.join(top.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     return met.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
@@ -153,7 +152,8 @@ def _search_sql(text: str) -> str:
 
 def _found(spark: SparkSession, sf_dir: str, request: Request) -> DataFrame:
     rows = records(spark, sf_dir).withColumn("source_first_seen_date", F.lit(None).cast("date"))
-    return search(rows, ix.build(rows, "opportunity_id", _REC_FIELDS), request, as_of())
+    index = ix.build(rows, "opportunity_id", _REC_FIELDS) if request.query.strip() else None
+    return search(rows, index, request, as_of())
 
 
 @query("search_boosted", _search_sql("building studies"))
@@ -177,8 +177,8 @@ def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facet, deadline and award filters without a text, in deadline order."""
     request = Request(filters={"topic_areas": ["BUILDING", "1-URGENT"]}, close_from="1998-06-20", close_to="1998-08-31", least_award=100_000, sort="deadline")
-    found = _found(spark, sf_dir, request)
-    return found.select("opportunity_id", "agency", "close_date", F.row_number().over(W.orderBy(*order("deadline"))).cast("long").alias("position"))
+    found = numbered(_found(spark, sf_dir, request), order("deadline"), "position")
+    return found.select("opportunity_id", "agency", "close_date", "position")
 
 
 @query(

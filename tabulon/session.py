@@ -2,7 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder of its own; a
+    cluster has no folder that could stand in for it, so it raises.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tabulon-")
+    return _own_dirs[context.applicationId]
+
+
+def written(df: DataFrame, name: str, *cluster: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, cut from its lineage; ``cluster`` sorts it for pushed filters."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    (df.sortWithinPartitions(*cluster) if cluster else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
