@@ -12,6 +12,7 @@ from tabulon.session import shared_dir
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
