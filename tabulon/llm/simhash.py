@@ -107,8 +107,13 @@ def _link(cell: np.ndarray, fp: np.ndarray, max_bits: int, shared: int) -> pd.Da
         right.append(same + step)
     if not left:
         return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
-    u, v = np.concatenate(left), np.concatenate(right)
-    root = np.arange(len(fp))
+    node, root = _spanning(np.concatenate(left), np.concatenate(right), len(fp))
+    return pd.DataFrame({"a": fp[node], "b": fp[root]})
+
+
+def _spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect what the links (u, v) between n nodes connect: each node but the first with the first of its set."""
+    root = np.arange(n)
     while True:
         low = np.minimum(root[u], root[v])
         before = root.copy()
@@ -117,8 +122,8 @@ def _link(cell: np.ndarray, fp: np.ndarray, max_bits: int, shared: int) -> pd.Da
         root = root[root]
         if (root == before).all():
             break
-    node = np.flatnonzero(root != np.arange(len(fp)))
-    return pd.DataFrame({"a": fp[node], "b": fp[root[node]]})
+    node = np.flatnonzero(root != np.arange(n))
+    return node, root[node]
 
 
 def linked(fps: DataFrame, max_bits: int = 3, cell: int = 512) -> DataFrame:
@@ -140,7 +145,7 @@ def linked(fps: DataFrame, max_bits: int = 3, cell: int = 512) -> DataFrame:
     mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     cells = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cells = cells.select("fp", F.xxhash64("s", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", "fp")
     return dealt.mapInPandas(lambda b: _stars(b, max_bits, 8 - max_bits), "a long, b long").distinct()
 
 
@@ -344,7 +349,8 @@ def _small_cells(cell: np.ndarray, small: np.ndarray, alike) -> np.ndarray:
             break
         i = i[alike(i, i + step)]
         found.append(np.stack([i, i + step], axis=1))
-    return np.concatenate(found)
+    both = np.concatenate(found)
+    return np.stack(_spanning(both[:, 0], both[:, 1], len(cell)), axis=1)
 
 
 def _large_cell(rows: np.ndarray, alike) -> np.ndarray:
@@ -357,11 +363,18 @@ def _large_cell(rows: np.ndarray, alike) -> np.ndarray:
         found.append(np.stack([others[like], np.full(like.sum(), pivot)], axis=1))
         left = others[~like]
     groups.sort(key=len, reverse=True)
+    sets = np.empty(len(rows), np.int64)  # of rows that are connected by now
+    for k, group in enumerate(groups):
+        sets[group - rows[0]] = k
     before = groups[0]
     for group in groups[1:]:
         for row in group.tolist():
             like = before[alike(row, before)]
-            found.append(np.stack([np.full(len(like), row), like], axis=1))
+            others, first = np.unique(sets[like - rows[0]], return_index=True)
+            new = others != sets[row - rows[0]]
+            if new.any():  # one link to each set is enough
+                found.append(np.stack([np.full(new.sum(), row), like[first[new]]], axis=1))
+                sets[np.isin(sets, others)] = sets[row - rows[0]]
         before = np.concatenate([before, group])
     return np.concatenate(found)
 
@@ -402,7 +415,8 @@ def candidates(unique: DataFrame, similarity: float) -> DataFrame:
     cells = cells.select("content", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
     full = cells.join(unique.select("content", "size", "judge"), "content")
     bits = most_bits(similarity, LOOSE)
-    dealt = full.repartition("cell").sortWithinPartitions("cell")
+    # in one order everywhere, so that the lists of one set of copies give the same stars
+    dealt = full.repartition("cell").sortWithinPartitions("cell", "content")
     return dealt.mapInPandas(lambda b: _judged(b, bits, similarity), "a long, b long").distinct()
 
 
@@ -424,7 +438,7 @@ def exact_links(docs: DataFrame, unique: DataFrame, roots: DataFrame, similarity
     mine = F.pmod(F.xxhash64("content"), F.col("g")).cast("int")
     cells = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cells = cells.select("content", "shingles", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", "content")
     return dealt.mapInPandas(lambda b: _compared(b, similarity), "a long, b long").distinct()
 
 
