@@ -7,6 +7,40 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Topics and the words that tell them.
+TOPIC_RULES = {
+    "Agriculture and food": r"\b(?:agricultur|crop|food|farm|livestock|soil)\w*",
+    "Artificial intelligence and machine learning": r"\b(?:artificial intelligence|machine learning|deep learning|generative ai|AI/ML)\b",
+    "Arts and culture": r"\b(?:arts?|cultur|museum|music|theater|humanities)\w*",
+    "Biology and biotechnology": r"\b(?:biolog|biotechnolog|genom|proteom|cellular|microbiom)\w*",
+    "Cancer": r"\b(?:cancer|oncolog|tumou?r|carcinom|neoplasm)\w*",
+    "Carbon management": r"\b(?:carbon capture|carbon utilization|carbon storage|carbon management|direct air capture|CO2)\b",
+    "Catalysis and reaction engineering": (
+        r"\b(?:catalys(?:is|es)|catalytic (?:reaction|process|conversion|activity|material|system|site|mechanism|chemistry|engineering|technology|performance)"
+        r"|(?:electro|photo|thermo)catalys\w*|reaction engineering|reactor design)\b"
+    ),
+    "Climate change": r"\b(?:climate change|decarboni[sz]|greenhouse gas|global warming|climate resilience)\w*",
+    "Community development": r"\b(?:community development|community engagement|rural development|economic development)\b",
+    "Cybersecurity": r"\b(?:cybersecurity|cyber security|information security)\b",
+    "Data science": r"\b(?:data science|data analytics|big data|informatics)\b",
+    "Education and workforce": r"\b(?:education|student|teacher|curriculum|workforce|training)\w*",
+    "Energy": r"\b(?:energy|battery|fuel cell|hydrogen|solar|wind power|nuclear power|grid)\w*",
+    "Environmental science": r"\b(?:environment|ecosystem|ecolog|pollution|conservation|biodiversity)\w*",
+    "Health equity": r"\b(?:health disparit|health equit|underserved population|social determinants of health)\w*",
+    "Infectious disease": r"\b(?:infectious disease|virus|viral|bacteri|pathogen|pandemic)\w*",
+    "Manufacturing": r"\b(?:manufactur|industrial process|supply chain|semiconductor)\w*",
+    "Materials science": r"\b(?:materials? science|advanced materials?|polymer|nanomaterial|metallurg|ceramic)\w*",
+    "Neuroscience": r"\b(?:neuroscien|neurolog|brain|cognitive|neurodegener)\w*",
+    "Public health": r"\b(?:public health|population health|epidemiolog|health services)\w*",
+    "Quantum science": r"\b(?:quantum|qubit|quantum computing)\w*",
+    "Separations and membranes": r"\b(?:separation science|membrane|adsorption|chromatograph|purification)\w*",
+    "Social and behavioral sciences": r"\b(?:social science|behavioral|psycholog|sociolog|human behavior)\w*",
+    "Space and aeronautics": r"\b(?:spacecraft|aeronautic|aerospace|NASA|space science)\w*",
+    "Technology development": r"\b(?:technology development|prototype|commerciali[sz]|innovation)\w*",
+    "Transportation": r"\b(?:transportation|transit|rail|aviation|vehicle|maritime)\w*",
+    "Water": r"\b(?:water treatment|wastewater|drinking water|water quality|desalination|hydrolog)\w*",
+}
+
 
 def labels_for(codes: Column, labels: Mapping[str, str]) -> Column:
     """Codes as labels; a code without a label stays."""

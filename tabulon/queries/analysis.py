@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabulon.functions import dates, money
 from tabulon.functions import text as tx
-from tabulon.operators import enrich, evidence, feedback, links
+from tabulon.operators import enrich, evidence, feedback, links, views
 from tabulon.queries.common import AS_OF, R, as_of, query, records, table
 from tabulon.session import shared_dir
 from tabulon.sources import readers, sinks
@@ -169,6 +169,65 @@ def topic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(enrich.topics(F.concat_ws(" ", "p_type", "p_name"), _RULES), ",").alias("topics"))
 
 
+_PHRASES = ["soil moisture", "deep learning", "museum music", "genomics", "oncology", "direct air capture", "catalysis", "decarbonization", "rural development", "cyber security", "big data", "teachers", "fuel cells", "ecology", "health disparities", "pathogens", "supply chains", "polymers", "brains", "epidemiology", "qubits", "membranes", "sociology", "aerospace", "prototypes", "railways", "desalination", "carts and starts", "a plain text"]
+
+
+def _topic_sql() -> str:
+    text = f"p_name || ' ' || {_PHRASES!r}[p_partkey % {len(_PHRASES)} + 1] || ', ' || {_PHRASES!r}[p_partkey // 7 % {len(_PHRASES)} + 1]"
+    hits = ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{n}' END" for n, p in enrich.TOPIC_RULES.items())
+    return f"SELECT p_partkey, array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ',') AS topics FROM (SELECT p_partkey, {text} AS t FROM part)"
+
+
+@query("topic_areas", _topic_sql())
+def topic_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics of all rules, of part names with phrases that some of the rules know."""
+    phrases, n = F.array(*map(F.lit, _PHRASES)), len(_PHRASES)
+    at = [F.get(phrases, (F.col("p_partkey") % n).cast("int")), F.get(phrases, (F.floor(F.col("p_partkey") / 7) % n).cast("int"))]
+    text = F.concat("p_name", F.lit(" "), at[0], F.lit(", "), at[1])
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(enrich.topics(text, enrich.TOPIC_RULES), ",").alias("topics"))
+
+
+@query(
+    "record_views",
+    f"""WITH {R}, v AS (SELECT *, title || CASE ordinal % 5 WHEN 0 THEN ' (REU site)' WHEN 1 THEN ' postdoctoral fellowship' WHEN 2 THEN ' dissertation support' ELSE '' END AS t FROM r)
+    SELECT opportunity_id, CASE WHEN ordinal % 4 = 0 THEN coalesce(funding_opportunity_url, primary_document_url, 'https://home') ELSE detail_page END AS url,
+      CASE ordinal % 5 WHEN 0 THEN 'undergrad' WHEN 1 THEN 'postdoc' WHEN 2 THEN 'grad' ELSE 'faculty' END AS audience,
+      CAST(CASE ordinal % 5 WHEN 1 THEN 2.2 ELSE 0 END AS DOUBLE) AS fit,
+      CASE ordinal % 3 WHEN 0 THEN 'application' WHEN 1 THEN 'letter_of_intent' ELSE CASE WHEN status = 'forecasted' THEN 'estimated_application' ELSE 'application' END END AS due_kind,
+      CASE ordinal % 3 WHEN 2 THEN CAST(close_date AS VARCHAR) ELSE CAST(posted_date AS VARCHAR) END AS due_date FROM v""",
+)
+def record_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address, audience, trainee fit and main deadline of every record."""
+    k = F.col("ordinal")
+    added = F.when(k % 5 == 0, " (REU site)").when(k % 5 == 1, " postdoctoral fellowship").when(k % 5 == 2, " dissertation support").otherwise("")
+    rows = records(spark, sf_dir).withColumns({"title": F.concat("title", added), "detail_page": F.when(k % 4 != 0, F.col("detail_page"))})
+
+    def due(kind: str) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), F.col("posted_date").cast("string").alias("date"), none.alias("time"), none.alias("zone"))
+
+    dates = F.when(k % 3 == 0, F.array(due("letter_of_intent"), due("application"))).when(k % 3 == 1, F.array(due("letter_of_intent")))
+    none = F.lit(None).cast("string")
+    main = views.primary_deadline(dates, F.col("status"), F.col("close_date"), none, none)
+    fit = views.career_fit(F.lit("trainee"), F.lit(False), F.col("title"), F.col("description"))
+    out = rows.select("opportunity_id", views.best_url(rows.columns, "https://home").alias("url"), views.audience().alias("audience"), fit.alias("fit"), main.alias("due"))
+    return out.select("opportunity_id", "url", "audience", "fit", F.col("due.kind").alias("due_kind"), F.col("due.date").alias("due_date"))
+
+
+@query(
+    "enrichment_metrics",
+    f"""WITH {R} SELECT CAST(0 AS BIGINT) AS detail_enriched_count, count(*) AS detail_pending_count, count(primary_document_url) AS primary_document_count, count(funding_opportunity_url) AS agency_notice_count,
+      CAST(0 AS BIGINT) AS agency_synopsis_count, count(coalesce(primary_document_url, funding_opportunity_url, detail_page)) AS one_click_official_source_count,
+      count(*) FILTER (coalesce(award_floor, 0) <> 0 OR coalesce(award_ceiling, 0) <> 0) AS per_award_amount_count, count(*) FILTER (coalesce(award_floor, 0) <> 0 OR coalesce(award_ceiling, 0) <> 0) AS any_amount_count,
+      CAST(0 AS BIGINT) AS deadline_conflict_count, CAST(0 AS BIGINT) AS award_conflict_count, CAST(0 AS BIGINT) AS preliminary_deadline_count,
+      count(*) FILTER (ordinal % 3 <> 2) AS contact_count, count(*) FILTER (ordinal % 3 = 1) AS contact_email_count FROM r""",
+)
+def enrichment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("ordinal") % 3
+    contact = F.struct(F.lit("n").alias("name"), F.when(k == 1, "a@b.org").otherwise("").alias("email"))
+    return views.enrichment_metrics(records(spark, sf_dir).withColumn("contacts", F.when(k != 2, F.array(contact))))
+
+
 @query(
     "code_labels",
     f"WITH {R} SELECT opportunity_id, array_to_string(list_transform(funding_instruments, lambda c: CASE c WHEN 'G' THEN 'Grant' WHEN 'CA' THEN 'Cooperative Agreement' ELSE c END), '; ') AS labels FROM r",

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tabulon.functions import dates, money, text
-from tabulon.operators import changes, enrich, evidence, feedback, gates
+from tabulon.operators import changes, enrich, evidence, feedback, gates, views
 from tabulon.operators import records as rec
 from tabulon.plans import index as ix
 from tabulon.plans.search import Request, compare, page_numbers, ranked, search
@@ -201,6 +201,28 @@ def test_facts_of_a_notice(spark):
     assert ("limited_submission", "Potential institutional submission limit") in got and all(r["quote"] for r in rows)
 
 
+def test_primary_contact(spark):
+    rows = [
+        ([("A", "bad", "1", "r"), ("B", "b@x.org", "", "PI")], "own", "o@x.org", "9", ("B", "b@x.org", "9", "PI")),
+        ([("", None, "5", None)], "own", "o@x.org", "9", ("own", "o@x.org", "5", "")),
+        (None, None, "nobody", None, ("", "", "", "")),
+    ]
+    df = spark.createDataFrame(rows, "contacts array<struct<name:string,email:string,phone:string,role:string>>, n string, e string, p string, want struct<name:string,email:string,phone:string,role:string>")
+    got = df.withColumn("got", views.primary_contact(F.col("contacts"), F.col("n"), F.col("e"), F.col("p"))).withColumn("label", views.contact_label(F.col("got"))).collect()
+    assert all(tuple(r["got"]) == tuple(r["want"]) for r in got) and [r["label"] for r in got] == ["B", "own", "Not listed"]
+
+
+def test_degraded_runs(spark):
+    good, bad = (spark.createDataFrame([("a", s)], "slug string, status string") for s in ("refreshed", "kept"))
+    yes, no = F.lit(True), F.lit(False)
+
+    def degraded(*args):
+        return views.is_degraded(*args).first()["degraded"]
+
+    assert not degraded(good, yes, yes, yes) and not degraded(good.limit(0), yes, no, no)
+    assert degraded(bad, yes, no, no) and degraded(good, no, no, no) and degraded(good, yes, yes, no)
+
+
 def test_registry_isolates_failures(spark):
     class Bad(readers.SourceAdapter):
         def fetch(self, spark):
