@@ -287,7 +287,8 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     # notices are dated in this century, 20 years after the orders
-    o = table(spark, sf_dir, "orders").withColumn("day", F.add_months(F.col("o_orderdate").cast("date"), 240))
+    # one small file of orders becomes many notices, whose text takes the time
+    o = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism).withColumn("day", F.add_months(F.col("o_orderdate").cast("date"), 240))
     k, price = F.col("o_orderkey"), F.floor("o_totalprice")
     due = F.concat(F.date_format("day", "MMMM d, yyyy"), F.lit("."))
     text = F.concat(
