@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, langid, mixing, neighbours, quality, records, secrets, simhash, toxicity, webtext
+from tabulon.llm import decontaminate, dialogue, langid, merkle, mixing, neighbours, quality, records, secrets, simhash, toxicity, webtext
 from tabulon.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,129 @@ def op2_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of the documents labelled as good, and whether it is kept."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
     return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof digest and folded root of every document in the manifest by source."""
+    return merkle.manifest(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+#: crc32 of an ASCII string ``s``: a table ``crc`` with one list of its 256 remainders, and the expression over that list.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS remainders FROM range(256) r(i))"
+
+
+def _crc_sql(s: str) -> str:
+    codes = f"list_transform(regexp_extract_all({s}, '[\\x00-\\x7F]'), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _merkle_sql() -> str:
+    field = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+    fields = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    changed = f"""CASE WHEN {_crc_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"""
+
+    def levels(base: str, out: str) -> str:
+        return f"""{out} AS (
+          SELECT tree, 0 AS level, pos, n, digest FROM {base}
+          UNION ALL
+          SELECT tree, any_value(level) + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos))
+          FROM {out} WHERE n > 1 GROUP BY tree, pos // 3)"""
+
+    def above(leaves: str, levels: str, out: str) -> str:
+        return f"""{out} AS (
+          SELECT l.id, r.level, coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos < l.pos // pow3), '') AS lefts,
+                 coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos > l.pos // pow3), '') AS rights
+          FROM {leaves} l, (SELECT level, CAST(3 ** level AS BIGINT) AS pow3 FROM range(40) x(level)) r, {levels} s
+          WHERE s.tree = l.tree AND s.level = r.level AND s.n > 1 AND s.pos // 3 = l.pos // (3 * pow3)
+          GROUP BY l.id, r.level)"""
+
+    return f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    docs AS (SELECT row_number() OVER () AS id, coalesce('s' || source, '') AS tree, doc_id, sha256({fields} || {field.format("text")}) AS digest,
+                    sha256({fields} || {field.format("(" + changed + ")")}) AS other FROM documents, crc),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM docs),
+    {levels("leaves", "nodes")},
+    subroots AS (SELECT row_number() OVER (ORDER BY tree) AS id, '' AS tree, tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    {levels("subroots", "heads")},
+    {above("leaves", "nodes", "low")},
+    {above("subroots", "heads", "high")},
+    steps AS (SELECT id, level, lefts, rights FROM low
+              UNION ALL
+              SELECT l.id, 1000 + h.level, lefts, rights FROM leaves l JOIN subroots s ON s.name = l.tree JOIN high h ON h.id = s.id),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level) AS step FROM steps),
+    folded AS (SELECT id, 0 AS step, other AS digest FROM leaves
+               UNION ALL
+               SELECT f.id, s.step, sha256(lefts || digest || rights) FROM folded f JOIN numbered s ON s.id = f.id AND s.step = f.step + 1),
+    ends AS (SELECT id, arg_max(digest, step) AS folded_root FROM folded GROUP BY id),
+    proofs AS (SELECT id, sha256(string_agg(lefts || rights, '' ORDER BY step)) AS proof FROM numbered GROUP BY id),
+    root AS (SELECT digest AS root FROM heads WHERE n = 1)
+    SELECT doc_id, l.digest AS leaf, s.digest AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM leaves l JOIN subroots s ON s.name = l.tree JOIN ends ON ends.id = l.id LEFT JOIN proofs ON proofs.id = l.id, root"""
+
+
+ORACLE["op11_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired rows of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damaged(rows), rows)
+
+
+def _dialogue_sql() -> str:
+    ws = r"\x20\x09-\x0D"
+
+    def least(*options: tuple[str, str]) -> str:
+        """The least of (cost, letter) pairs."""
+        return "list_min([" + ", ".join(f"{{'c': {c}, 'm': '{m}'}}" for c, m in options) + "])"
+
+    far = 1 << 40
+    step = {0: ("u", 2, {"s": 1, "u": 2}), 1: ("u", 2, {"u": 2}), 2: ("a", 3, {"a": 3}), 3: ("u", 2, {"u": 2})}
+    own = []
+    for s, (_, to, kept) in step.items():
+        keep = "CASE " + " ".join(f"WHEN lower(sym) = '{k}' THEN cut + m{t}.c" for k, t in kept.items()) + f" ELSE {far} END"
+        own.append(least((f"3 + m{s}.c", "D"), (f"CASE WHEN sym = 'd' THEN {far} ELSE cut + 2 + m{to}.c END", "R"), (keep, "K")) + f" AS o{s}")
+    final = ", ".join(f"list_min([o{s}, {{'c': 2 + least(o{to}.c, 2 + o{step[to][1]}.c), 'm': 'I'}}]) AS m{s}" for s, (_, to, _) in step.items())
+    return f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS hit FROM conversations, crc),
+    ids AS (SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+    rows_ AS (SELECT conv, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+                     CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM hit JOIN ids ON hit.conv_id IS NOT DISTINCT FROM ids.conv_id, range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS spot, count(*) OVER (PARTITION BY conv) AS n FROM rows_),
+    faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{ws}]') THEN 'blank'
+                              WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY spot) > 1 THEN 'duplicate'
+                              WHEN NOT regexp_matches(text, '[.!?][{ws}]*$') THEN 'truncated' ELSE '' END AS fault,
+                      CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS ini,
+                      lag(role[1]) OVER (PARTITION BY conv ORDER BY spot) || role[1] AS pair
+               FROM placed),
+    syms AS (SELECT conv, spot, n, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' ELSE ini END AS sym, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS cut FROM faults),
+    togo AS (
+      SELECT conv, max(spot) + 1 AS spot, {{'c': 0, 'm': ''}} AS m0, {{'c': 4, 'm': 'I'}} AS m1, {{'c': 2, 'm': 'I'}} AS m2, {{'c': 0, 'm': ''}} AS m3 FROM syms GROUP BY conv
+      UNION ALL
+      SELECT conv, spot, {final} FROM (SELECT t.conv, s.spot, {", ".join(own)} FROM togo t JOIN syms s ON s.conv = t.conv AND s.spot = t.spot - 1)),
+    moves AS (SELECT conv, spot, unnest([m0, m1, m2, m3]) AS best, unnest([0, 1, 2, 3]) AS state FROM togo),
+    steps AS (SELECT m.conv, m.spot, state, best.c AS cost, best.m AS letter,
+                     CASE best.m WHEN 'D' THEN state WHEN 'K' THEN CASE sym WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE state WHEN 2 THEN 3 ELSE 2 END END AS then_state
+              FROM moves m LEFT JOIN syms s ON s.conv = m.conv AND s.spot = m.spot),
+    walk AS (
+      SELECT conv, 1 AS nth, spot, state, letter, then_state FROM steps WHERE spot = 1 AND state = 0
+      UNION ALL
+      SELECT w.conv, nth + 1, s.spot, s.state, s.letter, s.then_state FROM walk w JOIN steps s
+        ON s.conv = w.conv AND s.spot = w.spot + CASE w.letter WHEN 'I' THEN 0 ELSE 1 END AND s.state = w.then_state WHERE w.letter <> ''),
+    told AS (SELECT w.conv, string_agg(letter, '' ORDER BY nth) AS audit,
+                    string_agg(CASE WHEN letter = 'K' THEN role WHEN w.state = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY nth) FILTER (letter IN ('K', 'R', 'I')) AS repaired
+             FROM walk w LEFT JOIN placed p ON p.conv = w.conv AND p.spot = w.spot GROUP BY w.conv),
+    counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                      count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                      count(*) FILTER (spot > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv)
+    SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, CAST(coalesce(s.cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+    FROM ids LEFT JOIN counts ON counts.conv = ids.conv LEFT JOIN told ON told.conv = ids.conv LEFT JOIN steps s ON s.conv = ids.conv AND s.spot = 1 AND s.state = 0"""
+
+
+ORACLE["op12_dialogue_repair"] = _dialogue_sql()
