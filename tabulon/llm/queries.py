@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, dialogue, langid, merkle, mixing, neighbours, quality, records, secrets, simhash, toxicity, webtext
+from tabulon.llm import decontaminate, dialogue, fingerprints, langid, merkle, mixing, neighbours, quality, records, secrets, simhash, toxicity, webtext
 from tabulon.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,3 +314,30 @@ def _dialogue_sql() -> str:
 
 
 ORACLE["op12_dialogue_repair"] = _dialogue_sql()
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, how alike they are, and how many others are near."""
+    return fingerprints.compare(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op13_fingerprints"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars,
+                     row_number() OVER (ORDER BY doc_id DESC NULLS LAST, sha256(coalesce(text, ''))) - 1 AS rank, count(*) OVER () AS n FROM documents),
+edits AS (SELECT d.rank, d.text[1:d.n_chars - d.n_chars // 3] || e.text[1:d.n_chars // 3] AS text
+          FROM docs d JOIN docs e ON e.rank = (d.rank + 1) % d.n),
+texts AS (SELECT 0 AS kind, rank, text FROM docs UNION ALL SELECT 1, rank, text FROM edits),
+terms AS (SELECT kind, rank, CAST('0x' || md5(term)[1:16] AS UBIGINT) AS h, length(term) AS w
+          FROM (SELECT kind, rank, unnest(list_distinct(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'))) AS term FROM texts)),
+votes AS (SELECT kind, rank, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN w ELSE -w END) AS v FROM terms, range(64) bits(b) GROUP BY ALL),
+fps AS (SELECT t.kind, t.rank, coalesce(bit_or(CASE WHEN v > 0 THEN CAST(1 AS UBIGINT) << b ELSE 0 END), 0) AS fp
+        FROM texts t LEFT JOIN votes v ON v.kind = t.kind AND v.rank = t.rank GROUP BY t.kind, t.rank),
+stored AS (SELECT fp, count(*) AS n FROM fps WHERE kind = 0 GROUP BY fp),
+found AS (SELECT q.rank, sum(s.n) AS n_within FROM fps q JOIN docs d ON d.rank = q.rank AND d.doc_id % 20 = 0 JOIN stored s ON bit_count(xor(q.fp, s.fp)) <= 3
+          WHERE q.kind = 0 GROUP BY q.rank)
+SELECT d.doc_id, d.n_chars, sha256(e.text) AS edited_sha256, lpad(lower(hex(a.fp)), 16, '0') AS fingerprint, lpad(lower(hex(c.fp)), 16, '0') AS edited_fingerprint,
+       1 - bit_count(xor(a.fp, c.fp)) / 64.0 AS near_edited, 1 - bit_count(xor(a.fp, x.fp)) / 64.0 AS near_next, CAST(n_within AS BIGINT) AS n_within
+FROM docs d JOIN edits e ON e.rank = d.rank JOIN fps a ON a.rank = d.rank AND a.kind = 0 JOIN fps c ON c.rank = d.rank AND c.kind = 1
+JOIN fps x ON x.rank = (d.rank + 1) % d.n AND x.kind = 0 LEFT JOIN found f ON f.rank = d.rank
+"""
