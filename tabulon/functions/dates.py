@@ -81,7 +81,7 @@ def feed_date(c: Column | str) -> Column:
 
 def eastern_date(c: Column | str) -> Column:
     """Date in New York of a UTC time ``MM/dd/yyyy HH:mm:ss``."""
-    return F.to_date(F.from_utc_timestamp(F.try_to_timestamp(_c(c), F.lit("MM/dd/yyyy HH:mm:ss")), "America/New_York"))
+    return F.to_date(F.from_utc_timestamp(F.try_to_timestamp(_c(c), F.lit("M/d/yyyy H:m:s")), "America/New_York"))
 
 
 def slash_dates(c: Column | str) -> Column:

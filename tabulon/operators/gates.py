@@ -17,6 +17,9 @@ OPEN = ("posted", "forecasted")
 NOTICE_TITLE = r"(?i)^(?:[A-Z0-9-]+\s+)?(?:notice\s+of\s+intent(?:\s+to\s+issue)?\b|request\s+for\s+information\b|RFI\s*[-:])"
 NOT_ACCEPTING = r"(?i)\b(?:not|isn't|is\s+not)\s+accepting\s+applications?\b|\bno\s+applications?\s+(?:are|will\s+be)\s+accepted\b"
 ROLLING = r"(?i)\brolling\b|\bopen\s+until\s+filled\b|\bcontinuous(?:ly)?\s+(?:open|accepted)\b"
+#: Fixed values of the pages' own gate, which also looks at the deadline note and takes strict dates only.
+PAGE_TITLE = r"(?i)^(?:[A-Z0-9_.-]+\s+)?(?:notice of intent\b|request for information\b|rfi\s*[-:])"
+PAGE_NOT_ACCEPTING = r"(?i)\bnot accepting applications?\b"
 STALE_DAYS = 548
 FAR_DAYS = 366 * 6
 
@@ -73,6 +76,22 @@ def ingest_is_current(as_of: Column, fiscal_year: str = "fiscal_year", award: st
     return F.when(notice.isNotNull(), False).when(dated.isNotNull(), dated).when(forecast, ~F.coalesce(old, F.lit(False))).otherwise(True)
 
 
+def page_reason(title: str = "title", description: str = "description", note: str = "close_date_note", instruments: str = "funding_instruments") -> Column:
+    """Why a page shows no record of its own: ``informational notice``, ``not accepting applications`` or ''."""
+    kinds = F.transform(F.coalesce(F.col(instruments), F.array().cast("array<string>")), lambda v: F.lower(v))
+    only_other = (F.size(kinds) > 0) & F.forall(kinds, lambda v: F.coalesce(v == "other", F.lit(False)))
+    said = F.concat(_text(description), F.lit(" "), _text(note)).rlike(PAGE_NOT_ACCEPTING)
+    return F.when(F.trim(_text(title)).rlike(PAGE_TITLE), "informational notice").when(only_other & said, "not accepting applications").otherwise("")
+
+
+def page_is_current(as_of: Column, status: str = "status", close: str = "close_date", archive: str = "archive_date", **names: str) -> Column:
+    """The pages' gate on texts: open statuses only; a close date has to be YYYY-MM-DD and not over, else the archive date decides."""
+    state, day = F.lower(_text(status)), as_of.cast("string")
+    closes, archives = F.nullif(_text(close), F.lit("")), F.nullif(_text(archive), F.lit(""))
+    dated = F.when(closes.isNotNull(), closes.rlike(r"^\d{4}-\d{2}-\d{2}\z") & (closes >= day)).when(archives < day, False).otherwise(True)
+    return state.isin(*OPEN) & (page_reason(**names) == "") & dated
+
+
 def publish_reason(as_of: Column, title: str = "title", urls: tuple[str, ...] = ("detail_page", "funding_opportunity_url", "primary_document_url"), close: str = "close_date", posted: str = "posted_date") -> Column:
     """Why an external record may not be published; null if it may. Any one of ``urls`` is enough."""
     closes, some = strict_iso_date(close), F.coalesce(*[F.nullif(F.col(u).cast("string"), F.lit("")) for u in urls])

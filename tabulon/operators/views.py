@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import blank_to_null
+from tabulon.functions.text import blank_to_null, safe_http_url, truncate
 
 # Where a record may be read, in order of preference, and words of titles that tell whom it is for.
 URL_FIELDS = ("detail_page", "funding_opportunity_url", "url", "primary_document_url")
@@ -123,3 +123,111 @@ def is_degraded(sources: DataFrame, valid: Column, write_asked: Column, was_writ
     stale = F.coalesce(F.max(F.coalesce(F.col("status"), F.lit("")) != "refreshed"), F.lit(False))
     bad = ~F.coalesce(valid, F.lit(False)) | (F.coalesce(write_asked, F.lit(False)) & (F.coalesce(was_written, F.lit(True)) == F.lit(False)))
     return sources.agg(stale.alias("stale")).select((F.col("stale") | bad).alias("degraded"))
+
+
+def official_actions(record: dict[str, Column]) -> Column:
+    """struct<url, links, note>: where a record's own documents are, each address once, and what to make of them.
+
+    ``links`` has kind (foa, agency, grants), label, url and whether it is the
+    main one. ``record`` gives source, detail_page, primary_document_url,
+    primary_document_confidence and funding_opportunity_url.
+    """
+    notice, agency, page = (safe_http_url(record[n]) for n in ("primary_document_url", "funding_opportunity_url", "detail_page"))
+    source = F.coalesce(F.nullif(record["source"], F.lit("")), F.lit("Grants.gov"))
+
+    def link(kind: str, label: Column, url: Column, main: bool) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"), url.alias("url"), F.lit(main).alias("main"))
+
+    main = (
+        F.when(notice.isNotNull(), link("foa", F.lit("Open official FOA"), notice, True))
+        .when(agency.isNotNull(), link("agency", F.lit("Open agency notice"), agency, True))
+        .when(page.isNotNull(), link("grants", F.concat(F.lit("Open "), source, F.lit(" record")), page, True))
+    )
+    first = F.coalesce(notice, agency, page)
+    more_page = F.when(page.isNotNull() & (page != first), link("grants", F.concat(source, F.lit(" record")), page, False))
+    more_agency = F.when(agency.isNotNull() & (agency != first) & ~F.coalesce(agency == page, F.lit(False)), link("agency", F.lit("Agency notice"), agency, False))
+    links = F.filter(F.array(main, more_page, more_agency), lambda x: x.isNotNull())
+    listing = F.when(source == "Grants.gov", "Grants.gov attachment metadata").otherwise(F.concat(source, F.lit(" listing")))
+    confidence = F.coalesce(F.nullif(record["primary_document_confidence"], F.lit("")), F.lit("review"))
+    note = (
+        F.when(notice.isNotNull(), F.concat(F.lit("FOA selected from official "), listing, F.lit(" ("), confidence, F.lit(" confidence). Confirm that it is the current amended notice.")))
+        .when(agency.isNotNull(), "No primary FOA attachment was identified automatically; this opens the agency notice.")
+        .otherwise(F.concat(F.lit("No primary FOA attachment was identified automatically; use the official "), source, F.lit(" record.")))
+    )
+    return F.struct(first.alias("url"), links.alias("links"), note.alias("note"))
+
+
+_DAY = r"^\d{4}-\d{2}-\d{2}$"
+
+
+def _days(*texts: Column) -> Column:
+    return F.filter(F.array(*[F.substring(F.coalesce(t.cast("string"), F.lit("")), 1, 10) for t in texts]), lambda d: d.rlike(_DAY))
+
+
+def _plural(n: Column, one: str, many: str) -> Column:
+    return F.concat(F.format_number(n, 0), F.when(n == 1, one).otherwise(many))
+
+
+def amendment_overview(record: dict[str, Column]) -> Column:
+    """struct<changed_on, summary> of a record whose notice or source has changed, else null.
+
+    ``record`` gives document (name, changed_since_previous, last_seen_at),
+    previous_name, facts and review_queue (arrays), modified_fields, comments,
+    version, and the dates last_updated, api_last_updated, detail_enriched_at
+    and posted_date.
+    """
+    document, facts = record["document"], record["facts"]
+    by_notice = F.coalesce(document["changed_since_previous"], F.lit(False))
+    fields, comments = F.coalesce(record["modified_fields"], F.lit(0)), F.coalesce(record["comments"], F.lit(0))
+    by_source = (fields > 0) | (comments > 0)
+    dates = _days(F.when(by_notice, document["last_seen_at"]), F.when(by_source, record["last_updated"]), F.when(by_source, record["api_last_updated"]))
+    fallback = F.get(_days(record["detail_enriched_at"], record["posted_date"]), F.lit(0))
+    changed_on = F.coalesce(F.array_max(dates), fallback, F.lit(""))
+    old, new = truncate(record["previous_name"], 72), truncate(document["name"], 72)
+    replaced = (F.coalesce(old, F.lit("")) != "") & (F.coalesce(new, F.lit("")) != "") & (old != new)
+    file = F.when(replaced, F.concat(F.lit("Official notice replaced "), old, F.lit(" with "), new, F.lit("."))).otherwise("The official notice file changed.")
+    ids = F.coalesce(F.get(F.filter(record["review_queue"], lambda q: q["type"] == "amendment"), F.lit(0))["evidence_ids"], F.array().cast("array<string>"))
+    named = F.filter(facts, lambda f: F.array_contains(ids, f["id"]) & (F.coalesce(f["label"], F.lit("")) != ""))
+    labels = F.coalesce(F.slice(F.array_distinct(F.transform(named, lambda f: f["label"])), 1, 3), F.array().cast("array<string>"))
+    recheck = F.when(F.size(labels) > 0, F.concat(F.lit("Recheck "), F.lower(F.array_join(labels, ", ")), F.lit(" in the revised notice."))).otherwise(
+        "No field-level difference was identified automatically; recheck the deadline, funding, eligibility, and application requirements."
+    )
+    changes = F.concat_ws(" and ", F.when(fields > 0, _plural(fields, " tracked field", " tracked fields")), F.when(comments > 0, _plural(comments, " agency change comment", " agency change comments")))
+    version = F.coalesce(F.concat(F.lit(" ("), F.nullif(record["version"], F.lit("")), F.lit(")")), F.lit(""))
+    source = F.concat(F.lit("The official source revised "), changes, version, F.lit("; a field-level diff was not provided."))
+    summary = F.concat_ws(" ", F.when(by_notice, file), F.when(by_notice, recheck), F.when(by_source, source))
+    return F.when(by_notice | by_source, F.struct(changed_on.alias("changed_on"), summary.alias("summary")))
+
+
+def compact_evidence(status: Column, evidence: Column, notice_url: Column, most_facts: int = 16, most_items: int = 8, quote: int = 300) -> Column:
+    """Evidence of a current record as it is sent along: some facts with short quotes and their places, and the open items."""
+    document = evidence["document"]
+
+    def fact(f: Column) -> Column:
+        c = f["citation"]
+        place = F.struct(c["location"].alias("location"), F.coalesce(F.nullif(c["citation_url"], F.lit("")), c["document_url"]).alias("url"), truncate(F.coalesce(c["quote"], F.lit("")), quote).alias("quote"))
+        return F.struct(f["id"].alias("evidence_id"), *[f[n].alias(n) for n in ("type", "label", "value", "display_value", "confidence")], place.alias("citation"))
+
+    own = F.struct(document["name"].alias("name"), F.coalesce(F.nullif(document["url"], F.lit("")), notice_url).alias("url"), document["version"].alias("version"), F.coalesce(document["changed_since_previous"], F.lit(False)).alias("changed_since_previous"))
+    sent = F.struct(own.alias("document"), F.transform(F.slice(evidence["facts"], 1, most_facts), fact).alias("facts"), F.slice(evidence["review_queue"], 1, most_items).alias("review_queue"))
+    return F.when(evidence.isNotNull() & (status == "current"), sent)
+
+
+#: Joints where a text has lost its blanks.
+SPACING = (r"[a-z][A-Z][a-z]", r"[.!?][A-Z][a-z]", r";[A-Za-z]", r"[a-z]\)[A-Za-z]", r"[a-z]\([A-Z]{2,}\)")
+
+
+def spacing_issues(text: Column) -> Column:
+    """How often blanks seem to be missing."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.lit(0)
+    for pattern in SPACING:
+        n = n + F.regexp_count(text, F.lit(pattern))
+    return n
+
+
+def stable_external_id(external_id: Column, title: Column, url: Column) -> Column:
+    """A source's own id without blanks, or a digest of title and address."""
+    own = F.nullif(F.regexp_replace(external_id.cast("string"), r"\s+", ""), F.lit(""))
+    seed = F.lower(F.concat_ws("|", F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(url, F.lit("")))))
+    return F.when(F.coalesce(external_id.cast("string"), F.lit("")) != "", F.coalesce(own, F.lit(""))).otherwise(F.concat(F.lit("auto-"), F.substring(F.sha1(seed), 1, 16)))
