@@ -117,7 +117,7 @@ def export_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "export_judgments",
     """WITH j AS (SELECT doc_id, doc_id // 20 AS file, CASE WHEN toxic = 1 THEN 'not_relevant' WHEN quality = 1 THEN 'useful' ELSE 'partial' END AS label, doc_id % 20 + 1 AS rank FROM labels WHERE doc_id % 9 <> 0)
-    SELECT file, label, count(*) AS n, count(*) FILTER (doc_id % 4 <> 0) AS ranked, count(*) FILTER (file % 3 = 0 AND doc_id % 2 = 0) AS listed, count(*) FILTER (file % 3 = 0) AS with_list, CAST(sum(rank) FILTER (doc_id % 4 <> 0) AS BIGINT) AS ranks
+    SELECT file, label, count(*) AS n, count(*) FILTER (doc_id % 4 <> 0) AS ranked, count(*) FILTER (file % 3 = 0 AND doc_id % 2 = 0) AS listed, count(*) FILTER (file % 3 = 0 AND file IN (SELECT doc_id // 20 FROM labels WHERE doc_id % 2 = 0)) AS with_list, CAST(sum(rank) FILTER (doc_id % 4 <> 0) AS BIGINT) AS ranks
     FROM j WHERE file % 8 <> 5 GROUP BY 1, 2""",
 )
 def export_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.dates import document_date, iso_date, text_date
+from tabulon.functions.dates import document_date, iso_date, slash_date, text_date
 from tabulon.functions.money import positive_whole
 from tabulon.functions.text import clean_text, safe_http_url, squeeze, unescape
 from tabulon.operators.codes import first_match, preliminary_kind
@@ -48,8 +48,10 @@ def filled(value: Column) -> Column:
 
 
 def api_date(text: Column) -> Column:
-    """Date of ``Sep 30, 2026 12:00:00 AM EDT`` or an ISO form."""
-    return F.coalesce(iso_date(text), text_date(text), document_date(text))
+    """Date of ``Sep 30, 2026 12:00:00 AM EDT``, of an ISO form, or of M/D/YYYY at the start."""
+    words = F.regexp_extract(text, r"^\s*([A-Z][a-z]{2})[a-z]*\.? (\d{1,2}, \d{4})", 1)
+    day = F.concat_ws(" ", words, F.regexp_extract(text, r"^\s*[A-Z][a-z]+\.? (\d{1,2}, \d{4})", 1))
+    return F.coalesce(iso_date(text), F.when(words != "", F.try_to_date(day, "MMM d, yyyy")), slash_date(F.regexp_extract(text, r"^\s*(\d{1,2}/\d{1,2}/\d{4})", 1)))
 
 
 def attachments(detail: Column) -> Column:
@@ -84,15 +86,10 @@ def searchable(*texts: Column) -> Column:
     return F.regexp_replace(F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in texts]), r"[_/\\-]+", " ")
 
 
-def primary_document(found: Column, urls: Column) -> Column:
-    """struct<url, name, source, confidence> of the one document that is surely the notice, or null.
+def scored(found: Column) -> Column:
+    """``attachments`` with what tells a notice: array<struct<named, foldered, score, draft, url, name>>."""
 
-    Names that say so come first: revised, no draft, in the folder of full
-    announcements, the newest. A single PDF in that folder, or among the
-    record's addresses, is of medium confidence.
-    """
-
-    def scored(a: Column, i: Column) -> Column:
+    def one(a: Column, i: Column) -> Column:
         content, folder = searchable(a["file_name"], a["description"]), searchable(a["folder_name"], a["folder_type"])
         usable = is_pdf(a) & ~F.concat_ws(" ", content, folder).rlike(SUPPLEMENTAL)
         full, draft = folder.rlike(FULL_FOLDER), content.rlike(DRAFT)
@@ -100,7 +97,17 @@ def primary_document(found: Column, urls: Column) -> Column:
         score = F.struct(content.rlike(REVISED).cast("int").alias("a"), (~draft).cast("int").alias("b"), full.cast("int").alias("c"), day.alias("d"), (-i).alias("e"))
         return F.struct((usable & content.rlike(NOTICE)).alias("named"), (usable & ~content.rlike(NOTICE) & full).alias("foldered"), score.alias("score"), draft.alias("draft"), a["download_url"].alias("url"), a["file_name"].alias("name"))
 
-    each = F.transform(found, scored)
+    return F.transform(found, one)
+
+
+def primary_document(each: Column, urls: Column) -> Column:
+    """struct<url, name, source, confidence> of the one document of ``scored`` ones that is surely the notice, or null.
+
+    Names that say so come first: revised, no draft, in the folder of full
+    announcements, the newest. A single PDF in that folder, or among the
+    record's addresses, is of medium confidence.
+    """
+
     named = F.filter(each, lambda x: x["named"])
     top = F.array_max(F.transform(named, lambda x: F.struct(x["score"].alias("score"), x["draft"].alias("draft"), x["url"].alias("url"), x["name"].alias("name"))))
     foldered = F.filter(each, lambda x: x["foldered"])
@@ -140,8 +147,10 @@ def compact(rows: DataFrame, key: str, detail: str, title: str, record_close: st
     note = F.coalesce(first("responseDateDesc", "estApplicationResponseDateDesc", "responseDateNote"), F.lit(""))
     parts = [first("synopsisDesc", "forecastDesc"), first("applicantEligibilityDesc"), filled(note), first("agencyContactDesc"), first("fundingDescLinkDesc"), filled(F.col("_title"))]
     email_text = F.concat_ws(" ", F.coalesce(at(s, "$.agencyContactEmail"), F.lit("")), F.coalesce(at(s, "$.agencyContactDesc"), F.lit("")))
-    # made once here, read often below
-    v = v.select("*", note.alias("_note"), F.concat_ws(" \n ", *parts).alias("_text"), unescape(email_text).alias("_mail"), attachments(d).alias("_files"))
+    # behind an explode, so that what is read often below is made once
+    made = F.struct(note.alias("note"), F.concat_ws(" \n ", *parts).alias("text"), email_text.alias("mail"), attachments(d).alias("files"))
+    v = v.select(key, "_close", "_d", "_s", F.explode(F.array(made)).alias("_m"))
+    v = v.select(key, "_close", "_d", "_s", F.col("_m.note").alias("_note"), F.col("_m.text").alias("_text"), unescape("_m.mail").alias("_mail"), F.col("_m.files").alias("_files"), F.explode(F.array(scored(F.col("_m.files")))).alias("_scored"))
     text, note = F.col("_text"), F.col("_note")
     clocked = F.when(note.rlike(CLOCK), note).otherwise(text)
     raw_urls = F.coalesce(at(d, "$.synopsisDocumentURLs", "array<variant>"), F.array().cast("array<variant>"))
@@ -164,8 +173,8 @@ def compact(rows: DataFrame, key: str, detail: str, title: str, record_close: st
         text.rlike(REQUIRED).alias("_required"),
         *[positive_whole(at(s, f"$.{n}")).alias(a) for n, a in (("awardFloor", "_floor"), ("awardCeiling", "_ceiling"), ("estimatedFunding", "_total"), ("numberOfAwards", "_awards"))],
         safe_http_url(first("fundingDescLinkUrl")).alias("funding_opportunity_url"),
-        urls.alias("_urls"),
-        "_files",
+        F.explode(F.array(urls)).alias("_urls"),
+        "_files", "_scored",
         name.alias("_name"), mail.alias("_mail"), phone.alias("_phone"), page.alias("_page"),
         first_match(LIMITED, text).alias("limited_submission_criteria"),
         first_match(SHARE, text).alias("cost_share_detail"),
@@ -189,7 +198,7 @@ def compact(rows: DataFrame, key: str, detail: str, title: str, record_close: st
         F.struct(F.col("_date").alias("date"), clean_text("_note").alias("note"), F.col("_time").alias("time"), F.col("_zone").alias("timezone")).alias("deadline"),
         F.when(F.col("_stage").isNotNull(), early).alias("preliminary_deadline"),
         F.struct(F.col("_floor").alias("floor"), F.col("_ceiling").alias("ceiling"), F.col("_total").alias("program_total"), F.col("_awards").alias("expected_awards")).alias("award"),
-        "funding_opportunity_url", primary_document(F.col("_files"), F.col("_urls")).alias("primary_document"), F.slice("_urls", 1, MOST_URLS).alias("document_urls"), F.size("_files").alias("attachment_count"), F.col("_files").alias("attachments"),
+        "funding_opportunity_url", primary_document(F.col("_scored"), F.col("_urls")).alias("primary_document"), F.slice("_urls", 1, MOST_URLS).alias("document_urls"), F.size("_files").alias("attachment_count"), F.col("_files").alias("attachments"),
         F.when(someone, F.array(contact)).otherwise(F.array().cast("array<struct<name:string,email:string,phone:string,role:string,source_url:string>>")).alias("contacts"),
         F.col("limited_submission_criteria").isNotNull().alias("limited_submission"), "limited_submission_criteria", "cost_share_detail", "career_stage_signal", "rolling", "history",
     )
