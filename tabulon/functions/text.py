@@ -6,7 +6,7 @@ import html
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,18 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.transform(raw, normalize_token), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
+def token_rows(rows: DataFrame, text: Column | str, *keep: str | Column) -> DataFrame:
+    """(keep, term): a row for each token of ``tokens``, repeats included.
+
+    Raw tokens are exploded first and normalised in generated code, which a
+    function of a whole array is not.
+    """
+    raw = F.regexp_extract_all(fold(F.coalesce(_col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    each = rows.select(*keep, F.explode(raw).alias("term"))
+    each = each.select(*each.columns[:-1], normalize_token("term").alias("term"))
+    return each.where((F.length("term") > 1) & ~F.col("term").isin(*STOP_WORDS))
+
+
 def squeeze(c: Column | str) -> Column:
     """White space runs as one space, trimmed."""
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))

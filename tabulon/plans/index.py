@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabulon.functions.text import tokens
+from tabulon.functions.text import token_rows, tokens
 from tabulon.session import written
 
 K1, B, PREFIX_WEIGHT, PREFIX_TERMS, PREFIX_CHARS, MOST_COMMON, FILTER_TERMS = 1.2, 0.75, 0.72, 12, 3, 0.8, 100
@@ -53,21 +53,18 @@ def term_counts(records: DataFrame, key: str, fields: Sequence[tuple[str, int]]
         kind = records.schema[field].dataType.typeName()
         return F.concat_ws(" ", field) if kind == "array" else F.col(field).cast("string")
 
-    weighted = F.concat(*[F.transform(tokens(text(f)), _weighted(w)) for f, w in there])
-    spread = records.select(F.col(key).alias("doc_id"), F.explode(weighted).alias("t"))
-    return spread.groupBy("doc_id", "t.term").agg(F.sum("t.w").alias("tf"))
-
-
-def _weighted(weight: int):
-    return lambda t: F.struct(t.alias("term"), F.lit(weight).cast("long").alias("w"))
+    parts = F.array(*[F.struct(text(f).alias("text"), F.lit(w).cast("long").alias("w")) for f, w in there])
+    spread = records.select(F.col(key).alias("doc_id"), F.explode(parts).alias("part")) if len(there) > 1 else records.select(F.col(key).alias("doc_id"), parts[0].alias("part"))
+    return token_rows(spread, F.col("part.text"), "doc_id", F.col("part.w").alias("w")).groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
 
 
 def build(records: DataFrame, key: str, fields: Sequence[tuple[str, int]] = FIELDS) -> Index:
     """The index of unique documents; terms in more than four fifths of them are left out of the postings.
 
-    Term counts are written once, by term, and everything else reads them.
+    Term counts are written once, in ranges of terms, and everything else reads
+    them; a term that most documents have fills several ranges.
     """
-    counts = written(term_counts(records, key, fields).repartition("term"), "term-counts", "term")
+    counts = written(term_counts(records, key, fields).repartitionByRange("term", "doc_id"), "term-counts", "term")
     own = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     lengths = records.select(F.col(key).alias("doc_id")).join(own, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(1)).alias("length"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.bround(F.avg("length"), 3).alias("avg_length"))

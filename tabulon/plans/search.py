@@ -120,22 +120,24 @@ def numbered(found: DataFrame, by: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long")).drop("_range", "_at", "_first", "_before")
 
 
-def containing(docs: DataFrame, passages: DataFrame, text: str = "text", passage: str = "passage") -> DataFrame:
-    """Pairs of a document and a passage that stands in it.
+def containing(docs: DataFrame, passages: DataFrame, key: str, text: str = "text", passage: str = "passage") -> DataFrame:
+    """Pairs of a document (``key`` is unique) and a passage that stands in it.
 
     They meet on the longest word inside the passage (its first and last words
-    may be parts of words in a document) and are then compared. Only passages
-    of fewer than three words are looked for in every document.
+    may be parts of words in a document): keys and words only, and the texts of
+    those that met are then fetched and compared. Passages of fewer than three
+    words have no such word and are looked for in every document.
     """
     words = F.split(F.col(passage), r"\s+")
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = written(passages.withColumn("_anchor", longest), "passages")
-    spread = docs.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))))
+    spread = docs.select(key, F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("_word"))
     held = F.contains(F.col(text), F.col(passage))
-    met = spread.join(keyed.where("_anchor is not null"), F.col("_word") == F.col("_anchor")).where(held).drop("_word", "_anchor")
+    hits = spread.join(keyed.where("_anchor is not null"), F.col("_word") == F.col("_anchor")).drop("_word", "_anchor")
+    met = hits.join(docs, key).where(held).select(*docs.columns, *passages.columns)
     few = keyed.where("_anchor is null").drop("_anchor")
-    return met.unionByName(docs.join(few, held)) if few.limit(1).count() else met
+    return met.unionByName(docs.join(few, held).select(*met.columns)) if few.limit(1).count() else met
 
 
 def page_numbers(current: int, total: int) -> list[int | None]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import STOP_WORDS, tokens
+from tabulon.functions.text import STOP_WORDS, token_rows
 from tabulon.operators.feedback import profile_terms
 from tabulon.plans import index as ix
 from tabulon.plans.search import Request, containing, numbered, order, page, ranked, search
@@ -47,8 +47,9 @@ def _index(spark: SparkSession, sf_dir: str) -> ix.Index:
 
 @query("token_counts", f"WITH tok AS ({_tokens('doc_id', 'text', 'documents')}) SELECT key AS doc_id, count(*) AS n, count(DISTINCT term) AS n_distinct, min(term) AS first_term FROM tok GROUP BY 1")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t")).where(F.size("t") > 0)
-    return toks.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_min("t").alias("first_term"))
+    """Tokens of every document: all, distinct ones, and the first in order."""
+    terms = token_rows(table(spark, sf_dir, "documents"), "text", "doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return terms.groupBy("doc_id").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.min("term").alias("first_term"))
 
 
 @query("index_lengths", f"WITH {_DOC_INDEX} SELECT doc_id, CAST(length AS BIGINT) AS length, n AS n_docs, avg_length FROM len, tot")
@@ -104,7 +105,7 @@ def recall_at_32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the (passage, document) containments, how many are among the 32 best."""
     top = _bench(spark, sf_dir).select("query_id", "doc_id")
     item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    held = containing(table(spark, sf_dir, "documents"), item).select("query_id", "doc_id")
+    held = containing(table(spark, sf_dir, "documents"), item, "doc_id").select("query_id", "doc_id")
     met = held.join(top.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     return met.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 

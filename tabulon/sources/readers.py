@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tabulon.functions.dates import compact_date, feed_date, iso_date, text_date
 from tabulon.functions.money import positive_whole
 from tabulon.functions.text import blank_to_null, clean_text, squeeze
+from tabulon.session import written
 
 #: The two row tags of the extract, and which of its tags repeat.
 SYNOPSIS, FORECAST = "OpportunitySynopsisDetail_1_0", "OpportunityForecastDetail_1_0"
@@ -223,13 +224,17 @@ class Registry:
         return adapter
 
     def runs(self, spark: SparkSession, only: Sequence[str] | None = None) -> tuple[list[DataFrame], DataFrame]:
-        """(record frames of the sources whose plan could be made, one run row a source); one failure stops no other."""
+        """(record frames of the sources that ran, one run row a source); one failure stops no other.
+
+        Each source's records are written as they come, so one that fails while
+        it runs fails here, alone, and not in the merge that reads all of them.
+        """
         frames, rows = [], []
         for slug, a in sorted(self.adapters.items()):
             if not a.enabled or only is not None and slug not in only:
                 continue
             try:
-                frames.append(a.collect(spark))
+                frames.append(written(a.collect(spark), f"source-{slug}"))
                 rows.append((slug, True, a.min_records, a.max_records, None))
             except Exception as e:  # noqa: BLE001 - a source's failure is a result
                 rows.append((slug, False, a.min_records, a.max_records, str(e)[:500]))
