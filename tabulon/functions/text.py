@@ -68,6 +68,20 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
 
 
+def clean_string(c: Column | str, most: int = 20_000) -> Column:
+    """Text without NULs, with plain line ends, trimmed and cut; null is ''."""
+    t = F.replace(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit("\u0000"), F.lit(""))
+    return F.substring(F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"^\s+|\s+$", ""), 1, most)
+
+
+def cv_text(c: Column | str, most: int) -> Column:
+    """struct<text, truncated>: blanks collapsed, runs of empty lines as one, at most so many characters."""
+    t = F.regexp_replace(F.replace(F.coalesce(_col(c), F.lit("")), F.lit("\u0000"), F.lit("")), r"\r\n?", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"(?m)^ | $", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.struct(F.substring(t, 1, most).alias("text"), (F.length(t) > most).alias("truncated"))
+
+
 def blank_to_null(c: Column | str) -> Column:
     return F.nullif(F.trim(_col(c)), F.lit(""))
 

@@ -28,6 +28,20 @@ def known_citations(asked: Column, available: Column, most: int = MOST_CITATIONS
     return F.slice(F.filter(found, lambda c: c.isNotNull()), 1, max(1, min(20, most)))
 
 
+def chat_ids(answer_active: Column, answered: Column, matched: Column, most: int = 20) -> Column:
+    """Ids that a chat is about: those of the active answer, else the first matches, each once."""
+    ids = F.when(answer_active, answered).otherwise(F.slice(matched, 1, most))
+    return F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda i: F.coalesce(i != "", F.lit(False))))
+
+
+def profile_context(profile: dict[str, Column], most: int = 12_000) -> Column:
+    """struct of what an answer may know of a profile; the CV only where its owner allows it, cut, with a note on the cut."""
+    cv = F.when(F.coalesce(profile["include_cv"], F.lit(False)), F.nullif(profile["cv_text"], F.lit("")))
+    note = F.when(F.length(cv) > most, f"First {most:,} characters of the locally extracted CV").when(cv.isNotNull(), "Complete locally extracted CV text")
+    texts = [F.nullif(profile[n], F.lit("")).alias(n) for n in ("research_description", "expertise_keywords")]
+    return F.struct(*texts, *[profile[n].alias(n) for n in ("applicant_context", "career_stage")], F.substring(cv, 1, most).alias("cv_excerpt"), note.alias("cv_excerpt_note"))
+
+
 def candidates(ranked: DataFrame, by: list[str], order: list[Column], most: int = MOST_CANDIDATES) -> DataFrame:
     """The first ``most`` rows of each group, with ``candidate`` from 1."""
     place = F.row_number().over(W.partitionBy(*by).orderBy(*order))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tabulon.queries.common import AS_OF, as_of, query, table
 from tabulon.session import shared_dir, written
-from tabulon.sources import cards, exchange, exports
+from tabulon.sources import cards, exchange, exports, sinks
 from tabulon.sources.store import Store, upsert
 from tabulon.streaming import digests
 
@@ -76,7 +76,7 @@ def digest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = new_folder(spark, "digests")
     into = digests.store(spark, f"{root}/store")
-    users = written(events.select(F.col("user").alias("subscription"), F.lit(True).alias("active")).distinct(), "subscriptions")
+    users = written(events.select(F.col("user").alias("subscription"), F.lit(None).cast("boolean").alias("active"), F.lit(True).alias("confirmed")).distinct(), "subscriptions")
     runs = digests.Digests(users, ranked, lambda batch: batch.agg(F.max("day")).first()[0], most=DIGEST_ITEMS)
     last = -(-31 // RUN_DAYS) - 1
     for number in range(last + 1):
@@ -86,6 +86,27 @@ def digest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return into.read("outbox").select("subscription", "kind", "id", "position", "run_day")
 
 
+@query(
+    "digest_html",
+    """WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS position FROM events QUALIFY position <= 6),
+    l AS (SELECT *, '<a href="https://x/?a=1&amp;b=' || event_id || '">' || CASE WHEN event_id % 4 = 0 THEN 'Untitled opportunity' ELSE 'A &lt;b&gt; &amp; &#39;' || event_type || '&#39;' END || '</a>' AS link FROM s),
+    t AS (SELECT user_id, position, event_id % 3 = 0 AS changed, CASE WHEN event_id % 3 = 0 THEN '<li><strong>' || CASE WHEN event_id % 2 = 0 THEN 'Opportunity update' ELSE 'Amended' END || ':</strong> ' || link || '<br>' || repeat('d', 240) || '</li>'
+            ELSE '<li>' || link || '<br>' || CASE WHEN event_id % 5 = 0 THEN event_type ELSE event_type || ' · closes ' || strftime(ts, '%Y-%m-%d') END || '<br>' || repeat('d', 240) || '</li>' END AS line FROM l)
+    SELECT user_id, count(*) FILTER (NOT changed) AS n_new, count(*) FILTER (changed) AS n_changed,
+      '<!doctype html><html><body>' || coalesce('<h3>New matches</h3><ul>' || string_agg(line, '' ORDER BY position) FILTER (NOT changed) || '</ul>', '') || coalesce('<h3>Changes to matches you follow</h3><ul>' || string_agg(line, '' ORDER BY position) FILTER (changed) || '</ul>', '') || '</body></html>' AS body
+    FROM t GROUP BY 1""",
+)
+def digest_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best six events of every user as an HTML digest."""
+    e = F.col("event_id")
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), e))
+    items = table(spark, sf_dir, "events").withColumn("position", place).where("position <= 6").select(
+        "user_id", "position", F.when(e % 3 == 0, "amended").otherwise("new").alias("kind"), F.when(e % 4 != 0, F.concat(F.lit("A <b> & '"), "event_type", F.lit("'"))).alias("title"), F.concat(F.lit("https://x/?a=1&b="), e.cast("string")).alias("url"),
+        F.when(e % 2 != 0, "Amended").alias("label"), F.repeat(F.lit("d"), F.lit(300)).alias("detail"), F.array("event_type", F.when(e % 5 != 0, F.concat(F.lit("closes "), F.date_format("ts", "yyyy-MM-dd")))).alias("meta"),
+    )
+    return sinks.digest_html(items, "user_id")
+
+
 @query(
     "export_reviews",
     """WITH f AS (SELECT doc_id // 10 AS file, count(*) AS n, min(doc_id) AS first FROM labels GROUP BY 1),

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions.dates import strict_iso_date
+
 #: The supported schema, the kind of a review export, and the labels of judgments.
 SCHEMA_VERSION = 1
 REVIEW_KIND = "funding_finder_phase3_deployment_review"
@@ -103,6 +105,20 @@ def source_reviews(newest: DataFrame) -> DataFrame:
     return each.select("review_id", F.coalesce("participant", F.lit("")).alias("participant"), *kept, F.array_join(ids, ";").alias("evidence_ids"))
 
 
+def change_events(rows: DataFrame) -> DataFrame:
+    """Events of change files (file, value): id, type, opportunity_id, changed_at, label, detail and the record's title; files that are no such object give none."""
+    each = rows.select(F.explode(at(_value(), "$.events", "array<variant>")).alias("v"))
+    v = F.col("v")
+    fields = [at(v, f"$.{c}").alias(c) for c in ("id", "type", "opportunity_id")]
+    return each.select(*fields, strict_iso_date(F.substring(at(v, "$.changed_at"), 1, 10)).alias("changed_at"), at(v, "$.label").alias("label"), at(v, "$.detail").alias("detail"), at(v, "$.record.title").alias("title"))
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    """(part, name, n): verdicts of ``source_reviews`` by status and by field."""
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("name")) for c in ("status", "field")]))
+    return verdicts.select(pair.alias("p")).groupBy("p.part", "p.name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def failed_checks(newest: DataFrame) -> DataFrame:
     """(name, n) of the checks answered with no."""
     each = newest.select(F.explode(at(_value(), "$.review.deployment_checks", "map<string,variant>")).alias("name", "v"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.text import csv_cell, escape_html, ics_escape, truncate
 
+#: Fixed value: characters of a description in a digest.
+DIGEST_CHARS = 240
 BOM = "﻿"
 
 
@@ -78,6 +80,33 @@ def digest_text(items: DataFrame, subscription: str) -> DataFrame:
     return items.groupBy(subscription).agg(F.count(F.lit(1)).alias("n"), body.alias("body"))
 
 
+def digest_html(items: DataFrame, subscription: str) -> DataFrame:
+    """(subscription, n_new, n_changed, body): an HTML digest of bounded lists.
+
+    ``items``: kind (``new``, or that of a change), position, title, url, label,
+    detail (a description's first characters, or what has changed), and meta
+    (array of texts); everything is escaped here.
+    """
+    title = escape_html(F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled opportunity")))
+    link = F.concat(F.lit('<a href="'), escape_html(F.coalesce("url", F.lit(""))), F.lit('">'), title, F.lit("</a>"))
+    meta = escape_html(F.array_join(F.filter("meta", lambda m: F.coalesce(m != "", F.lit(False))), " · "))
+    detail = escape_html(F.substring(F.coalesce("detail", F.lit("")), 1, DIGEST_CHARS))
+    label = escape_html(F.coalesce(F.nullif("label", F.lit("")), F.lit("Opportunity update")))
+    is_new = F.col("kind") == "new"
+    line = F.when(is_new, F.concat(F.lit("<li>"), link, F.lit("<br>"), meta, F.lit("<br>"), detail, F.lit("</li>"))).otherwise(F.concat(F.lit("<li><strong>"), label, F.lit(":</strong> "), link, F.lit("<br>"), detail, F.lit("</li>")))
+
+    def lines(which: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("position", line.alias("line"))))), lambda x: x["line"]), "")
+
+    got = items.groupBy(subscription).agg(F.count_if(is_new).alias("n_new"), F.count_if(~is_new).alias("n_changed"), lines(is_new).alias("_new"), lines(~is_new).alias("_changed"))
+
+    def part(name: str, rows: str) -> Column:
+        return F.when(F.col(rows) != "", F.concat(F.lit(f"<h3>{name}</h3><ul>"), F.col(rows), F.lit("</ul>"))).otherwise("")
+
+    body = F.concat(F.lit("<!doctype html><html><body>"), part("New matches", "_new"), part("Changes to matches you follow", "_changed"), F.lit("</body></html>"))
+    return got.select(subscription, "n_new", "n_changed", body.alias("body"))
+
+
 def wrapped_json(rows: DataFrame, name: str) -> Column:
     """Script text that assigns a JSON object, safe inside a page."""
     return F.concat(F.lit(f"globalThis.{name}="), F.replace(F.to_json(F.struct(*[F.col(c) for c in rows.columns])), F.lit("</"), F.lit("<\\/")), F.lit(";"))

@@ -37,9 +37,14 @@ def store(spark: SparkSession, root: str) -> Store:
     return Store(spark, root, TABLES, schema_version=1)
 
 
+def is_active(active: Column | str, confirmed: Column | str) -> Column:
+    """Whether a subscription may be written to: not switched off, and its consent is on record."""
+    return F.coalesce(active, F.lit(True)) & F.coalesce(confirmed, F.lit(False))
+
+
 @dataclass(frozen=True)
 class Digests:
-    """``subscriptions`` (subscription, active) and ``ranked``, which gives a batch's (subscription, record, position, known_on)."""
+    """``subscriptions`` (subscription, active, confirmed) and ``ranked``, which gives a batch's (subscription, record, position, known_on)."""
 
     subscriptions: DataFrame
     ranked: Callable[[DataFrame], DataFrame]
@@ -56,7 +61,7 @@ class Digests:
         """(subscription, kind, id, position) to send for ``events`` (id, kind, record, changed_at), given the state before."""
         floor = F.date_sub(today, self.window_days)
         none = F.array().cast("array<string>")
-        active = self.subscriptions.where(F.coalesce("active", F.lit(False))).select("subscription").distinct()
+        active = self.subscriptions.where(is_active("active", "confirmed")).select("subscription").distinct()
         known = active.join(state, "subscription", "left").select(
             "subscription", F.greatest(F.coalesce("last_run", floor), floor).alias("since"), F.coalesce("records", none).alias("records"), F.coalesce("events", none).alias("events")
         )

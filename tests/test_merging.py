@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tabulon.functions import text
 from tabulon.functions.collation import natural_order
 from tabulon.operators import codes, gates, merging, privacy, reranking, views
 from tabulon.plans.personal import applicant_fit
@@ -131,6 +132,20 @@ def test_known_ids_and_citations(spark):
     assert (got[1]["i"], got[1]["c"]) == ([], [])
 
 
+def test_what_a_chat_may_know(spark):
+    rows = spark.createDataFrame([(True, ["a", "b", "a", ""], ["x"], "cv text", True), (False, None, ["x", None, "y", "x"], "cv text", False)], "active boolean, ids array<string>, matched array<string>, cv string, ok boolean")
+    profile = {"research_description": F.lit(""), "expertise_keywords": F.lit("k"), "applicant_context": F.lit("other"), "career_stage": F.lit("any"), "include_cv": F.col("ok"), "cv_text": F.col("cv")}
+    got = rows.select(reranking.chat_ids(F.col("active"), F.col("ids"), F.col("matched"), 3).alias("i"), reranking.profile_context(profile, 4).alias("p")).collect()
+    assert [r["i"] for r in got] == [["a", "b"], ["x", "y"]]
+    assert tuple(got[0]["p"]) == (None, "k", "other", "any", "cv t", "First 4 characters of the locally extracted CV") and got[1]["p"]["cv_excerpt"] is None
+
+
+def test_clean_texts(spark):
+    rows = spark.createDataFrame([("  a\x00b\r\nc\rd  ",), (None,), ("x \t y  \n\n \n\n z ",)], "t string")
+    assert [r[0] for r in rows.select(text.clean_string("t", 6)).collect()] == ["ab\nc\nd", "", "x \t y "]
+    assert [tuple(r[0]) for r in rows.select(text.cv_text("t", 7)).collect()] == [("ab\nc\nd", False), ("", False), ("x y\n\nz", False)]
+
+
 # --- order
 
 

@@ -101,7 +101,7 @@ def day(n):
 
 
 def runs_of(spark, ranked, run_day, **options):
-    subs = spark.createDataFrame([("s", True), ("off", False), ("none", None)], "subscription string, active boolean")
+    subs = spark.createDataFrame([("s", None, True), ("off", False, True), ("none", True, None), ("no", True, False)], "subscription string, active boolean, confirmed boolean")
     table = spark.createDataFrame(ranked, "subscription string, record string, position int, known_on date")
     return digests.Digests(subs, lambda _: table, lambda _: run_day, **options)
 
@@ -113,7 +113,7 @@ def outbox(into):
 def test_a_replayed_batch_sends_nothing(spark, tmp_path):
     into = digests.store(spark, str(tmp_path / "d"))
     none = spark.createDataFrame([], EVENTS)
-    ranked = [(s, r, p, day(20)) for s in ("s", "off", "none") for p, r in enumerate("abc")]
+    ranked = [(s, r, p, day(20)) for s in ("s", "off", "none", "no") for p, r in enumerate("abc")]
     runs_of(spark, ranked, day(21), most=2).run(none, 0, into)
     assert outbox(into) == [("s", "new", "a", 0), ("s", "new", "b", 0)]  # consent is needed; the limit holds
     at = into.snapshot()
@@ -204,6 +204,18 @@ def test_evaluations(spark, tmp_path):
     assert (rows["9"]["reason"], rows["9"]["provider_model"], rows["1"]["prompt_version"], rows["9"]["prompt_version"]) == ("eligibility", "p / none", "v1", "unspecified")
 
 
+def test_change_events(spark, tmp_path):
+    event = {"id": "e1", "type": "new", "opportunity_id": 7, "changed_at": "2026-07-01T09:00:00Z", "label": "L", "record": {"title": "T"}}
+    files = {"a.json": {"events": [event, {"id": "e2", "changed_at": "soon"}]}, "b.json": "{broken", "c.json": {"events": None}, "d.json": [1]}
+    got = exports.change_events(exports.files(spark, written_files(tmp_path, files))).orderBy("id").collect()
+    assert [(r["id"], r["opportunity_id"], str(r["changed_at"]), r["title"]) for r in got] == [("e1", "7", "2026-07-01", "T"), ("e2", None, "None", None)]
+
+
+def test_verdict_counts(spark):
+    rows = spark.createDataFrame([("accurate", "overall"), ("accurate", "deadline"), ("unknown", "overall")], "status string, field string")
+    assert {(r["part"], r["name"]): r["n"] for r in exports.verdict_counts(rows).collect()} == {("status", "accurate"): 2, ("status", "unknown"): 1, ("field", "overall"): 2, ("field", "deadline"): 1}
+
+
 # --- cards
 
 
