@@ -99,7 +99,8 @@ def within(searched: DataFrame, stored: DataFrame, radius: int = RADIUS, blocks:
     cells = cells.withColumn("cell", F.coalesce(F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") * 2 / CELL)), F.lit(0)))
     cells = cells.groupBy("at", "cell").agg(F.collect_list(F.struct("fp", "n")).alias("others"))
     asked = searched.select("fp").distinct().select("fp", posted.alias("at"))
-    met = asked.join(cells, "at")
+    # its size is estimated before the explode, so it would be broadcast however large it is
+    met = asked.hint("merge").join(cells, "at")
 
     def first_here(x: Column) -> Column:
         differ = x["fp"].bitwiseXOR(F.col("fp"))
@@ -162,8 +163,9 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", eve
     after = known.select(F.pmod(F.col("rank") - 1, F.lit(max(known.count(), 1))).alias("rank"), F.col("fp").alias("next_fp"))
     met = known.join(changed_fp.withColumnRenamed("fp", "edited_fp"), "rank").join(after, "rank")
     stored = known.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    found = within(known.where(F.col("id").cast("decimal(38,0)") % every == 0), stored)
-    met = met.join(found.select(F.col("fp").alias("found_fp"), F.col("n").alias("n_within")), (F.col("fp") == F.col("found_fp")) & (F.col("id").cast("decimal(38,0)") % every == 0), "left")
+    asked = known.where(F.col("id").cast("decimal(38,0)") % every == 0)
+    found = asked.select("rank", "fp").join(within(asked, stored), "fp").select("rank", F.col("n").alias("n_within"))
+    met = met.join(found, "rank", "left")
     return met.select(
         "id",
         "n_chars",
