@@ -7,9 +7,11 @@ language of the centroid with the highest cosine. It is marked ``rejected``
 where that cosine lies below the centroid's radius, the ``REJECT`` quantile of
 its own training cosines.
 
-Training uses at most ``SAMPLE`` texts a language, in hash order of their ids,
-of at most ``MAX_CHARS`` characters, one Spark group a language. Prediction
-reads whole texts.
+Training uses at most ``SAMPLE`` different (id, text) rows a language, in hash
+order of both, so no language is lost to repeated ids. Texts of any length are
+learnt from whole: each becomes its n-gram counts (16 KB) where it is read, and
+only those meet in one Spark group a language. Prediction reads whole texts.
+Every task holds all centroids, 80 KB a language.
 
 Null texts and texts without any letter are ``und`` with score 0. Rows with a
 null language are not learnt from; without any to learn from all texts are
@@ -29,9 +31,11 @@ from pyspark.sql import Window as W
 
 from tabulon.llm.common import held_out, materialise
 
-DIM, SAMPLE, MAX_CHARS, CLUSTERS, ROUNDS, REJECT = 1 << 12, 800, 20_000, 5, 8, 0.005
+DIM, SAMPLE, CLUSTERS, ROUNDS, REJECT = 1 << 12, 800, 5, 8, 0.005
 FOLDS, FOLD = 4, 2
 BROADCAST_LANGS = 10_000
+#: Groups in which the document frequencies of all languages are added up.
+SUMS = 64
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _PIECE = 4_000_000
 
@@ -54,7 +58,12 @@ def counts(text: str | None) -> np.ndarray:
 
 def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
     """Normalised TF-IDF rows; a text without n-grams gives zeros."""
-    x = np.log1p(np.array([counts(t) for t in texts], np.float32).reshape(len(texts), DIM)) * idf
+    return weighted(np.array([counts(t) for t in texts], np.float32).reshape(len(texts), DIM), idf)
+
+
+def weighted(grams: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The same of rows of counts."""
+    x = np.log1p(grams) * idf
     length = np.sqrt((x**2).sum(axis=1, keepdims=True))
     return x / np.where(length > 0, length, 1)
 
@@ -75,36 +84,51 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text): at most SAMPLE training texts a language."""
-    rows = docs.where(~held_out(id_col, FOLDS, FOLD)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= MAX_CHARS))
-    counts_ = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-counts")
+    """(lang, h, grams): n-gram counts of at most SAMPLE training texts a language."""
+    text = F.col(text_col).cast("string")
+    rows = docs.where(~held_out(id_col, FOLDS, FOLD)).select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # different rows, within a few percent; twice as many as are needed pass
+    counts_ = materialise(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "langid-counts")
     share = counts_.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")).alias("share"))
     if counts_.count() <= BROADCAST_LANGS:  # so that only thinned rows are dealt by language
         share = F.broadcast(share)
     thinned = rows.join(share, F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    first = W.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
-    return thinned.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE).select("lang", "text")
+
+    @F.pandas_udf("binary")
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series([counts(t).tobytes() for t in texts], dtype=object)
+
+    once = thinned.select("lang", "h", grams("text").alias("grams")).dropDuplicates(["lang", "h"])
+    first = W.partitionBy("lang").orderBy("h")
+    return once.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE).select("lang", "h", "grams")
+
+
+def _rows(grams: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(grams), np.float32).reshape(len(grams), DIM)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple | None:
     """(idf, languages of the centroids, centroids, radii); None without training rows."""
     chosen = materialise(sample(docs, id_col, text_col, lang_col), "langid-sample")
 
-    def seen(rows: pd.DataFrame) -> pd.DataFrame:
-        df = np.zeros(DIM, np.float32)
-        for t in rows["text"]:
-            df += counts(t) > 0
-        return pd.DataFrame({"n": [len(rows)], "df": [df.tobytes()]})
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield pd.DataFrame({"n": [len(rows)], "df": [(_rows(rows["grams"]) > 0).sum(axis=0).astype(np.float64).tobytes()]})
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [rows["n"].sum()], "df": [sum(np.frombuffer(b, np.float64) for b in rows["df"]).tobytes()]})
 
-    found = chosen.groupBy("lang").applyInPandas(seen, "n long, df binary").toPandas()
+    parts = chosen.select("grams").mapInPandas(seen, "n long, df binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SUMS)))
+    found = parts.groupBy("part").applyInPandas(summed, "n long, df binary").toPandas()  # SUMS rows at most
     if found.empty:
         return None
-    df = sum(np.frombuffer(b, np.float32) for b in found["df"])
+    df = sum(np.frombuffer(b, np.float64) for b in found["df"])
     idf = (np.log((1 + found["n"].sum()) / (1 + df)) + 0.05).astype(np.float32)
 
     def centroids(rows: pd.DataFrame) -> pd.DataFrame:
-        x = vectors(sorted(rows["text"]), idf)
+        x = weighted(_rows(rows.sort_values("h")["grams"]), idf)
         centres, cos = cluster(x, CLUSTERS)
         own, best = cos.argmax(axis=1), cos.max(axis=1)
         radius = [float(np.quantile(best[own == c], REJECT)) if (own == c).any() else 0.0 for c in range(len(centres))]

@@ -184,15 +184,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # n - ceil(s n) + 1 of their n shingles, whatever the order. Shingles that are
 # common in a sample come last in it, which only shortens the lists. Candidates
 # far apart in 512 SimHash bits (``LOOSE`` standard deviations beyond those
-# expected at s) are set aside; the components of what remains are then
+# expected at s for sets of their size) are set aside; the components of what remains are then
 # compared by their shingles themselves, and only pairs at s or more are linked.
 # A component is dealt into square cells of about ``CELL_SHINGLES`` a side.
 #
-# For sets of equal size the share of differing bits at similarity J is
-# arccos(2 J / (1 + J)) / pi, for others less. ``wide_signature`` also has the
+# For large sets of equal size the share of differing bits at similarity J is
+# arccos(2 J / (1 + J)) / pi, for others less; in small sets ties of the votes
+# add to it, by about ``TIES`` / sqrt(n) in sets of n (measured at 8 and 9
+# shingles: 0.036, of which 0.057 are allowed). ``wide_signature`` also has the
 # 64 index bytes of three-word shingles.
 
 LANES, SHARED_BYTES, CELL, SMALL_CELL = 8, 8, 4096, 48
+TIES = 0.16
 LOOSE, CELL_SHINGLES, SAMPLE, COMMON = 6.0, 500_000, 5_000, 100_000
 _TRIPLES = np.array([[4 * g + i for i in t] for g in range(2 * LANES) for t in combinations(range(4), 3)])
 
@@ -294,11 +297,11 @@ def prefix_signatures(similarity: float, common: np.ndarray):
     return signatures
 
 
-def most_bits(similarity: float, slack: float = 1.5) -> int:
-    """Differing judging bits allowed at a similarity, with so many standard deviations of slack."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+def most_bits(similarity: float, size: np.ndarray, slack: float = LOOSE) -> np.ndarray:
+    """Differing judging bits allowed at a similarity to sets of ``size``, with so many standard deviations of slack."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi + TIES / np.sqrt(np.maximum(size, 1))
     n = 64 * LANES
-    return int(p * n + slack * np.sqrt(n * p * (1 - p)))
+    return p * n + slack * np.sqrt(n * p * (1 - p))
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,18 +324,20 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts.append(batch.iloc[cut:])
 
 
-def _judged(batches: Iterator[pd.DataFrame], bits: int, similarity: float) -> Iterator[pd.DataFrame]:
+def _judged(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
     """Spanning links of the candidates of each cell."""
     for frame in _cells(batches):
         judge = np.frombuffer(b"".join(frame["judge"]), np.uint64).reshape(len(frame), -1)
         ids, cell, size = frame["content"].to_numpy(), frame["cell"].to_numpy(), frame["size"].to_numpy()
+        bits = most_bits(similarity, size)
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         sizes = np.diff(np.append(starts, len(cell)))
         small = np.repeat(sizes <= SMALL_CELL, sizes)
 
         def alike(i, j):
             ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
-            ok[ok] = np.bitwise_count(judge[i if np.isscalar(i) else i[ok]] ^ judge[j[ok]]).sum(axis=1) <= bits
+            a, b = i if np.isscalar(i) else i[ok], j[ok]
+            ok[ok] = np.bitwise_count(judge[a] ^ judge[b]).sum(axis=1) <= np.maximum(bits[a], bits[b])
             return ok
 
         pairs = [_small_cells(cell, small, alike)]
@@ -414,10 +419,9 @@ def candidates(unique: DataFrame, similarity: float) -> DataFrame:
     cells = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cells = cells.select("content", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
     full = cells.join(unique.select("content", "size", "judge"), "content")
-    bits = most_bits(similarity, LOOSE)
     # in one order everywhere, so that the lists of one set of copies give the same stars
     dealt = full.repartition("cell").sortWithinPartitions("cell", "content")
-    return dealt.mapInPandas(lambda b: _judged(b, bits, similarity), "a long, b long").distinct()
+    return dealt.mapInPandas(lambda b: _judged(b, similarity), "a long, b long").distinct()
 
 
 def exact_links(docs: DataFrame, unique: DataFrame, roots: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:

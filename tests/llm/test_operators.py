@@ -124,6 +124,19 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert simhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_small_sets_pass_the_bit_filter():
+    """Pairs at a similarity of 0.8, where ties of the votes make the most difference, are never set aside."""
+    rng = np.random.default_rng(6)
+    for small, large in ((4, 5), (8, 9), (8, 10), (16, 18), (36, 40), (180, 200)):
+        shared = next(s for s in range(small, -1, -1) if s / (small + large - s) < 0.8) + 1
+        shared = min(shared, small)
+        for _ in range(1500 if small < 40 else 300):
+            h = rng.integers(0, 1 << 64, small + large - shared, dtype=np.uint64)
+            a, b = h[:small], h[small - shared :]
+            differ = int(np.bitwise_count(simhash._lanes(a) ^ simhash._lanes(b)).sum())
+            assert len(a) == small and len(b) == large and differ <= simhash.most_bits(0.8, np.array([small]))[0]
+
+
 def jaccard(a, b, k=5):
     x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
     return len(x & y) / len(x | y)
@@ -557,6 +570,42 @@ def test_language_id(spark, odd):
     assert odd.select(langid.predict(odd, langid.fit(docs)).alias("p")).count() == odd.count()
 
 
+def test_no_language_is_lost(spark):
+    """To the length of its texts, nor to one id that all of its rows carry."""
+    rng = random.Random(12)
+    kinds = {"xx": ["baba", "bobo", "biba", "bubab"], "yy": ["zeze", "zizu", "zozez", "zuz"], "zz": ["kak", "kuki", "koki"]}
+    text = lambda lang, n: " ".join(rng.choice(kinds[lang]) for _ in range(n))
+    rows = [(i, text("xx", 40), "xx", "s", 0) for i in range(60)] + [(100 + i, text("yy", 8_000), "yy", "s", 0) for i in range(12)]
+    for one in (5, 6, 9):
+        docs = spark.createDataFrame(rows + [(one, text("zz", 30), "zz", "s", 0) for _ in range(2_000)], DOCS)
+        chosen = {r["lang"]: r["n"] for r in langid.sample(docs, "doc_id", "text", "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).select("lang").distinct().collect()
+        if "zz" not in {r["lang"] for r in held}:
+            assert chosen["zz"] == langid.SAMPLE
+        assert chosen["xx"] > 30 and chosen["yy"] >= 5
+    found = docs.select("lang", langid.predict(docs, langid.fit(docs)).alias("p")).select("lang", "p.lang_pred").distinct().collect()
+    assert {(r["lang"], r["lang_pred"]) for r in found} == {(x, x) for x in kinds}
+    assert langid.fit(empty_docs(spark)) is None
+
+
+def test_languages_of_the_given_documents(spark, sf_dir):
+    """Held-out accuracy, and every answer against plain cosines to the same centroids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    got = QUERIES["op4_language_id"](spark, sf_dir).join(docs.select("doc_id", "text", "lang"), "doc_id").collect()
+    idf, langs, centres, radii = model
+    for r in got:
+        x = np.log1p(np.array(langid.counts(r["text"]), np.float64)) * idf
+        cos = centres.astype(np.float64) @ x / max(np.sqrt(x @ x), 1e-12)
+        if r["text"] and re.search(r"[^\W\d_]", r["text"]):
+            assert r["lang_pred"] == langs[int(cos.argmax())] or sorted(cos)[-1] - sorted(cos)[-2] < 1e-5
+            assert abs(r["score"] - min(1, max(0, cos.max()))) < 1e-4
+        else:
+            assert r["lang_pred"] == "und"
+    known = [r for r in got if r["held_out"] and r["lang"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in known) >= 0.97 * len(known) > 0
+
+
 def test_language_counts_ignore_pieces(monkeypatch):
     text = prose(random.Random(1), 400)
     whole = langid.counts(text)
