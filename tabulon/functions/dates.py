@@ -44,9 +44,10 @@ def _month_number(name: Column) -> Column:
     return out
 
 
-_NAME = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-MONTH_FIRST = rf"(?i)\b({_NAME})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"
-DAY_FIRST = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_NAME})\.?,?\s+(\d{{4}})\b"
+#: Names of months and their short forms.
+MONTH_NAMES = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+MONTH_FIRST = rf"(?i)\b({MONTH_NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"
+DAY_FIRST = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({MONTH_NAMES})\.?,?\s+(\d{{4}})\b"
 
 
 def _made(year: Column, month: Column, day: Column) -> Column:

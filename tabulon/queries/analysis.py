@@ -285,7 +285,7 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Notices are written from order columns and read back; the oracles read the columns.
 
 
-def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def notice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # notices are dated in this century, 20 years after the orders
     # one small file of orders becomes many notices, whose text takes the time
     o = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism).withColumn("day", F.add_months(F.col("o_orderdate").cast("date"), 240))
@@ -313,7 +313,7 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT o_orderkey, 'application', CAST(CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS DATE), NULL, NULL, true FROM orders""",
 )
 def evidence_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.deadlines(_notices(spark, sf_dir), "o_orderkey").select("o_orderkey", "kind", "date", "time", "zone", "required")
+    return evidence.deadlines(notice_texts(spark, sf_dir), "o_orderkey").select("o_orderkey", "kind", "date", "time", "zone", "required")
 
 
 @query(
@@ -324,7 +324,7 @@ def evidence_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
       concat_ws(',', CASE WHEN o_orderkey % 14 = 0 THEN 'cancelled' END, CASE WHEN o_orderkey % 6 = 0 THEN 'recurring' END) AS status_signals FROM orders""",
 )
 def evidence_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notices = _notices(spark, sf_dir)
+    notices = notice_texts(spark, sf_dir)
     out = evidence.summary(evidence.facts(notices, "o_orderkey"), notices, "o_orderkey")
     return out.select("o_orderkey", "minimum", "maximum", "expected_awards", "duration_months", "page_limit", "cost_share_required", "limited_submission", F.array_join("status_signals", ",").alias("status_signals"))
 
@@ -336,7 +336,7 @@ def evidence_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Application components and excerpts at headings."""
-    found = evidence.facts(_notices(spark, sf_dir), "o_orderkey")
+    found = evidence.facts(notice_texts(spark, sf_dir), "o_orderkey")
     return found.where(F.col("kind").isin("application_component", *evidence.EXCERPTS)).select("o_orderkey", "kind", "label", "value")
 
 
@@ -346,7 +346,7 @@ def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT o_orderkey, 'deadline_conflict' FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT o_orderkey, 'amendment' FROM orders WHERE o_orderkey % 16 = 0""",
 )
 def evidence_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notices = _notices(spark, sf_dir)
+    notices = notice_texts(spark, sf_dir)
     listed = F.when(F.col("o_orderkey") % 9 == 0, F.date_add("day", 1)).otherwise(F.col("day"))
     own = notices.select("o_orderkey", listed.alias("close_date"), (F.col("o_orderkey") % 16 == 0).alias("revised"))
     found = evidence.facts(notices, "o_orderkey")
