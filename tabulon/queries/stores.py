@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabulon.queries.common import AS_OF, as_of, query, table
-from tabulon.session import shared_dir, written
+from tabulon.session import new_folder, written
 from tabulon.sources import cards, exchange, exports, sinks
 from tabulon.sources.store import Store, upsert
 from tabulon.streaming import digests
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "state_roundtrip",
     """WITH a AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1), b AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+#: Intermediate folders by application.
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An unused path under the shared folder; ``clear`` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate folders made so far and returns their number; results that still read them have to be used or written before."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def written(df: DataFrame, name: str, *cluster: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, cut from its lineage; ``cluster`` sorts it for pushed filters."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     (df.sortWithinPartitions(*cluster) if cluster else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -92,3 +92,13 @@ def test_containing(spark):
     got = containing(docs, passages, "doc_id")
     assert got.columns == ["doc_id", "text", "n", "item", "passage"]
     assert sorted((r["doc_id"], r["item"]) for r in got.collect()) == [(1, 10), (1, 11), (2, 10), (2, 11), (3, 11)]
+
+
+def test_intermediate_folders_are_cleared(spark):
+    from tabulon.session import clear, written
+
+    clear(spark)
+    frame = written(spark.range(3), "cleared")
+    assert frame.count() == 3 and clear(spark) == 1 and clear(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
+        frame.collect()
