@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabulon.session import shared_dir
+from tabulon.session import new_folder
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -10,9 +10,14 @@ it has; a page that has none uses its own best container.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments are left out wherever they stand, by tag, role, class or
-style; so are such elements inside a line. Inside an article or main, and for
-elements inside a line, only whole class names and ids count, or those made of
-such words alone, and headings stay. Blocks are joined in page order by one space.
+style; so are such elements inside a line. One rule holds in and out of
+articles: a class or id counts if its first or last word can mean nothing else
+(``comment-thread``, ``left-sidebar``), or if all of its words are such, doubtful
+or plain ones (``share-tools``, but not ``related-work``); ``has-sidebar`` and
+the like say something about a whole page. Articles inside articles can be
+comments. Inside an article headings stay, ids of paragraphs are anchors, and
+``header`` is the article's own. Inside a line all words have to fit. Blocks are
+joined in page order by one space.
 
 Null, empty and mark-up-only pages give an empty text. A page cut off in the
 middle gives what it has; unclosed elements end with their parents, or where
@@ -52,14 +57,20 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CONTAINER = frozenset("html body div section article main td table tbody tr center ul ol dl blockquote figure details nav aside header footer form menu dialog fieldset button address head".split())
 _DROPPED = frozenset("nav aside footer form menu dialog button head fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-_NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget"
-    " notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager toolbar"
-    " comment comments commentlist reply replies respond disqus form search".split()
+#: Words that mean noise wherever a name begins or ends with them, and others that do so among their like only.
+_STRONG = frozenset(
+    "advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs masthead topbar footer sidebar widget"
+    " gdpr popup modal overlay newsletter pagination pager toolbar comment comments commentlist respond disqus".split()
 )
+_LAST = _STRONG | {"ad", "ads"}
+_NOISE = _LAST | frozenset("banner header aside rail notice notices alert cookie cookies consent subscribe signup login share sharing social related recommended reply replies form search".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that say nothing of their own beside a noise word.
-_PLAIN = frozenset("area articles bar block box buttons container content inline inner left links list outer posts right section top bottom wrap wrapper".split())
+_PLAIN = frozenset(
+    "area articles bar block bottom box buttons container content global icon icons inline inner label leaderboard left links list main media message module outer placement posts right section site slot stories thread tools top unit wrap wrapper zone".split()
+)
+#: Beginnings of names that tell what a page has.
+_TELLING = frozenset("has have is no not with without".split())
 _HIDDEN = frozenset("hidden invisible d-none sr-only visually-hidden screen-reader-text".split())
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Where a start tag ends an open element of these names, and the elements that this does not reach beyond.
@@ -73,12 +84,20 @@ _WORDS = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
-def _noisy(marks: list[str], whole: bool) -> bool:
-    """Whether a class or id says menu, advert and the like; ``whole``: with all its words."""
-    parts = [{*_WORDS.split(c)} - {""} for c in marks]
-    if whole:
-        return any(w & (_NOISE - {"header"}) and w <= _NOISE | _PLAIN for w in parts)
-    return any(w & _NOISE for w in parts)
+def _noisy(marks: list[str], whole: bool, inside: bool = True) -> bool:
+    """Whether a class or id says menu, advert and the like; ``whole``: by all of its words only."""
+    for mark in marks:
+        words = [w for w in _WORDS.split(mark) if len(w) > 1]
+        if not words or words[0] in _TELLING:
+            continue
+        if not whole and (words[0] in _STRONG or words[-1] in _LAST):
+            return True
+        noise = _NOISE.intersection(words)
+        if inside and noise == {"header"} and "site" not in words:
+            continue
+        if noise and _NOISE.union(_PLAIN).issuperset(words):
+            return True
+    return False
 
 
 class Page:
@@ -169,7 +188,8 @@ class Page:
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)} if rest else {}
         _, above, dropped, inside = self._stack[-1]
         classes = found.get("class", "").lower().split()
-        marks = [*classes, found.get("id", "").lower()]
+        # ids of paragraphs and headings are where links lead to
+        marks = classes if name == "p" or name in _HEADINGS else [*classes, found.get("id", "").lower()]
         unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or not _HIDDEN.isdisjoint(classes) or bool(_UNSEEN.search(found.get("style", "")))
         noise = unseen or found.get("role", "").lower() in _ROLES
         if inline:
@@ -177,7 +197,8 @@ class Page:
             if noise or self._opened[name]:  # others of its name inside it have end tags too
                 self._push(name, above, dropped or noise, inside)
             return
-        noise = noise or name in _DROPPED or name not in ("html", "body", "main", "article") and not (inside and name in _HEADINGS) and _noisy(marks, inside)
+        whole_page = name in ("html", "body") or name in ("main", "article") and not inside
+        noise = noise or name in _DROPPED or not whole_page and not (inside and name in _HEADINGS) and _noisy(marks, False, inside)
         inside = inside or name in ("article", "main")
         noise = noise or name == "header" and not inside
         if name in _CONTAINER or any(k in found for k in ("class", "id", "role")):

@@ -796,6 +796,32 @@ def test_words_of_headings_are_no_noise():
     assert webtext.extract(source, []) == "Head Some text, with commas, and more of it. Work More. Search Trees."
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div class='post has-sidebar'", "main><div"])
+@pytest.mark.parametrize(
+    "noise",
+    "div class='ad-slot'|div class='ad-unit'|div class='advert-300x250'|div class='ad-300x250'|div class='in-article-ad'|div class='comment-thread'|div class='user-comments'|ul class='social-icons'|div class='share-tools'"
+    "|section class='related-stories'|div class='gdpr-message'|div class='sidebar-module'|div class='left-sidebar'|div id='site-header'|div class='main-nav-list'|div class='cookie-notice'|div id='search'|div class='newsletter-signup-box'".split("|"),
+)
+def test_noise_goes_in_and_out_of_articles(outer, noise):
+    end = "".join(f"</{t.split()[0]}>" for t in reversed(outer.split("><")))
+    source = f"<html><body><{outer}><p>Some text, with commas, and more of it.</p><{noise}><p>Noise, noise, and noise.</p></{noise.split()[0]}><p>The end, too.</p>{end}</body></html>"
+    assert webtext.extract(source, []) == "Some text, with commas, and more of it. The end, too."
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div class='post'"])
+@pytest.mark.parametrize("kept", "div class='entry-header'|section id='related-work'|div class='form-of-life'|section id='search-algorithms'|p id='search'|p id='comments'|div class='with-sidebar'|div class='notice-of-award'|div class='social-science'".split("|"))
+def test_words_of_content_stay(outer, kept):
+    source = f"<html><body><{outer}><p>Some text, with commas, and more of it.</p><{kept}>Kept words, of the text.</{kept.split()[0]}></{outer.split()[0]}></body></html>"
+    assert webtext.extract(source, []) == "Some text, with commas, and more of it. Kept words, of the text."
+
+
+def test_articles_inside_articles_can_be_comments():
+    text = "<p>Some text, with commas, and more of it, for a long while.</p>"
+    for source in (f"<article>{text}<article class='comment'><p>Mine, too.</p></article></article>", f"<main>{text}<section><article class='comment-body'>Mine.</article></section></main>"):
+        assert webtext.extract(source, []) == "Some text, with commas, and more of it, for a long while."
+    assert webtext.extract(f"<article class='comment'>{text}</article>", []) == "Some text, with commas, and more of it, for a long while."
+
+
 def test_noise_inside_text():
     for inner, left in [
         ("<ul><li class='comment'>C1<ul><li>reply</li></ul>TAIL</li></ul>", ""),
