@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles at a similarity of 0.8."""
+    """One document of each class of near copies: SimHash components and a similarity of 0.8 over five-word shingles."""
     return simhash.drop_near_copies(docs, similarity=0.8)
 
 

@@ -40,10 +40,15 @@ SEED = 42
 
 def simhash64(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit SimHash over word shingles; repeats count, majority must be strict."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes.lower touches A-Z only
-    if not words:
-        return 0
-    return int(_majority(_shingle_hashes(b" ".join(words), words, shingle)))
+    return _simhash(_words(text), shingle)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()  # bytes.lower touches A-Z only
+
+
+def _simhash(words: list[bytes], shingle: int = 3) -> int:
+    return int(_majority(_shingle_hashes(b" ".join(words), words, shingle))) if words else 0
 
 
 def fingerprint_udf(shingle: int):
@@ -179,12 +184,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by Jaccard similarity over distinct five-word shingles.
 #
-# Candidates come from a prefix index: with all shingles in one global order,
+# The texts are fingerprinted, posted in the byte-position index, filtered by
+# shared bytes and linked at three differing bits as above: the components are
+# *families*, and texts of one family are candidates. Pairs at a similarity of
+# at least s may differ in more bits; between families, and only there, a
+# prefix index completes the candidates: with all shingles in one global order,
 # two texts at a similarity of at least s share one of the first
 # n - ceil(s n) + 1 of their n shingles, whatever the order. Shingles that are
-# common in a sample come last in it, which only shortens the lists. Candidates
+# common in a sample come last in it, which only shortens the lists; lists of
+# one family alone are not compared. Its pairs
 # far apart in 512 SimHash bits (``LOOSE`` standard deviations beyond those
-# expected at s for sets of their size) are set aside; the components of what remains are then
+# expected at s for sets of their size) are set aside; the components of all candidates are then
 # compared by their shingles themselves, and only pairs at s or more are linked.
 # A component is dealt into square cells of about ``CELL_SHINGLES`` a side.
 #
@@ -245,13 +255,12 @@ def wide_signature(text: str | None) -> tuple[int, list[int], bytes, bytes]:
     return content - (1 << 64) if content >> 63 else content, keys.tolist(), index.tobytes(), judge.tobytes()
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct shingles; none for a text without words."""
-    words = _words(text)
+    return _distinct(_words(text), k)
+
+
+def _distinct(words: list[bytes], k: int = 5) -> np.ndarray:
     return np.unique(_shingle_hashes(b" ".join(words), words, k)) if words else np.array([], "<u8")
 
 
@@ -283,16 +292,17 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def prefix_signatures(similarity: float, common: np.ndarray):
-    @F.pandas_udf("content long, keys array<long>, size int, judge binary")
+    @F.pandas_udf("content long, fp long, keys array<long>, size int, judge binary")
     def signatures(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             words = _words(text)
             content = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 1)).view(np.int64))
-            h = shingles(text)
+            fp = int(np.uint64(_simhash(words)).view(np.int64))
+            h = _distinct(words)
             keys = prefix(h, similarity, common) if len(h) else h
-            rows.append((content, keys.view(np.int64).tolist(), len(h), _lanes(h).tobytes()))
-        return pd.DataFrame(rows, columns=["content", "keys", "size", "judge"])
+            rows.append((content, fp, keys.view(np.int64).tolist(), len(h), _lanes(h).tobytes()))
+        return pd.DataFrame(rows, columns=["content", "fp", "keys", "size", "judge"])
 
     return signatures
 
@@ -325,9 +335,10 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _judged(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Spanning links of the candidates of each cell."""
+    """Links that connect what the candidates of each cell and its families connect."""
     for frame in _cells(batches):
         judge = np.frombuffer(b"".join(frame["judge"]), np.uint64).reshape(len(frame), -1)
+        family = frame["family"].to_numpy()
         ids, cell, size = frame["content"].to_numpy(), frame["cell"].to_numpy(), frame["size"].to_numpy()
         bits = most_bits(similarity, size)
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -335,13 +346,13 @@ def _judged(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.D
         small = np.repeat(sizes <= SMALL_CELL, sizes)
 
         def alike(i, j):
-            ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            ok = (family[i] != family[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
             a, b = i if np.isscalar(i) else i[ok], j[ok]
             ok[ok] = np.bitwise_count(judge[a] ^ judge[b]).sum(axis=1) <= np.maximum(bits[a], bits[b])
             return ok
 
         pairs = [_small_cells(cell, small, alike)]
-        pairs += [_large_cell(np.arange(a, a + n), alike) for a, n in zip(starts.tolist(), sizes.tolist()) if n > SMALL_CELL]
+        pairs += [_large_cell(np.arange(a, a + n), alike, family) for a, n in zip(starts.tolist(), sizes.tolist()) if n > SMALL_CELL]
         both = np.concatenate(pairs)
         yield pd.DataFrame({"a": ids[both[:, 0]], "b": ids[both[:, 1]]})
 
@@ -358,23 +369,35 @@ def _small_cells(cell: np.ndarray, small: np.ndarray, alike) -> np.ndarray:
     return np.stack(_spanning(both[:, 0], both[:, 1], len(cell)), axis=1)
 
 
-def _large_cell(rows: np.ndarray, alike) -> np.ndarray:
-    """Links that connect what all links connect: rows join the first pivot they are like, then groups are tied."""
+def _large_cell(rows: np.ndarray, alike, family: np.ndarray | None = None) -> np.ndarray:
+    """Links that connect what all links connect: rows join the first pivot they are like, then groups are tied.
+
+    Rows of one ``family`` are connected already.
+    """
     found, groups, left = [np.empty((0, 2), np.int64)], [], rows
     while len(left):
         pivot, others = int(left[0]), left[1:]
-        like = alike(pivot, others)
-        groups.append(np.append(pivot, others[like]))
+        same = family[others] == family[pivot] if family is not None else np.zeros(len(others), bool)
+        like = ~same
+        like[like] = alike(pivot, others[like])
+        groups.append(np.append(pivot, others[same | like]))
         found.append(np.stack([others[like], np.full(like.sum(), pivot)], axis=1))
-        left = others[~like]
+        left = others[~(same | like)]
     groups.sort(key=len, reverse=True)
     sets = np.empty(len(rows), np.int64)  # of rows that are connected by now
     for k, group in enumerate(groups):
         sets[group - rows[0]] = k
+    if family is not None:
+        _, first, code = np.unique(family[rows], return_index=True, return_inverse=True)
+        node, root = _spanning(sets, sets[first[code]], len(groups))
+        joined = np.arange(len(groups))
+        joined[node] = root
+        sets = joined[sets]
     before = groups[0]
     for group in groups[1:]:
         for row in group.tolist():
-            like = before[alike(row, before)]
+            rest = before[sets[before - rows[0]] != sets[row - rows[0]]]
+            like = rest[alike(row, rest)]
             others, first = np.unique(sets[like - rows[0]], return_index=True)
             new = others != sets[row - rows[0]]
             if new.any():  # one link to each set is enough
@@ -410,15 +433,34 @@ def _compared(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd
             yield pd.DataFrame({"a": ids[both[:, 0]], "b": ids[both[:, 1]]})
 
 
+def families(marked: DataFrame) -> DataFrame:
+    """(content, family): the component of each content's fingerprint (content, fp, size) at three differing bits or fewer."""
+    fps = materialise(marked.where("size > 0").select("fp").distinct(), "distinct-fingerprints")
+    roots = components(linked(fps))
+    own = marked.groupBy("content").agg(F.any_value("fp").alias("fp"))
+    return own.join(roots, own["fp"] == roots["node"], "left").select("content", F.coalesce("root", "fp").alias("family"))
+
+
+def family_links(unique: DataFrame) -> DataFrame:
+    """Stars (a, b) over the contents of each family; a content without words is like no other."""
+    own = unique.where("size > 0").select("content", "family")
+    first = own.groupBy("family").agg(F.min("content").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return own.join(first, "family").where("content != first").select(F.col("content").alias("a"), F.col("first").alias("b"))
+
+
 def candidates(unique: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between distinct contents (content, keys, size, judge) whose components hold every pair at this similarity."""
-    postings = unique.select("content", F.explode("keys").alias("key"))
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = postings.join(lists, "key").withColumn("g", F.ceil(F.col("n") / CELL).cast("int"))
+    """Edges (a, b) between contents (content, family, keys, size, judge) of different families.
+
+    The components of these and the families hold every pair at this similarity.
+    """
+    postings = unique.select("content", "family", F.explode("keys").alias("key"))
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("low"), F.max("family").alias("high"))
+    lists = lists.where("low != high").select("key", "n")
+    members = postings.select("content", "key").join(lists, "key").withColumn("g", F.ceil(F.col("n") / CELL).cast("int"))
     mine = F.pmod(F.xxhash64("content"), F.col("g")).cast("int")
     cells = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cells = cells.select("content", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-    full = cells.join(unique.select("content", "size", "judge"), "content")
+    full = cells.join(unique.select("content", "family", "size", "judge"), "content")
     # in one order everywhere, so that the lists of one set of copies give the same stars
     dealt = full.repartition("cell").sortWithinPartitions("cell", "content")
     return dealt.mapInPandas(lambda b: _judged(b, similarity), "a long, b long").distinct()
@@ -458,8 +500,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = materialise(marked.select("id", "tie", "w.*"), "signatures")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("best")
     unique = marked.groupBy("content").agg(best, F.any_value(F.struct("keys", "size", "judge")).alias("w"))
-    unique = materialise(unique.select("content", "best", "w.*"), "distinct-contents")
-    met = components(candidates(unique, similarity))
+    unique = materialise(unique.join(families(marked), "content").select("content", "family", "best", "w.*"), "distinct-contents")
+    met = components(family_links(unique).unionByName(candidates(unique, similarity)))
     roots = components(exact_links(docs, unique, met, similarity, id_col, text_col))
     return _keep_best(docs, unique.select(F.col("content").alias("fp"), "best"), roots, id_col, text_col)
 

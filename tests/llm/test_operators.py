@@ -201,6 +201,68 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, cell):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def edited_texts():
+    """Texts of 400 words, each with copies of 1 to 40 changed words; the fewer, the nearer the fingerprint."""
+    rng = random.Random(15)
+    vocabulary, texts = [f"{a}{b}" for a in WORDS for b in WORDS], []
+    for _ in range(12):
+        words = [rng.choice(vocabulary) for _ in range(400)]
+        texts.append(" ".join(words))
+        for n in (1, 1, 2, 3, 5, 8, 20, 40):
+            new = list(words)
+            for at in rng.sample(range(400), n):
+                new[at] = f"changed{rng.random()}"
+            texts.append(" ".join(new))
+    return texts
+
+
+def test_near_copies_go_through_the_fingerprint_index(spark, monkeypatch):
+    """Without the prefix index, the texts go that share a fingerprint component and are as similar as asked."""
+    texts = edited_texts()
+    families = components_by_force([slow_simhash(t, 3) for t in texts], list(range(len(texts))), 3)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if families[i] == families[j] and root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    monkeypatch.setattr(simhash, "candidates", lambda unique, similarity: spark.createDataFrame([], "a long, b long"))
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, texts)).collect()}
+    assert kept == set(root)
+    assert 12 < len(kept) < len(texts) - 12
+
+
+def test_prefix_lists_of_one_family_are_not_compared(spark):
+    schema = "content long, family long, keys array<long>, size int, judge binary"
+    rows = [(1, 1, [7, 8], 9, bytes(64)), (2, 1, [7, 8], 9, bytes(64)), (3, 3, [8, 9], 9, bytes(64)), (4, 4, [9], 9, b"\xff" * 64)]
+    near = spark.createDataFrame(rows, schema)
+    assert simhash.candidates(near.where("family = 1"), 0.8).count() == 0
+    edges = {frozenset(e) for e in simhash.candidates(near, 0.8).collect()}
+    assert edges and all(e <= {1, 2, 3} for e in edges) and any(3 in e for e in edges)
+
+
+def test_links_of_a_large_cell_connect_with_the_families_what_all_links_connect():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        n, at = 60, 5
+        family = np.append(np.full(at, -1), rng.integers(0, rng.choice([3, 20, 60]), n))
+        near = np.triu(rng.random((n + at, n + at)) < rng.choice([0.005, 0.02, 0.1]), 1)
+        near = (near | near.T) & (family[:, None] != family)
+        rows, same = np.arange(at, at + n), family[:, None] == family
+        found = simhash._large_cell(rows, lambda i, others: near[i, others], family)
+        assert all(near[i, j] for i, j in found)
+
+        def sets(links):
+            u, v = np.nonzero((links | same)[at:, at:])
+            node, root = simhash._spanning(u, v, n)
+            out = np.arange(n)
+            out[node] = root
+            return out.tolist()
+
+        got = np.zeros_like(near)
+        got[found[:, 0], found[:, 1]] = True
+        assert sets(got) == sets(near)
+
+
 # --- Mixing
 
 
