@@ -301,7 +301,7 @@ def prefix_signatures(similarity: float, common: np.ndarray):
             fp = int(np.uint64(_simhash(words)).view(np.int64))
             h = _distinct(words)
             keys = prefix(h, similarity, common) if len(h) else h
-            rows.append((content, fp, keys.view(np.int64).tolist(), len(h), _lanes(h).tobytes()))
+            rows.append((content, fp, keys.view(np.int64), len(h), _lanes(h).tobytes()))
         return pd.DataFrame(rows, columns=["content", "fp", "keys", "size", "judge"])
 
     return signatures
