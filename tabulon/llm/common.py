@@ -23,7 +23,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage with files that outlive any executor, so a lost executor
     costs a re-read instead of a re-computation.
     """
-    path = new_path(df.sparkSession, name)
+    return stored(df, new_path(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path``, an unused one, and read back; the caller may ``remove`` it when all that reads it is done."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -30,10 +30,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tabulon.llm.common import materialise, pick_name
+from tabulon.llm.common import materialise, new_path, pick_name, stored
+from tabulon.session import remove
 
 SEED = 42
 
@@ -191,13 +193,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # prefix index completes the candidates: with all shingles in one global order,
 # two texts at a similarity of at least s share one of the first
 # n - ceil(s n) + 1 of their n shingles, whatever the order. Shingles that are
-# common in a sample come last in it, which only shortens the lists; lists of
-# one family alone are not compared. Its pairs
+# common in a sample come last in it, which only shortens the lists; texts of
+# one family are not compared. Postings are shuffled once, to the list of
+# their shingle, and those alone in it end there; only the others meet families
+# and judging bits. A list that a sample shows to be long is dealt before that
+# shuffle, and what is still long after it is dealt by its exact length. Pairs
 # far apart in 512 SimHash bits (``LOOSE`` standard deviations beyond those
 # expected at s for sets of their size) are set aside; the components of all candidates are then
 # compared by their shingles themselves, and only pairs at s or more are linked.
 # A component is dealt into square cells of about ``CELL_SHINGLES`` a side.
 #
+# Whole texts are joined twice, with those to compare and with those that stay.
+# A map of ``MAP_BITS`` bits, of bounded size whatever the table, goes to the
+# rows before: only rows on it are shuffled to the exact join.
+#
 # For large sets of equal size the share of differing bits at similarity J is
 # arccos(2 J / (1 + J)) / pi, for others less; in small sets ties of the votes
 # add to it, by about ``TIES`` / sqrt(n) in sets of n (measured at 8 and 9
@@ -207,6 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 LANES, SHARED_BYTES, CELL, SMALL_CELL = 8, 8, 4096, 48
 TIES = 0.16
 LOOSE, CELL_SHINGLES, SAMPLE, COMMON = 6.0, 500_000, 5_000, 100_000
+MAP_BITS = 1 << 23
 _TRIPLES = np.array([[4 * g + i for i in t] for g in range(2 * LANES) for t in combinations(range(4), 3)])
 
 
@@ -448,24 +458,58 @@ def family_links(unique: DataFrame) -> DataFrame:
     return own.join(first, "family").where("content != first").select(F.col("content").alias("a"), F.col("first").alias("b"))
 
 
+def long_lists(postings: DataFrame, contents: int) -> DataFrame:
+    """(key, g): the keys, at most ``COMMON``, whose lists a bounded sample of contents shows to exceed ``CELL``, and into how many chunks."""
+    every = max(1, contents // SAMPLE)
+    sample = postings.where(F.pmod(F.xxhash64("content"), F.lit(every)) == 0)
+    lists = sample.groupBy("key").agg((F.count(F.lit(1)) * every).alias("n")).where(F.col("n") > CELL)
+    return lists.orderBy(F.desc("n"), "key").limit(COMMON).select("key", F.ceil(F.col("n") * 1.25 / CELL).cast("int").alias("g"))
+
+
+def _into_cells(members: DataFrame, key: str, cell: str) -> DataFrame:
+    """(content, cell): lists of ``key`` dealt into the pairs of their ``g`` chunks; any two of a list meet."""
+    mine = F.pmod(F.xxhash64("content"), F.col("g")).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    # 48 bits shuffle in fewer bytes than 64; lists that clash are compared as one
+    name = F.shiftrightunsigned(F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")), 16)
+    return dealt.select(name.alias(cell), "content")
+
+
 def candidates(unique: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between contents (content, family, keys, size, judge) of different families.
 
     The components of these and the families hold every pair at this similarity.
     """
-    postings = unique.select("content", "family", F.explode("keys").alias("key"))
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("low"), F.max("family").alias("high"))
-    lists = lists.where("low != high").select("key", "n")
-    members = postings.select("content", "key").join(lists, "key").withColumn("g", F.ceil(F.col("n") / CELL).cast("int"))
-    mine = F.pmod(F.xxhash64("content"), F.col("g")).cast("int")
-    cells = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = cells.select("content", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-    full = cells.join(unique.select("content", "family", "size", "judge"), "content")
+    postings = unique.select("content", F.explode("keys").alias("key"))
+    known = materialise(long_lists(postings, unique.count()), "long-lists")
+    placed = postings.join(F.broadcast(known), "key", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    bins = _into_cells(placed, "key", "bin").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bin")))
+    members = bins.where("n > 1").withColumn("g", F.when(F.col("n") > 2 * CELL, F.ceil(F.col("n") / CELL)).otherwise(1).cast("int"))
+    full = _into_cells(members, "bin", "cell").join(unique.select("content", "family", "size", "judge"), "content")
     # in one order everywhere, so that the lists of one set of copies give the same stars
     dealt = full.repartition("cell").sortWithinPartitions("cell", "content")
     return dealt.mapInPandas(lambda b: _judged(b, similarity), "a long, b long").distinct()
 
 
+def bit_map(rows: DataFrame, id_col: str, tie_col: str) -> DataFrame:
+    """(slot, bits): a map of ``MAP_BITS`` bits with those of the rows' ids and text hashes set."""
+    slot, bit = _place(id_col, tie_col)
+    return materialise(rows.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")), "bit-map")
+
+
+def _place(id_col: str, tie_col: str) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(id_col, tie_col), F.lit(MAP_BITS))
+    return F.shiftright(at, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{id_col}`, `{tie_col}`), 64) as int))")
+
+
+def on_map(rows: DataFrame, bits: DataFrame, id_col: str, tie_col: str, on: bool = True) -> DataFrame:
+    """The rows whose bit is set (or not): all that were put on the map and, by chance, some others."""
+    slot, bit = _place(id_col, tie_col)
+    marks = F.broadcast(bits.select(F.col("slot").alias("map_slot"), F.col("bits").alias("map_bits")))
+    there = F.coalesce(F.col("map_bits").bitwiseAND(bit), F.lit(0)) != 0
+    return rows.join(marks, slot == F.col("map_slot"), "left").where(there if on else ~there).select(*rows.columns)
+
+
 def exact_links(docs: DataFrame, unique: DataFrame, roots: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs at this similarity; ``roots`` (node, root) are the components of candidates."""
     own = roots.select(F.col("node").alias("content"), "root").unionByName(roots.select(F.col("root").alias("content"), "root")).distinct()
@@ -478,6 +522,7 @@ def exact_links(docs: DataFrame, unique: DataFrame, roots: DataFrame, similarity
         return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
 
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    texts = on_map(texts, bit_map(members, "m_id", "m_tie"), "id", "tie")
     met = texts.join(members, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("tie") == F.col("m_tie")))
     # of exactly repeated rows one is enough
     met = materialise(met.select("content", "root", "g", packed("text").alias("shingles")).dropDuplicates(["content"]), "candidate-shingles")
@@ -497,13 +542,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.col(f"`{text_col}`").cast("string")
     signed = prefix_signatures(similarity, common_shingles(docs.select(text.alias("text"))))
     marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), signed(text).alias("w"))
-    marked = materialise(marked.select("id", "tie", "w.*"), "signatures")
+    path = new_path(docs.sparkSession, "signatures")
+    marked = stored(marked.select("id", "tie", "w.*"), path)
+    ids = _counted(marked)
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("best")
     unique = marked.groupBy("content").agg(best, F.any_value(F.struct("keys", "size", "judge")).alias("w"))
     unique = materialise(unique.join(families(marked), "content").select("content", "family", "best", "w.*"), "distinct-contents")
+    remove(docs.sparkSession, path)  # its keys are as large as the texts, and nothing reads them again
     met = components(family_links(unique).unionByName(candidates(unique, similarity)))
     roots = components(exact_links(docs, unique, met, similarity, id_col, text_col))
-    return _keep_best(docs, unique.select(F.col("content").alias("fp"), "best"), roots, id_col, text_col)
+    return _keep_best(docs, ids, unique.select(F.col("content").alias("fp"), "best"), roots, id_col, text_col)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -517,16 +565,29 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = materialise(marked, "fingerprints")
     firsts = materialise(marked.groupBy("fp").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("best")), "distinct-fingerprints")
     roots = components(linked(firsts.select("fp"), max_bits))
-    return _keep_best(docs, firsts.select("fp", "best"), roots, id_col, text_col)
+    return _keep_best(docs, _counted(marked), firsts.select("fp", "best"), roots, id_col, text_col)
 
 
-def _keep_best(docs: DataFrame, firsts: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that are the best of their root; ``firsts`` has (fp, best)."""
+def _counted(marked: DataFrame) -> DataFrame:
+    """(id, tie, n): how often each id comes with each text hash."""
+    return materialise(marked.groupBy("id", "tie").agg(F.count(F.lit(1)).alias("n")), "ids")
+
+
+def _keep_best(docs: DataFrame, ids: DataFrame, firsts: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are the best of their root; ``firsts`` has (fp, best), ``ids`` the (id, tie, n) of all rows.
+
+    Rows that go and repeated rows are put on a bit map; rows off it stay as they
+    are, without a shuffle, and those on it are looked up.
+    """
     key, text = pick_name(docs.columns, "simhash_key"), F.col(f"`{text_col}`").cast("string")
     owner = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "best")
     best = owner.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.tie")
     best = materialise(best, "kept-documents")
+    stays = best.select(F.col("id").alias("b_id"), F.col("tie").alias("b_tie"))
+    doubtful = ids.join(stays, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("tie") == F.col("b_tie")), "left").where("n > 1 or b_tie is null")
+    bits = bit_map(doubtful, "id", "tie")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias(f"{key}_id"), F.xxhash64(text).alias(f"{key}_tie"))
-    kept = rows.join(best, F.col(f"{key}_id").eqNullSafe(best["id"]) & (F.col(f"{key}_tie") == best["tie"]), "left_semi")
+    kept = on_map(rows, bits, f"{key}_id", f"{key}_tie").join(best, F.col(f"{key}_id").eqNullSafe(best["id"]) & (F.col(f"{key}_tie") == best["tie"]), "left_semi")
     kept = kept.dropDuplicates([f"{key}_id", f"{key}_tie"])  # repeats are dropped before they are shuffled
+    kept = on_map(rows, bits, f"{key}_id", f"{key}_tie", on=False).unionByName(kept)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

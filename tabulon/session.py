@@ -40,11 +40,21 @@ def clear(spark: SparkSession) -> int:
     """Deletes the intermediate folders made so far and returns their number; results that still read them have to be used or written before."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
     for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     return len(paths)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes one folder of ``new_folder``, once nothing reads it any more."""
+    _made[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, *cluster: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, cut from its lineage; ``cluster`` sorts it for pushed filters."""
     path = new_folder(df.sparkSession, name)

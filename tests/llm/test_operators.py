@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, langid, mixing, neighbours, quality, records, secrets, simhash, toxicity, webtext
 from tabulon.llm.queries import ORACLE, QUERIES, tokenizer_path
+from tabulon.session import shared_dir
 from tests.compare import rows as compared
 
 WORDS = "the of and heat thonin erre onth bleat ingest ofthe wher shant edou tion lyre thess hea ndor eat ingou".split()
@@ -240,6 +242,37 @@ def test_prefix_lists_of_one_family_are_not_compared(spark):
     assert edges and all(e <= {1, 2, 3} for e in edges) and any(3 in e for e in edges)
 
 
+def test_near_copies_shuffle_postings_once_and_few_texts(spark, monkeypatch):
+    """What is written to shuffles is in proportion to the texts, and the folder of the signatures goes."""
+    monkeypatch.setattr(simhash, "SAMPLE", 32)  # a tenth, as a sample of a large table is a small part
+    rng = random.Random(21)
+    texts = [" ".join(f"{rng.getrandbits(30):x}" for _ in range(400)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:20]]
+    docs = docs_of(spark, texts).cache()
+    assert docs.count() == 320
+    context, before = spark.sparkContext._jsc.sc(), set(os.listdir(shared_dir(spark)))
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
+    try:
+        start = shuffled()
+        kept = {r["doc_id"] for r in simhash.drop_near_copies(docs).select("doc_id").collect()}
+        written = shuffled() - start
+        assert kept == set(range(300))
+        rows = sorted(map(tuple, simhash.drop_near_copies(docs).collect()))
+        assert rows == sorted(map(tuple, docs.where("doc_id < 300").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        docs.unpersist()
+    size = sum(map(len, texts))
+    assert written < 2 * size, (written, size)
+    assert not any(name.startswith("signatures-") for name in {*os.listdir(shared_dir(spark))} - before)
+
+
 def test_links_of_a_large_cell_connect_with_the_families_what_all_links_connect():
     for seed in range(40):
         rng = np.random.default_rng(seed)
