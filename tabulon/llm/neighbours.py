@@ -169,13 +169,13 @@ def _ball(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _reached(queries: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
-    """(first, block): the blocks in which something may reach a query's bar."""
+    """(first, blocks): the blocks in which something may reach a query's bar; BALLS at most in one row."""
     if queries.empty or balls.empty:
-        return pd.DataFrame({"first": np.array([], np.int64), "block": np.array([], np.int32)})
+        return pd.DataFrame({"first": np.array([], np.int64), "blocks": np.array([], object)})
     q, c = _matrix(queries["vec"]), _matrix(balls["centre"])
     most = q @ c.T + np.sqrt((q**2).sum(axis=1))[:, None] * balls["radius"].to_numpy() * (1 + 1e-9) + 1e-12
-    i, j = np.nonzero(most >= queries["bar"].to_numpy()[:, None])
-    return pd.DataFrame({"first": queries["first"].to_numpy()[i], "block": balls["block"].to_numpy()[j]})
+    blocks = balls["block"].to_numpy()
+    return pd.DataFrame({"first": queries["first"].to_numpy(), "blocks": [blocks[met] for met in most >= queries["bar"].to_numpy()[:, None]]})
 
 
 def _rest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -222,10 +222,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     spread = balls.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     spread = spread.select(F.col("group").alias("g"), F.col("chunk").alias("c"), "block", "centre", "radius")
     met = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).groupBy("group", "chunk")
-    open_ = materialise(met.cogroup(spread.groupBy("g", "c")).applyInPandas(_reached, "first long, block int"), "open-pairs")
-    left = asked.join(open_, "first").select("group", "block", "vec", "first", "bar")
-    groups = open_.select(F.pmod(F.xxhash64("first"), F.lit(n_groups)).cast("int").alias("g"), F.col("block").alias("b")).distinct()
-    against = blocks.join(groups, F.col("block") == F.col("b")).select("g", "b", "vec", "first")
+    open_ = materialise(met.cogroup(spread.groupBy("g", "c")).applyInPandas(_reached, "first long, blocks array<int>"), "open-pairs")
+    # the file packs the pairs so well that its size says nothing of their number: they are never to be broadcast
+    left = asked.join(open_.hint("merge"), "first").select("group", F.explode("blocks").alias("block"), "vec", "first", "bar")
+    groups = open_.select(F.pmod(F.xxhash64("first"), F.lit(n_groups)).cast("int").alias("g"), F.explode("blocks").alias("b")).distinct()
+    against = blocks.join(groups.hint("merge"), F.col("block") == F.col("b")).select("g", "b", "vec", "first")
     found = left.groupBy("group", "block").cogroup(against.groupBy("g", "b")).applyInPandas(lambda a, b: _rest(a, b, k), "query long, other long, score double")
     # what both steps found counts once, as the windows scored it
     both = near.select("query", "other", "score", F.lit(0).alias("step")).unionByName(found.withColumn("step", F.lit(1)))

@@ -827,6 +827,21 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
         assert all(abs(h[2] - s[h[1]]) < 1e-9 for h in hits)
 
 
+def test_pairs_of_queries_and_blocks_are_never_broadcast(spark):
+    """Their file is small whatever their number, so Spark would broadcast millions of them through the driver."""
+    x = np.random.default_rng(13).standard_normal((200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    plan = neighbours.nearest(df, k=3)._jdf.queryExecution().executedPlan().toString().split("\n")
+    above, reads = [], 0
+    for line in plan:
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        above = [(d, name) for d, name in above if d < depth] + [(depth, line)]
+        if "FileScan" in line and "open-pairs" in line:
+            reads += 1
+            assert not any("BroadcastExchange" in name for _, name in above)
+    assert reads
+
+
 def test_windows_find_neighbours_of_clustered_vectors(spark):
     """Recall of the merged windows alone, before the second step."""
     rng = np.random.default_rng(12)
