@@ -1,7 +1,9 @@
 """Scalars, gates and metrics on hand-written rows."""
 
 import datetime as dt
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import dates, money, text
@@ -9,6 +11,7 @@ from tabulon.operators import changes, enrich, evidence, feedback, gates, views
 from tabulon.operators import records as rec
 from tabulon.plans import index as ix
 from tabulon.plans.search import Request, compare, page_numbers, ranked, search
+from tabulon.queries import QUERIES
 from tabulon.schemas import RECORD, conform
 from tabulon.sources import readers
 
@@ -178,6 +181,19 @@ def test_deadline_kinds(spark):
     assert got == {("letter_of_intent", "2026-08-01"), ("application", "2026-09-30")}
 
 
+@pytest.mark.parametrize("body", ["due May 1, 2026 or 3/4/26", "May 1, 2026", "no date", "", "\x01 May 1, 2026\x02 ends 10-2-2027", "\U0001f600é June 2, 2027 and JUNE 3rd 2028."])
+def test_matches_are_located_by_code_points(spark, body):
+    pattern = re.compile(evidence.DATE)
+    got = one(spark, body, lambda v: evidence.located(v, evidence.DATE))
+    assert [tuple(m) for m in got] == [(m.start(), m.end(), m.group()) for m in pattern.finditer(body)]
+
+
+@pytest.mark.parametrize("query, others", [("evidence_deadlines", (r"eligible\s", r"logic\s", "canceled"))])
+def test_only_patterns_that_a_query_needs_are_looked_for(spark, sf_dir, query, others):
+    plan = QUERIES[query](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert [word for word in others if word in plan] == []
+
+
 def test_facts_of_a_notice(spark):
     parts = [
         ("Dates", "A letter of intent is due August 1, 2026. Full application deadline: September 30, 2026 at 5:00 p.m. ET."),
