@@ -194,6 +194,11 @@ def test_only_patterns_that_a_query_needs_are_looked_for(spark, sf_dir, query, o
     assert [word for word in others if word in plan] == []
 
 
+def test_places_and_documents_are_not_broadcast(spark, sf_dir):
+    plan = QUERIES["cited_facts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_facts_of_a_notice(spark):
     parts = [
         ("Dates", "A letter of intent is due August 1, 2026. Full application deadline: September 30, 2026 at 5:00 p.m. ET."),
